@@ -1,0 +1,7 @@
+"""Streams need no operators of their own.
+
+The product computes on tables only. Features, labels, scores, risk factors and
+contributions are expressions over a single row, so ``readStream`` frames go
+through ``add_derived_features``, ``predict_proba``, ``risk_factors`` and
+``linear_attribution`` unchanged and without state (see tests/test_streaming.py).
+"""
