@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ from creditloom.fixed import (
     TARGET,
 )
 from creditloom.functions.features import derived, without_sentinel
-from creditloom.operators.ranking import quantile_row
+from creditloom.operators.ranking import quantile_values
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -34,9 +34,10 @@ def fix_sentinel(df: DataFrame) -> DataFrame:
     return df.withColumn("DAYS_EMPLOYED", without_sentinel()) if "DAYS_EMPLOYED" in df.columns else df
 
 
-def medians(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
-    """One row with the median of each column under the column's name."""
-    return quantile_row(df, {c: {c: 0.5} for c in columns}, accuracy)
+def medians(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> dict[str, float | None]:
+    """The median of each column, computed now."""
+    found = quantile_values(df, {c: (0.5,) for c in columns}, accuracy)
+    return {c: found[c][0.5] for c in columns}
 
 
 def impute_nulls(
@@ -49,14 +50,8 @@ def impute_nulls(
     scores = [c for c in SCORES if c in df.columns and c not in exclude]
     zeros = [c for c in numeric_columns(df) if c not in scores and c not in exclude]
     filled = df.fillna(0, subset=zeros) if zeros else df
-    if not scores:
-        return filled
-    row = medians(df, scores, accuracy).select(*[F.col(c).alias(f"_median_{c}") for c in scores])
-    return (
-        filled.crossJoin(F.broadcast(row))
-        .withColumns({c: F.coalesce(F.col(c), F.col(f"_median_{c}")) for c in scores})
-        .select(*df.columns)
-    )
+    known = {c: m for c, m in medians(df, scores, accuracy).items() if m is not None} if scores else {}
+    return filled.fillna(known) if known else filled
 
 
 def clip_outliers(
@@ -71,31 +66,21 @@ def clip_outliers(
     present = [c for c in asked if c in df.columns]
     if not present:
         return df
-    bounds = quantile_row(
-        df.select(*present), {c: {f"_lo_{c}": lower, f"_hi_{c}": upper} for c in present}, accuracy
-    )
+    bounds = quantile_values(df, {c: (lower, upper) for c in present}, accuracy)
 
-    def clipped(c: str):
-        x, lo, hi = F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
-        return F.when(x < lo, lo).when(x > hi, hi).otherwise(x)
+    def clipped(c: str) -> Column:
+        x, lo, hi = F.col(c), bounds[c][lower], bounds[c][upper]
+        if lo is None:
+            return x
+        return F.when(x < lo, F.lit(lo)).when(x > hi, F.lit(hi)).otherwise(x)
 
-    return (
-        df.crossJoin(F.broadcast(bounds))
-        .withColumns({c: clipped(c) for c in present})
-        .select(*df.columns)
-    )
+    return df.withColumns({c: clipped(c) for c in present})
 
 
 def prepare_clustering_data(df: DataFrame, accuracy: int | None = None) -> tuple[DataFrame, list[str]]:
-    """Derived, imputed and clipped frame with the names of the cluster features.
-
-    The clip bounds are taken from the ratios before the score medians are
-    joined in: imputing scores cannot change them, and the plan stays flat.
-    """
-    full = add_derived_features(df)
-    ratios = [c for c in CLIPPED_FEATURES if c in full.columns]
-    zeroed = full.fillna(0, subset=ratios) if ratios else full
-    out = impute_nulls(clip_outliers(zeroed, ratios, accuracy=accuracy), accuracy=accuracy)
+    """Derived, imputed and clipped frame with the names of the cluster features."""
+    full = impute_nulls(add_derived_features(df), accuracy=accuracy)
+    out = clip_outliers(full, CLIPPED_FEATURES, accuracy=accuracy)
     return out, [c for c in CLUSTER_FEATURES if c in out.columns]
 
 

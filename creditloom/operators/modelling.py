@@ -45,7 +45,7 @@ def fit_preprocessor(
     train: DataFrame, features: Sequence[str] = X.MODEL_FEATURES, accuracy: int | None = None
 ) -> Preprocessor:
     """Exact medians, then moments of the imputed columns; three numbers per feature."""
-    middle = medians(train, features, accuracy).first().asDict()
+    middle = medians(train, features, accuracy)
     missing = [f for f in features if middle[f] is None]
     if missing:
         raise ValueError(f"no training value for {missing}")

@@ -4,20 +4,27 @@ All three work the same way: a monotone cell function cuts the value range into
 a bounded number of cells, cells are counted with map-side combining, and only
 the few rows inside the cells that hold a wanted rank are ordered. Cells depend
 on the values alone, so recomputing a lost partition gives the same answer.
+
+Quantiles and selections run at call time, like ``DataFrame.approxQuantile``:
+what reaches the driver is one interval per wanted rank or one boundary per
+stratum, and what they return plans as plain expressions over literals.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from creditloom.functions.keys import KEY_BITS
 
 # At most 2 * 512 * ln(max double), about 730,000 coarse cells per column.
 CELLS_PER_E = 512.0
 FINE_CELLS = 65536.0
+# Intervals with fewer rows than this are ordered, larger ones are cut further.
+ORDERED_ROWS = 2_000_000
 KEY_CELL_SHIFT = 14
 ROWS_PER_SLICE = 200_000
 
@@ -34,33 +41,91 @@ def _equal_width_cell(x: Column, lo: Column, hi: Column, cells: Column) -> Colum
 def _ranks_inside(counts: DataFrame, group: Sequence[str], order: str, wanted: Column) -> DataFrame:
     """Keep the rows of a count table that contain a wanted rank (0-based, in order).
 
-    ``wanted`` is an array of structs with a ``rank``; on return ``targets``
-    holds the contained ones with ranks relative to the start of their row.
+    ``ranks`` on return holds the contained ones, still counted from the start
+    of the group; ``start`` is the number of rows before this row.
     """
     upto = F.sum("n").over(Window.partitionBy(*group).orderBy(order))
-    start = F.col("upto") - F.col("n")
-    contained = F.filter(wanted, lambda t: (t["rank"] >= start) & (t["rank"] < F.col("upto")))
-    relative = F.transform(contained, lambda t: t.withField("rank", t["rank"] - start))
-    return counts.withColumn("upto", upto).withColumn("targets", relative).where(F.size("targets") > 0)
+    contained = F.filter(wanted, lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("n")))
+    return counts.withColumn("start", upto - F.col("n")).withColumn("ranks", contained).where(F.size("ranks") > 0)
 
 
-def quantiles(
+def _order_statistics(
+    values: DataFrame, column_keys: Sequence[str], probs_of: Column
+) -> dict[tuple, dict[int, float]]:
+    """``{(keys..., total): {rank: value}}`` for the ranks next to each quantile."""
+    spark = values.sparkSession
+    extremes = (F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    cell_keys = [*column_keys, "cell"]
+    celled = values.withColumn("cell", _coarse_cell(F.col("x")))
+
+    last = (F.col("total") - F.lit(1)).cast("double")
+    near = F.flatten(F.transform(probs_of, lambda p: F.array(F.floor(p * last), F.ceil(p * last))))
+    coarse = (
+        celled.groupBy(*cell_keys)
+        .agg(*extremes)
+        .withColumn("total", F.sum("n").over(Window.partitionBy(*column_keys)))
+    )
+    intervals = _ranks_inside(coarse, column_keys, "cell", F.array_distinct(near)).collect()
+    totals = {tuple(r[k] for k in column_keys): r["total"] for r in intervals}
+    found: dict[tuple, dict[int, float]] = {k: {} for k in totals}
+    # One interval per wanted rank at most: (keys, cell, lo, hi, rows, rows before it, ranks).
+    todo = [
+        ([r[k] for k in cell_keys], r["lo"], r["hi"], r["n"], r["start"], r["ranks"]) for r in intervals
+    ]
+    schema = T.StructType(
+        [values.schema[k] for k in column_keys]
+        + [
+            T.StructField("cell", T.LongType()),
+            T.StructField("id", T.IntegerType()),
+            T.StructField("lo", T.DoubleType()),
+            T.StructField("hi", T.DoubleType()),
+            T.StructField("wanted", T.ArrayType(T.LongType())),
+        ]
+    )
+    while True:
+        for keys, lo, hi, _, _, ranks in todo:
+            if lo == hi:
+                found[tuple(keys[:-1])].update({r: lo for r in ranks})
+        todo = [t for t in todo if t[1] < t[2]]
+        if not todo:
+            return {(*k, totals[k]): v for k, v in found.items()}
+        small = sum(t[3] for t in todo) <= ORDERED_ROWS
+        local = spark.createDataFrame(
+            [(*keys, i, lo, hi, [r - start for r in ranks]) for i, (keys, lo, hi, _, start, ranks) in enumerate(todo)],
+            schema,
+        )
+        inside = celled.join(F.broadcast(local.drop("wanted")), cell_keys).where(
+            F.col("x").between(F.col("lo"), F.col("hi"))
+        )
+        sub = F.col("x") if small else _equal_width_cell(F.col("x"), F.col("lo"), F.col("hi"), F.lit(FINE_CELLS))
+        counts = inside.groupBy("id", sub.alias("sub")).agg(*extremes)
+        hits = _ranks_inside(
+            counts.join(F.broadcast(local.select("id", "wanted")), "id"), ["id"], "sub", F.col("wanted")
+        ).collect()
+        narrowed = []
+        for h in hits:
+            keys, _, _, _, start, _ = todo[h["id"]]
+            narrowed.append((keys, h["lo"], h["hi"], h["n"], start + h["start"], [start + r for r in h["ranks"]]))
+        todo = narrowed
+
+
+def quantile_rows(
     df: DataFrame,
     probs: Mapping[str, Sequence[float]],
     by: str | None = None,
     groups: Sequence | None = None,
     accuracy: int | None = None,
-) -> DataFrame:
-    """Linear-interpolated quantiles as rows ``([by], column, p, value, n)``.
+) -> list[tuple]:
+    """Linear-interpolated quantiles as ``([group], column, p, value, n)``.
 
-    Exact by default: two rounds of cell counts narrow each wanted rank to a
-    sliver of the value range, a third pass orders that sliver. Every pass
-    reads only the needed columns and shuffles only counts. ``accuracy``
-    switches to one pass with Spark's mergeable sketch.
+    Exact by default: counts over cells narrow each wanted rank to an interval
+    small enough to order. Every pass reads only the needed columns and
+    shuffles only counts; small inputs take two passes. ``accuracy`` switches to
+    one pass with Spark's mergeable sketch.
 
-    NULL and NaN are ignored. With ``by``, ``groups`` lists the group values to
-    report; it bounds the broadcast tables to
-    ``groups * columns * 2 * probabilities`` rows.
+    NULL and NaN are ignored; a column without values gives no rows. With
+    ``by``, ``groups`` lists the group values to report; it bounds what reaches
+    the driver to ``groups * columns * 2 * probabilities`` intervals.
     """
     columns = list(probs)
     ids = [by] if by else []
@@ -73,99 +138,61 @@ def quantiles(
         .unpivot(ids, columns, "column", "x")
         .where(F.col("x").isNotNull() & ~F.isnan("x"))
     )
+    keys = [*ids, "column"]
+    if accuracy is not None:
+        every = sorted({float(p) for ps in probs.values() for p in ps})
+        sketched = long.groupBy(*keys).agg(
+            F.percentile_approx("x", every, accuracy).alias("values"), F.count(F.lit(1)).alias("n")
+        )
+        return [
+            (*[r[k] for k in keys], p, v, r["n"])
+            for r in sketched.collect()
+            for p, v in zip(every, r["values"], strict=True)
+            if p in {float(q) for q in probs[r["column"]]}
+        ]
     probs_of = F.create_map(
         *[part for c in columns for part in (F.lit(c), F.array(*[F.lit(float(p)) for p in probs[c]]))]
-    )
-    column_keys = [*ids, "column"]
-    if accuracy is not None:
-        return _sketched_quantiles(long, probs, column_keys, accuracy)
+    )[F.col("column")]
+    out = []
+    for key, values in _order_statistics(long, keys, probs_of).items():
+        *group, column, total = key
+        for p in probs[column]:
+            at = float(p) * (total - 1)
+            low, weight = int(at), at - int(at)
+            high = low + 1 if weight > 0 else low
+            value = values[low] * (1.0 - weight) + values[high] * weight
+            out.append((*group, column, float(p), value, total))
+    return out
 
-    def wanted(total: Column) -> Column:
-        def both_sides(p: Column) -> Column:
-            at = p * (total - F.lit(1)).cast("double")
-            weight = at - F.floor(at)
-            return F.array(
-                F.struct(p.alias("p"), F.lit(0).alias("side"), weight.alias("weight"), F.floor(at).alias("rank")),
-                F.struct(p.alias("p"), F.lit(1).alias("side"), weight.alias("weight"), F.ceil(at).alias("rank")),
-            )
 
-        return F.flatten(F.transform(probs_of[F.col("column")], both_sides))
-
-    extremes = (F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    cell_keys = [*column_keys, "cell"]
-    sliver_keys = [*cell_keys, "sub"]
-    celled = long.withColumn("cell", _coarse_cell(F.col("x")))
-
-    coarse = celled.groupBy(*cell_keys).agg(*extremes)
-    coarse = coarse.withColumn("total", F.sum("n").over(Window.partitionBy(*column_keys)))
-    coarse = _ranks_inside(coarse, column_keys, "cell", wanted(F.col("total"))).select(
-        *cell_keys, "lo", "hi", "total", "targets"
-    )
-
-    fine = (
-        celled.join(F.broadcast(coarse.select(*cell_keys, "lo", "hi")), cell_keys)
-        .withColumn("sub", _equal_width_cell(F.col("x"), F.col("lo"), F.col("hi"), F.lit(FINE_CELLS)))
-        .groupBy(*sliver_keys)
-        .agg(*extremes)
-        .join(F.broadcast(coarse.select(*cell_keys, "total", "targets")), cell_keys)
-    )
-    fine = _ranks_inside(fine, cell_keys, "sub", F.col("targets")).select(
-        *sliver_keys, "lo", "hi", "total", "targets"
-    )
-
-    slivers = F.broadcast(fine.select(*sliver_keys, "lo", "hi"))
-    values = (
-        celled.join(slivers, cell_keys)
-        .where(F.col("x").between(F.col("lo"), F.col("hi")))
-        .groupBy(*sliver_keys, "x")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(F.broadcast(fine.select(*sliver_keys, "total", "targets")), sliver_keys)
-    )
-    found = _ranks_inside(values, sliver_keys, "x", F.col("targets")).select(
-        *column_keys, "x", "total", F.explode("targets").alias("t")
-    )
-    below = F.max(F.when(F.col("t.side") == 0, F.col("x")))
-    above = F.max(F.when(F.col("t.side") == 1, F.col("x")))
-    weight = F.max("t.weight")
-    return found.groupBy(*column_keys, F.col("t.p").alias("p")).agg(
-        (below * (F.lit(1.0) - weight) + above * weight).alias("value"),
-        F.max("total").alias("n"),
-    )
-
-
-def _sketched_quantiles(
-    long: DataFrame, probs: Mapping[str, Sequence[float]], keys: Sequence[str], accuracy: int
+def quantiles(
+    df: DataFrame,
+    probs: Mapping[str, Sequence[float]],
+    by: str | None = None,
+    groups: Sequence | None = None,
+    accuracy: int | None = None,
 ) -> DataFrame:
-    """One pass per call with ``percentile_approx``; ranks are within n / accuracy."""
-    every = sorted({float(p) for ps in probs.values() for p in ps})
-    asked = F.lit(False)
-    for column, ps in probs.items():
-        asked = asked | ((F.col("column") == column) & F.col("p").isin(*[float(p) for p in ps]))
-    pairs = F.arrays_zip(F.array(*[F.lit(p) for p in every]).alias("p"), F.col("values").alias("value"))
-    return (
-        long.groupBy(*keys)
-        .agg(F.percentile_approx("x", every, accuracy).alias("values"), F.count(F.lit(1)).alias("n"))
-        .select(*keys, F.explode(pairs).alias("q"), "n")
-        .select(*keys, F.col("q.p").alias("p"), F.col("q.value").alias("value"), "n")
-        .where(asked)
+    """``quantile_rows`` as a small frame ``([by], column, p, value, n)``."""
+    schema = T.StructType(
+        ([T.StructField(by, df.schema[by].dataType)] if by else [])
+        + [
+            T.StructField("column", T.StringType()),
+            T.StructField("p", T.DoubleType()),
+            T.StructField("value", T.DoubleType()),
+            T.StructField("n", T.LongType()),
+        ]
     )
+    return df.sparkSession.createDataFrame(quantile_rows(df, probs, by, groups, accuracy), schema)
 
 
-def quantile_row(
-    df: DataFrame, probs: Mapping[str, Mapping[str, float]], accuracy: int | None = None
-) -> DataFrame:
-    """One row with a column per named quantile: ``{column: {name: p}}``.
-
-    Always exactly one row (a global aggregate), so it is safe to broadcast.
-    """
-    long = quantiles(df, {c: list(named.values()) for c, named in probs.items()}, accuracy=accuracy)
-    return long.agg(
-        *[
-            F.max(F.when((F.col("column") == c) & (F.col("p") == float(p)), F.col("value"))).alias(name)
-            for c, named in probs.items()
-            for name, p in named.items()
-        ]
-    )
+def quantile_values(
+    df: DataFrame, probs: Mapping[str, Sequence[float]], accuracy: int | None = None
+) -> dict[str, dict[float, float | None]]:
+    """``{column: {p: value}}`` as numbers; None where a column has no values."""
+    out: dict[str, dict[float, float | None]] = {c: {float(p): None for p in ps} for c, ps in probs.items()}
+    for column, p, value, _ in quantile_rows(df, probs, accuracy=accuracy):
+        out[column][p] = value
+    return out
 
 
 def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -202,43 +229,53 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[
 
 
 def mark_first(
-    df: DataFrame, key: Column, tie: str, quota: Column, stratum: str | None = None, strata: Sequence = ()
+    df: DataFrame,
+    key: Column,
+    tie: str,
+    quota: Callable[[object, int], int],
+    stratum: str | None = None,
+    strata: Sequence = (),
 ) -> DataFrame:
-    """Add ``selected``: true for the first ``quota`` rows of each stratum by (key, tie).
+    """Add ``selected``: true for the first rows of each stratum by (key, tie).
 
-    ``key`` is a 32-bit shuffle key and ``quota`` an expression over ``total``
-    (rows in the stratum) and the stratum column. Key cells are counted; cells
-    below the boundary are taken whole, and only the rows of the one boundary
-    cell per stratum are ranked. Rows outside ``strata`` are dropped.
+    ``key`` is a 32-bit shuffle key; ``quota(stratum, rows)`` says how many rows
+    to select. Key cells are counted; the cells before the one where the quota
+    is used up are taken whole, and only the rows of that one cell per stratum
+    are ranked. Rows outside ``strata`` are dropped.
     """
     group = [stratum] if stratum else []
     if stratum:
         df = df.where(F.col(stratum).isin(*strata))
     keyed = df.withColumn("_key", key).withColumn("_cell", F.shiftright("_key", KEY_CELL_SHIFT))
-    upto = F.sum("n").over(Window.partitionBy(*group).orderBy("_cell"))
-    counts = (
-        keyed.groupBy(*group, "_cell")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", upto)
-        .withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
-        .withColumn("quota", F.least(F.col("total"), quota))
-    )
-    # One row per stratum: the cell in which the quota is used up.
-    last_cell = F.max(F.when(F.col("upto") - F.col("n") < F.col("quota"), F.col("_cell")))
-    taken = F.max(F.when(F.col("upto") - F.col("n") < F.col("quota"), F.col("upto") - F.col("n")))
-    boundary = F.broadcast(
-        counts.groupBy(*group).agg(
-            F.coalesce(last_cell, F.lit(-1)).alias("_last"),
-            (F.max("quota") - F.coalesce(taken, F.lit(0))).alias("_need"),
-        )
-    )
-    placed = keyed.join(boundary, group) if group else keyed.crossJoin(boundary)
-    clear = placed.where(F.col("_cell") != F.col("_last")).withColumn(
-        "selected", F.col("_cell") < F.col("_last")
-    )
+    counts = keyed.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        totals = {r[0] if stratum else None: r["n"] for r in counts.groupBy(*group).agg(F.sum("n").alias("n")).collect()}
+        quotas = {s: quota(s, totals.get(s) or 0) for s in (strata if stratum else [None])}
+        upto = F.sum("n").over(Window.partitionBy(*group).orderBy("_cell"))
+        before = counts.withColumn("before", upto - F.col("n"))
+        wanted = _per_stratum(stratum, quotas)
+        boundary = {
+            (r[stratum] if stratum else None): r
+            for r in before.where((F.col("before") < wanted) & (F.col("before") + F.col("n") >= wanted)).collect()
+        }
+    finally:
+        counts.unpersist()
+    # Without a boundary nothing is wanted (cell -1 comes before all).
+    last = _per_stratum(stratum, {s: boundary[s]["_cell"] if s in boundary else -1 for s in quotas})
+    need = _per_stratum(stratum, {s: q - boundary[s]["before"] if s in boundary else 0 for s, q in quotas.items()})
+    clear = keyed.where(F.col("_cell") != last).withColumn("selected", F.col("_cell") < last)
     rank = F.row_number().over(Window.partitionBy(*group).orderBy("_key", tie))
-    contested = placed.where(F.col("_cell") == F.col("_last")).withColumn("selected", rank <= F.col("_need"))
+    contested = keyed.where(F.col("_cell") == last).withColumn("selected", rank <= need)
     return clear.unionByName(contested).select(*df.columns, "selected")
 
 
+def _per_stratum(stratum: str | None, values: Mapping[object, int]) -> Column:
+    if stratum is None:
+        return F.lit(values[None])
+    out = F
+    for s, v in values.items():
+        out = out.when(F.col(stratum) == s, F.lit(v))
+    return out
+
+
 KEY_CELLS = 1 << (KEY_BITS - KEY_CELL_SHIFT)

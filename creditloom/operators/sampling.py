@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.fixed import ID, SEED, TARGET, TEST_SHARE
@@ -12,27 +13,20 @@ from creditloom.functions.keys import shuffle_key
 from creditloom.operators.ranking import mark_first
 
 
-def _quota_of(sizes: Mapping[int, int], label: str) -> Column:
-    quota = F
-    for value, n in sizes.items():
-        quota = quota.when(F.col(label) == value, F.lit(int(n)))
-    return quota
-
-
 def stratified_sample(
     df: DataFrame, sizes: Mapping[int, int], label: str = TARGET, key: str = ID, seed: int = SEED
 ) -> DataFrame:
     """Exactly ``sizes[c]`` rows of each class, without replacement.
 
-    Asking for more rows than a class has is an error, so the class sizes are
-    counted first (one small aggregate).
+    Asking for more rows than a class has is an error.
     """
-    rows = df.where(F.col(label).isin(*sizes)).groupBy(label).count().collect()
-    have = {r[0]: r[1] for r in rows}
-    short = {c: n for c, n in sizes.items() if have.get(c, 0) < n}
-    if short:
-        raise ValueError(f"cannot sample {short} without replacement: class sizes are {have}")
-    marked = mark_first(df, shuffle_key(key, seed), key, _quota_of(sizes, label), label, list(sizes))
+
+    def quota(value: int, rows: int) -> int:
+        if sizes[value] > rows:
+            raise ValueError(f"cannot sample {sizes[value]} rows of {label}={value}, there are {rows}")
+        return sizes[value]
+
+    marked = mark_first(df, shuffle_key(key, seed), key, quota, label, list(sizes))
     return marked.where("selected").drop("selected")
 
 
@@ -67,7 +61,7 @@ def deterministic_cap(df: DataFrame, n: int | None = None, key: str = ID, seed:
     """At most ``n`` rows, always the same ones; all rows when ``n`` is None."""
     if n is None:
         return df
-    marked = mark_first(df, shuffle_key(key, seed), key, F.lit(int(n)))
+    marked = mark_first(df, shuffle_key(key, seed), key, lambda _, rows: min(n, rows))
     return marked.where("selected").drop("selected")
 
 
@@ -80,7 +74,9 @@ def stratified_split(
     classes: Sequence[int] = (0, 1),
 ) -> DataFrame:
     """Add ``is_test``: per class the first ``ceil(test_share * n)`` rows in shuffled order."""
-    quota = F.ceil(F.round(F.lit(test_share) * F.col("total"), 9))
+    def quota(_: object, rows: int) -> int:
+        return math.ceil(round(test_share * rows, 9))
+
     return mark_first(df, shuffle_key(key, seed), key, quota, label, list(classes)).withColumnRenamed(
         "selected", "is_test"
     )

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.fixed import CLUSTER_RESTARTS, CLUSTERS, ID, RISK_TIERS, SEED, TARGET
@@ -80,32 +80,33 @@ def assign_clusters(df: DataFrame, fitted: Segmentation) -> DataFrame:
     )
 
 
-def map_clusters_to_risk(
-    df: DataFrame, cluster: str = "cluster", score: str = "EXT_SOURCE_AVG"
-) -> DataFrame:
-    """Add ``RISK_TIER``: the higher a cluster's mean score, the lower its risk.
+def cluster_tiers(df: DataFrame, cluster: str = "cluster", score: str = "EXT_SOURCE_AVG") -> dict[int, str]:
+    """The tier of each cluster: the higher its mean score, the lower its risk.
 
-    Ranks beyond the third stay High. The ranking sees one row per cluster.
+    Ranks beyond the third stay High. One row per cluster reaches the driver.
     """
-    return df.join(F.broadcast(cluster_tiers(df, cluster, score).select(cluster, "RISK_TIER")), cluster, "left")
+    means = df.groupBy(cluster).agg(F.avg(score).alias("mean_score")).where(F.col(cluster).isNotNull())
+    ranked = means.orderBy(F.desc("mean_score"), cluster).collect()
+    return {r[cluster]: RISK_TIERS[min(i, len(RISK_TIERS) - 1)] for i, r in enumerate(ranked)}
 
 
-def cluster_tiers(df: DataFrame, cluster: str = "cluster", score: str = "EXT_SOURCE_AVG") -> DataFrame:
-    """``(cluster, mean_score, RISK_TIER)``."""
-    order = Window.partitionBy().orderBy(F.desc("mean_score"), cluster)
-    names = F.array(*[F.lit(t) for t in RISK_TIERS])
-    return (
-        df.groupBy(cluster)
-        .agg(F.avg(score).alias("mean_score"))
-        .withColumn("RISK_TIER", F.element_at(names, F.least(F.row_number().over(order), F.lit(len(RISK_TIERS)))))
-    )
+def map_clusters_to_risk(
+    df: DataFrame, cluster: str = "cluster", score: str = "EXT_SOURCE_AVG"
+) -> tuple[DataFrame, dict[int, str]]:
+    """Add ``RISK_TIER`` by the ranking of the clusters; also returns the mapping."""
+    tiers = cluster_tiers(df, cluster, score)
+    tier = F
+    for c, name in tiers.items():
+        tier = tier.when(F.col(cluster) == c, name)
+    return df.withColumn("RISK_TIER", tier if tiers else F.lit(None).cast("string")), tiers
 
 
 def segment(applications: DataFrame, fitted: Segmentation | None = None) -> tuple[DataFrame, Segmentation]:
     """The whole flow: prepare, fit unless given, assign, name the tiers."""
     prepared, features = prepare_clustering_data(clustering_frame(applications))
     fitted = fitted or fit_kmeans(prepared, features)
-    return map_clusters_to_risk(assign_clusters(prepared, fitted)), fitted
+    tiers, _ = map_clusters_to_risk(assign_clusters(prepared, fitted))
+    return tiers, fitted
 
 
 def tier_summary(df: DataFrame) -> DataFrame:
