@@ -72,7 +72,8 @@ def clip_outliers(
         x, lo, hi = F.col(c), bounds[c][lower], bounds[c][upper]
         if lo is None:
             return x
-        return F.when(x < lo, F.lit(lo)).when(x > hi, F.lit(hi)).otherwise(x)
+        # The bare bounds functions would turn a NULL into a bound.
+        return F.when(x.isNotNull(), F.greatest(F.least(x.cast("double"), F.lit(hi)), F.lit(lo)))
 
     return df.withColumns({c: clipped(c) for c in present})
 

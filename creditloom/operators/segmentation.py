@@ -58,13 +58,16 @@ def fit_kmeans(
 
 
 def nearest_centre(features: Sequence[str], centres: Sequence[Sequence[float]], prefix: str = "z_") -> Column:
-    """Index of the nearest centre; the lowest index wins a tie."""
+    """Index of the nearest centre; the lowest index wins a tie.
+
+    Every feature occurs once per centre, so that a filter on the result, pushed
+    down by the optimizer, stays a short expression.
+    """
 
     def distance(centre: Sequence[float]) -> Column:
         total = F.lit(0.0)
         for f, v in zip(features, centre, strict=True):
-            gap = F.col(f"{prefix}{f}") - F.lit(float(v))
-            total = total + gap * gap
+            total = total + F.pow(F.col(f"{prefix}{f}") - F.lit(float(v)), F.lit(2.0))
         return total
 
     options = [F.struct(distance(c).alias("d"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)]
@@ -95,10 +98,8 @@ def map_clusters_to_risk(
 ) -> tuple[DataFrame, dict[int, str]]:
     """Add ``RISK_TIER`` by the ranking of the clusters; also returns the mapping."""
     tiers = cluster_tiers(df, cluster, score)
-    tier = F
-    for c, name in tiers.items():
-        tier = tier.when(F.col(cluster) == c, name)
-    return df.withColumn("RISK_TIER", tier if tiers else F.lit(None).cast("string")), tiers
+    names = F.create_map(*[F.lit(part) for pair in tiers.items() for part in pair]).cast("map<int,string>")
+    return df.withColumn("RISK_TIER", F.try_element_at(names, F.col(cluster).cast("int"))), tiers
 
 
 def segment(applications: DataFrame, fitted: Segmentation | None = None) -> tuple[DataFrame, Segmentation]:
