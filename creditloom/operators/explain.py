@@ -1,7 +1,9 @@
 """Additive explanations of the linear model.
 
 A row's contributions live in one array column, so ordering them, picking the
-strongest and adding them up needs no shuffle at all.
+strongest and adding them up needs no shuffle at all. The array has one entry
+per feature, so it is taken apart by index: plain expressions that stay inside
+generated code, unlike lambdas over the array.
 """
 
 from __future__ import annotations
@@ -51,7 +53,9 @@ def linear_attribution(
         key,
         base.alias("base"),
         model.logit().alias("logit"),
-        F.array(*[entry(i, f) for i, f in enumerate(model.features)]).alias("contributions"),
+        F.array(*[entry(i, f) for i, f in enumerate(model.features)]).alias(
+            "contributions", metadata={"features": len(model.features)}
+        ),
     )
 
 
@@ -59,9 +63,15 @@ def attribution_long(attributed: DataFrame, key: str = ID) -> DataFrame:
     return attributed.select(key, "base", F.inline("contributions"))
 
 
+def _entries(attributed: DataFrame) -> list[Column]:
+    """The contributions one by one; their number is part of the column's metadata."""
+    n = attributed.schema["contributions"].metadata["features"]
+    return [F.col("contributions")[i] for i in range(n)]
+
+
 def additivity(attributed: DataFrame) -> DataFrame:
     """Rows, mean base, and the largest gap between ``base + sum(phi)`` and the logit."""
-    total = F.aggregate("contributions", F.lit(0.0), lambda acc, c: acc + c["phi"])
+    total = sum((c["phi"] for c in _entries(attributed)), F.lit(0.0))
     return attributed.agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg("base").alias("base"),
@@ -97,39 +107,47 @@ def global_importance(
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
-def _sorted_by(contributions: Column | str, key) -> Column:
-    """Contributions in ascending order of ``key(entry)``, ties in feature order."""
-    keyed = F.transform(contributions, lambda c: F.struct(key(c).alias("k"), c["position"].alias("i"), c.alias("c")))
-    return F.transform(F.array_sort(keyed), lambda s: s["c"])
-
-
 def explain_rows(attributed: DataFrame, k: int = FACTORS_PER_SIDE, min_phi: float = FACTOR_MIN_PHI) -> DataFrame:
     """Add ``increasing`` and ``decreasing``: up to ``k`` clear factors each, strongest first."""
-    up = F.filter("contributions", lambda c: c["phi"] > min_phi)
-    down = F.filter("contributions", lambda c: c["phi"] < -min_phi)
-    return attributed.withColumns(
-        {
-            "increasing": F.slice(_sorted_by(up, lambda c: -c["phi"]), 1, k),
-            "decreasing": F.slice(_sorted_by(down, lambda c: c["phi"]), 1, k),
-        }
-    )
+
+    def side(sign: float) -> Column:
+        # Entries that do not qualify are NULL, which a descending sort puts last.
+        strength = [c["phi"] * F.lit(sign) for c in _entries(attributed)]
+        ranked = F.sort_array(
+            F.array(
+                *[
+                    F.when(
+                        x > min_phi,
+                        F.struct(
+                            x.alias("strength"),
+                            (-c["position"]).alias("order"),
+                            c["feature"].alias("feature"),
+                            c["value"].alias("value"),
+                            c["phi"].alias("phi"),
+                        ),
+                    )
+                    for x, c in zip(strength, _entries(attributed), strict=True)
+                ]
+            ),
+            asc=False,
+        )
+        clear = sum((F.when(x > min_phi, 1).otherwise(0) for x in strength), F.lit(0))
+        return F.slice(ranked, F.lit(1), F.least(clear, F.lit(k)))
+
+    return attributed.withColumns({"increasing": side(1.0), "decreasing": side(-1.0)})
 
 
 def top_factors(attributed: DataFrame, key: str = ID, k: int = FACTORS_PER_SIDE) -> DataFrame:
     """Long form of ``explain_rows``: ``(key, side, rank, feature, value, phi)``."""
-    explained = explain_rows(attributed, k)
-
-    def side(name: str) -> DataFrame:
-        return explained.select(key, F.posexplode(name).alias("i", "c")).select(
-            key,
-            F.lit(name).alias("side"),
-            (F.col("i") + 1).alias("rank"),
-            "c.feature",
-            "c.value",
-            "c.phi",
-        )
-
-    return side("increasing").unionByName(side("decreasing"))
+    both = F.array(
+        *[F.struct(F.lit(n).alias("side"), F.col(n).alias("found")) for n in ("increasing", "decreasing")]
+    )
+    return (
+        explain_rows(attributed, k)
+        .select(key, F.inline(both))
+        .select(key, "side", F.posexplode("found").alias("i", "c"))
+        .select(key, "side", (F.col("i") + 1).alias("rank"), "c.feature", "c.value", "c.phi")
+    )
 
 
 def value_text(feature: Column, value: Column) -> Column:
@@ -153,48 +171,59 @@ def explanation_text(attributed: DataFrame, key: str = ID, k: int = FACTORS_PER_
             text.signed(c["phi"], 3),
         )
 
-    explained = explain_rows(attributed, k)
-    return explained.select(
-        key,
-        *[F.array_join(F.transform(s, sentence), "; ").alias(f"{s}_text") for s in ("increasing", "decreasing")],
-    )
+    def sentences(name: str) -> Column:
+        # A missing entry gives a NULL sentence, which concat_ws leaves out.
+        return F.concat_ws("; ", *[sentence(F.get(F.col(name), F.lit(i))) for i in range(k)]).alias(f"{name}_text")
+
+    return explain_rows(attributed, k).select(key, sentences("increasing"), sentences("decreasing"))
 
 
 def waterfall(attributed: DataFrame, key: str = ID) -> DataFrame:
     """Steps from the base to the logit, largest contribution first, then the total."""
-    ordered = _sorted_by("contributions", lambda c: -F.abs(c["phi"]))
-    step_type = "array<struct<feature:string,phi:double,start:double,end:double>>"
-
-    def add(steps: Column, c: Column) -> Column:
-        start = F.when(F.size(steps) == 0, F.col("base")).otherwise(F.try_element_at(steps, F.lit(-1))["end"])
-        return F.concat(
-            steps,
-            F.array(
-                F.struct(
-                    c["feature"].alias("feature"),
-                    c["phi"].alias("phi"),
-                    start.alias("start"),
-                    (start + c["phi"]).alias("end"),
-                )
-            ),
+    entries = _entries(attributed)
+    ordered = F.sort_array(
+        F.array(
+            *[
+                F.struct((-F.abs(c["phi"])).alias("k"), c["position"].alias("i"), c["feature"].alias("feature"), c["phi"].alias("phi"))
+                for c in entries
+            ]
         )
-
-    steps = F.aggregate(ordered, F.array().cast(step_type), add)
+    )
+    sorted_rows = attributed.select(key, F.col("base").alias("_level_0"), ordered.alias("_sorted"))
+    # One running level per step, each in terms of the one before.
+    for i in range(len(entries)):
+        level = F.col(f"_level_{i}") + F.col("_sorted")[i]["phi"]
+        sorted_rows = sorted_rows.withColumn(f"_level_{i + 1}", level)
+    steps = [
+        F.struct(
+            F.lit(i + 1).alias("step"),
+            F.col("_sorted")[i]["feature"].alias("feature"),
+            F.col("_sorted")[i]["phi"].alias("phi"),
+            F.col(f"_level_{i}").alias("start"),
+            F.col(f"_level_{i + 1}").alias("end"),
+        )
+        for i in range(len(entries))
+    ]
     total = F.struct(
+        F.lit(len(entries) + 1).alias("step"),
         F.lit("Prediction").alias("feature"),
         F.lit(0.0).alias("phi"),
         F.lit(0.0).alias("start"),
-        F.try_element_at(steps, F.lit(-1))["end"].alias("end"),
-    )
-    return (
-        attributed.select(key, F.posexplode(F.concat(steps, F.array(total))).alias("i", "s"))
-        .select(key, (F.col("i") + 1).alias("step"), "s.*")
+        F.col(f"_level_{len(entries)}").alias("end"),
     )
+    return sorted_rows.select(key, F.inline(F.array(*steps, total)))
 
 
 def force_data(attributed: DataFrame, key: str = ID) -> DataFrame:
     """Features from most risk-reducing to most risk-increasing, with label and sign."""
-    ordered = _sorted_by("contributions", lambda c: c["phi"])
+    ordered = F.sort_array(
+        F.array(
+            *[
+                F.struct(c["phi"].alias("phi"), c["position"].alias("i"), c["feature"].alias("feature"))
+                for c in _entries(attributed)
+            ]
+        )
+    )
     phi = F.col("c.phi")
     return attributed.select(key, F.posexplode(ordered).alias("i", "c")).select(
         key,

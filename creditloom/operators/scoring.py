@@ -82,22 +82,26 @@ def _rules() -> list[Column]:
     ]
 
 
+def _applied(inputs: DataFrame) -> tuple[DataFrame, Column]:
+    """The rules as columns, and the array of all of them with the 'balanced' note last."""
+    names = [f"_rule_{i}" for i in range(len(_rules()))]
+    note = F.struct(F.lit("balanced").alias("factor"), F.lit("").alias("effect"), F.lit(X.BALANCED).alias("text"))
+    balanced = F.when(F.coalesce(*names).isNull(), note)
+    return inputs.withColumns(dict(zip(names, _rules(), strict=True))), F.array(*names, balanced)
+
+
 def risk_factors(inputs: DataFrame) -> DataFrame:
     """Add ``factors``: the rules that apply, in rule order, or the one 'balanced' note."""
-    balanced = F.array(
-        F.struct(F.lit("balanced").alias("factor"), F.lit("").alias("effect"), F.lit(X.BALANCED).alias("text"))
-    )
-    found = F.filter(F.array(*_rules()), lambda r: r.isNotNull())
-    return inputs.withColumn("_found", found).select(
-        *inputs.columns, F.when(F.size("_found") > 0, F.col("_found")).otherwise(balanced).alias("factors")
-    )
+    ruled, entries = _applied(inputs)
+    return ruled.select(*inputs.columns, F.array_compact(entries).alias("factors"))
 
 
 def risk_factors_long(inputs: DataFrame, key: str = X.ID) -> DataFrame:
-    """One row per borrower and applying rule."""
+    """One row per borrower and applying rule; ``position`` is the rule's number."""
+    ruled, entries = _applied(inputs)
     return (
-        risk_factors(inputs)
-        .select(key, F.posexplode("factors").alias("position", "f"))
+        ruled.select(key, F.posexplode(entries).alias("position", "f"))
+        .where(F.col("f").isNotNull())
         .select(key, "position", "f.*")
     )
 
