@@ -243,8 +243,8 @@ def _(t):
 
 # Segmentation with given centres
 
-def _tiers(t):
-    return segmentation.segment(t.applications, SEGMENTS)[0]
+def _tiers(t, stored=False):
+    return segmentation.segment(t.applications, SEGMENTS, stored)[0]
 
 
 @query("assigned_clusters", "SELECT SK_ID_CURR, cluster FROM clustered", TIERS)
@@ -297,13 +297,13 @@ FROM (SELECT RISK_TIER, q1, median, q3, count({value}) AS n,
 
 @query("income_box_by_tier", _box_sql("AMT_INCOME_TOTAL"), TIERS)
 def _(t):
-    out = distributions.box_stats(_tiers(t), "AMT_INCOME_TOTAL", "RISK_TIER", X.RISK_TIERS)
+    out = distributions.box_stats(_tiers(t, stored=True), "AMT_INCOME_TOTAL", "RISK_TIER", X.RISK_TIERS)
     return rounded(out, 6, "q1", "median", "q3")
 
 
 @query("age_box_by_tier", _box_sql("AGE_YEARS"), TIERS)
 def _(t):
-    out = distributions.box_stats(_tiers(t), "AGE_YEARS", "RISK_TIER", X.RISK_TIERS)
+    out = distributions.box_stats(_tiers(t, stored=True), "AGE_YEARS", "RISK_TIER", X.RISK_TIERS)
     return rounded(out, 6, "q1", "median", "q3")
 
 

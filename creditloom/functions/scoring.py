@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -35,18 +35,19 @@ class LinearModel:
         mean, std = self.moments.get(feature, (0.0, 1.0))
         return (self.filled(feature) - F.lit(float(mean))) / F.lit(float(std) or 1.0)
 
-    def logit(self) -> Column:
+    def logit(self, z: Callable[[str], Column] | None = None) -> Column:
+        """``z`` may name where the standardised features already are."""
         total = F.lit(float(self.intercept))
         for feature, weight in self.weights.items():
-            total = total + F.lit(float(weight)) * self.z(feature)
+            total = total + F.lit(float(weight)) * (z or self.z)(feature)
         return total
 
     def probability(self) -> Column:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.logit()))
 
-    def contribution(self, feature: str, background: Column | None = None) -> Column:
+    def contribution(self, feature: str, background: Column | None = None, z: Column | None = None) -> Column:
         """``weight * (z - background)``; the default background is the training mean, z = 0."""
-        z = self.z(feature)
+        z = self.z(feature) if z is None else z
         away = z if background is None else z - background
         return F.lit(float(self.weights[feature])) * away
 

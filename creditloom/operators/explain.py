@@ -39,23 +39,39 @@ def linear_attribution(
         for f, w in model.weights.items():
             base = base + F.lit(float(w)) * F.col(f"bg_{f}")
 
-    def entry(i: int, f: str) -> Column:
-        neutral = None if background is None else F.col(f"bg_{f}")
-        return F.struct(
-            F.lit(i).alias("position"),
-            F.lit(f).alias("feature"),
-            F.col(f).cast("double").alias("value"),
-            model.z(f).alias("z"),
-            model.contribution(f, neutral).alias("phi"),
-        )
+    def neutral(f: str) -> Column | None:
+        return None if background is None else F.col(f"bg_{f}")
 
-    return df.select(
+    # In steps, each using the columns of the one before: short expressions
+    # make generated methods the JVM will compile.
+    features = model.features
+    standardised = df.select(
         key,
         base.alias("base"),
-        model.logit().alias("logit"),
-        F.array(*[entry(i, f) for i, f in enumerate(model.features)]).alias(
-            "contributions", metadata={"features": len(model.features)}
-        ),
+        *[F.col(f).cast("double").alias(f) for f in features],
+        *[F.col(f"bg_{f}") for f in features if background is not None],
+        *[model.z(f).alias(f"z_{f}") for f in features],
+    )
+    weighed = standardised.select(
+        key,
+        "base",
+        *features,
+        *[f"z_{f}" for f in features],
+        model.logit(lambda f: F.col(f"z_{f}")).alias("logit"),
+        *[model.contribution(f, neutral(f), F.col(f"z_{f}")).alias(f"phi_{f}") for f in features],
+    )
+    entries = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(f).alias("feature"),
+            F.col(f).alias("value"),
+            F.col(f"z_{f}").alias("z"),
+            F.col(f"phi_{f}").alias("phi"),
+        )
+        for i, f in enumerate(features)
+    ]
+    return weighed.select(
+        key, "base", "logit", F.array(*entries).alias("contributions", metadata={"features": len(features)})
     )
 
 

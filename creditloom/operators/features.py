@@ -40,6 +40,19 @@ def medians(df: DataFrame, columns: Sequence[str], accuracy: int | None = None)
     return {c: found[c][0.5] for c in columns}
 
 
+def _fill_zeros(df: DataFrame, exclude: Sequence[str]) -> DataFrame:
+    zeros = [c for c in numeric_columns(df) if c not in SCORES and c not in exclude]
+    return df.fillna(0, subset=zeros) if zeros else df
+
+
+def _clipped(column: str, lo: float | None, hi: float | None) -> Column:
+    x = F.col(column)
+    if lo is None:
+        return x
+    # The bare bounds functions would turn a NULL into a bound.
+    return F.when(x.isNotNull(), F.greatest(F.least(x.cast("double"), F.lit(hi)), F.lit(lo)))
+
+
 def impute_nulls(
     df: DataFrame, exclude: Sequence[str] = (ID, TARGET), accuracy: int | None = None
 ) -> DataFrame:
@@ -48,9 +61,8 @@ def impute_nulls(
     Identifiers and the outcome are left alone unless ``exclude`` says otherwise.
     """
     scores = [c for c in SCORES if c in df.columns and c not in exclude]
-    zeros = [c for c in numeric_columns(df) if c not in scores and c not in exclude]
-    filled = df.fillna(0, subset=zeros) if zeros else df
     known = {c: m for c, m in medians(df, scores, accuracy).items() if m is not None} if scores else {}
+    filled = _fill_zeros(df, exclude)
     return filled.fillna(known) if known else filled
 
 
@@ -67,21 +79,24 @@ def clip_outliers(
     if not present:
         return df
     bounds = quantile_values(df, {c: (lower, upper) for c in present}, accuracy)
-
-    def clipped(c: str) -> Column:
-        x, lo, hi = F.col(c), bounds[c][lower], bounds[c][upper]
-        if lo is None:
-            return x
-        # The bare bounds functions would turn a NULL into a bound.
-        return F.when(x.isNotNull(), F.greatest(F.least(x.cast("double"), F.lit(hi)), F.lit(lo)))
-
-    return df.withColumns({c: clipped(c) for c in present})
+    return df.withColumns({c: _clipped(c, bounds[c][lower], bounds[c][upper]) for c in present})
 
 
 def prepare_clustering_data(df: DataFrame, accuracy: int | None = None) -> tuple[DataFrame, list[str]]:
-    """Derived, imputed and clipped frame with the names of the cluster features."""
-    full = impute_nulls(add_derived_features(df), accuracy=accuracy)
-    out = clip_outliers(full, CLIPPED_FEATURES, accuracy=accuracy)
+    """Derived, imputed and clipped frame with the names of the cluster features.
+
+    The medians and the clip bounds come from the same passes over the data:
+    neither depends on the other.
+    """
+    full = _fill_zeros(add_derived_features(df), (ID, TARGET))
+    lower, upper = CLIP_BOUNDS
+    scores = [c for c in SCORES if c in full.columns]
+    ratios = [c for c in CLIPPED_FEATURES if c in full.columns]
+    wanted = {c: (0.5,) for c in scores} | {c: (lower, upper) for c in ratios}
+    found = quantile_values(full, wanted, accuracy) if wanted else {}
+    known = {c: found[c][0.5] for c in scores if found[c][0.5] is not None}
+    filled = full.fillna(known) if known else full
+    out = filled.withColumns({c: _clipped(c, found[c][lower], found[c][upper]) for c in ratios})
     return out, [c for c in CLUSTER_FEATURES if c in out.columns]
 
 

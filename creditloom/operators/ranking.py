@@ -1,9 +1,10 @@
 """Exact ranks, quantiles and running totals that never sort a table in one task.
 
-All three work the same way: a monotone cell function cuts the value range into
-a bounded number of cells, cells are counted with map-side combining, and only
-the few rows inside the cells that hold a wanted rank are ordered. Cells depend
-on the values alone, so recomputing a lost partition gives the same answer.
+Quantiles and selections cut the value range into a bounded number of cells,
+count them with map-side combining, and order only the few rows inside the cells
+that hold a wanted rank. Cells depend on the values alone, so recomputing a lost
+partition gives the same answer. Running totals add slice offsets to the totals
+within range-partitioned slices.
 
 Quantiles and selections run at call time, like ``DataFrame.approxQuantile``:
 what reaches the driver is one interval per wanted rank or one boundary per
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditloom.functions.keys import KEY_BITS
+from creditloom.session import materialise
 
 # At most 2 * 512 * ln(max double), about 730,000 coarse cells per column.
 CELLS_PER_E = 512.0
@@ -26,7 +28,6 @@ FINE_CELLS = 65536.0
 # Intervals with fewer rows than this are ordered, larger ones are cut further.
 ORDERED_ROWS = 2_000_000
 KEY_CELL_SHIFT = 14
-ROWS_PER_SLICE = 200_000
 
 
 def _coarse_cell(x: Column) -> Column:
@@ -198,33 +199,23 @@ def quantile_values(
 def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Add ``<name>_upto``: the sum of each column over all rows up to this one.
 
-    ``order`` must be unique within ``by``: aggregate first. Rows are cut into
-    contiguous slices of about ROWS_PER_SLICE rows, crowded cells into more
-    slices; the slice totals give each slice its starting offset.
+    ``order`` must be unique within ``by``: aggregate first. The rows are range
+    partitioned and written with their partition number, which fixes the slices
+    for good; the slice totals, one row per slice, give each slice its offset.
     """
     by = list(by)
-    x = F.col(order).cast("double")
-    celled = df.withColumn("cell", _coarse_cell(x))
-    cells = celled.groupBy(*by, "cell").agg(
-        F.count(F.lit(1)).alias("cell_rows"), F.min(x).alias("cell_lo"), F.max(x).alias("cell_hi")
-    )
-    pieces = F.ceil(F.col("cell_rows") / F.lit(float(ROWS_PER_SLICE))).cast("double")
-    sliced = (
-        celled.join(F.broadcast(cells), [*by, "cell"])
-        .withColumn("slice", _equal_width_cell(x, F.col("cell_lo"), F.col("cell_hi"), pieces))
-        .drop("cell_rows", "cell_lo", "cell_hi")
-    )
-    slice_keys = [*by, "cell", "slice"]
-    before = Window.partitionBy(*by).orderBy("cell", "slice").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = df.repartitionByRange(*by, order).withColumn("slice", F.spark_partition_id())
+    sliced = materialise(ranged, "ordered")
+    slice_keys = [*by, "slice"]
+    before = Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*slice_keys)
         .agg(*[F.sum(s).alias(s) for s in sums])
         .select(*slice_keys, *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s}_before") for s in sums])
     )
     inside = Window.partitionBy(*slice_keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return sliced.join(offsets, slice_keys).select(
-        *[F.col(c) for c in df.columns],
-        *[(F.col(f"{s}_before") + F.sum(s).over(inside)).alias(f"{s}_upto") for s in sums],
+    return sliced.join(F.broadcast(offsets), slice_keys).select(
+        *df.columns, *[(F.col(f"{s}_before") + F.sum(s).over(inside)).alias(f"{s}_upto") for s in sums]
     )
 
 

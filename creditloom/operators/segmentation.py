@@ -16,6 +16,7 @@ from creditloom.functions import text
 from creditloom.functions.labels import tier_rank
 from creditloom.operators.features import collect_moments, prepare_clustering_data, scale
 from creditloom.operators.frames import clustering_frame
+from creditloom.session import materialise
 
 
 @dataclass(frozen=True)
@@ -102,12 +103,18 @@ def map_clusters_to_risk(
     return df.withColumn("RISK_TIER", F.try_element_at(names, F.col(cluster).cast("int"))), tiers
 
 
-def segment(applications: DataFrame, fitted: Segmentation | None = None) -> tuple[DataFrame, Segmentation]:
-    """The whole flow: prepare, fit unless given, assign, name the tiers."""
+def segment(
+    applications: DataFrame, fitted: Segmentation | None = None, stored: bool = False
+) -> tuple[DataFrame, Segmentation]:
+    """The whole flow: prepare, fit unless given, assign, name the tiers.
+
+    ``stored`` writes the result to the shared folder first. Choose it when
+    several reports read the tiers, or filter on them.
+    """
     prepared, features = prepare_clustering_data(clustering_frame(applications))
     fitted = fitted or fit_kmeans(prepared, features)
     tiers, _ = map_clusters_to_risk(assign_clusters(prepared, fitted))
-    return tiers, fitted
+    return (materialise(tiers, "tiers") if stored else tiers), fitted
 
 
 def tier_summary(df: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def default_drivers(applications: DataFrame, feature: str = "EXT_SOURCE_2") -> d
 
 
 def risk_segmentation(applications: DataFrame) -> dict[str, DataFrame]:
-    tiers, _ = segmentation.segment(applications)
+    tiers, _ = segmentation.segment(applications, stored=True)
     return {
         "summary": segmentation.tier_summary(tiers),
         "rates": segmentation.default_rate_by_tier(tiers),
