@@ -109,6 +109,10 @@ UNION ALL SELECT 'second', TARGET, {logit(SECOND)} FROM model_rows""",
 )
 
 
+# The same over probabilities: distinct logits may share one.
+PROBABILITY_ROWS = cte("logit_rows", "SELECT model, TARGET, p AS s FROM both_models")
+
+
 @query("roc_auc", AUC, [MODEL_ROWS, LOGIT_ROWS])
 def _(t):
     rows = _rows(t)
@@ -130,9 +134,9 @@ def _(t):
 
 @query(
     "compare_models",
-    f"""SELECT metric, round("first", 9) AS "first", round("second", 9) AS "second",
+    f"""SELECT metric, round("first", 6) AS "first", round("second", 6) AS "second",
   CASE WHEN metric IN ('auc', 'f1') THEN CASE WHEN "first" > "second" THEN 'first' ELSE 'second' END END AS winner,
-  round(CASE WHEN metric IN ('auc', 'f1') THEN abs("first" - "second") END, 9) AS margin
+  round(CASE WHEN metric IN ('auc', 'f1') THEN abs("first" - "second") END, 6) AS margin
 FROM (SELECT metric, max(value) FILTER (WHERE model = 'first') AS "first", max(value) FILTER (WHERE model = 'second') AS "second"
 FROM (SELECT model, 'auc' AS metric, auc AS value FROM ({AUC})
   UNION ALL SELECT model, 'precision', coalesce(tp / nullif(tp + fp, 0), 0e0) FROM cells
@@ -142,7 +146,7 @@ FROM (SELECT model, 'auc' AS metric, auc AS value FROM ({AUC})
         MODEL_ROWS,
         SCORED,
         BOTH,
-        LOGIT_ROWS,
+        PROBABILITY_ROWS,
         cte(
             "cells",
             """SELECT model, count(*) FILTER (WHERE TARGET = 1 AND p > 0.5e0) AS tp, count(*) FILTER (WHERE TARGET = 0 AND p > 0.5e0) AS fp,
@@ -152,7 +156,7 @@ FROM (SELECT model, 'auc' AS metric, auc AS value FROM ({AUC})
 )
 def _(t):
     out = evaluation.compare_models(evaluation.evaluate(_both(t)), "first", "second")
-    return rounded(out, 9, "first", "second", "margin")
+    return rounded(out, 6, "first", "second", "margin")
 
 
 # Decisions
@@ -394,17 +398,17 @@ def _(t):
 
 @query(
     "stored_metrics",
-    f"SELECT model, 'auc' AS metric, auc AS value FROM ({AUC})",
-    [MODEL_ROWS, LOGIT_ROWS],
+    f"SELECT model, 'auc' AS metric, round(auc, 6) AS value FROM ({AUC})",
+    [MODEL_ROWS, SCORED, BOTH, PROBABILITY_ROWS],
 )
 def _(t):
     folder = scratch_path(t.spark, "metrics")
-    scored = _both(t)
+    ordered = evaluation.ordered_scores(_both(t), by=["model"])
     importance = modelling.importance_frame(
         t.spark, [(n, f, abs(w)) for n, m in (("first", FIRST), ("second", SECOND)) for f, w in m.weights.items()]
     )
-    stores.write_metrics(folder, evaluation.evaluate(scored), evaluation.roc_curve(scored, by=["model"]), importance)
-    return rounded(stores.read_metrics(t.spark, folder)["metrics"].where("metric = 'auc'"), 9, "value")
+    stores.write_metrics(folder, evaluation.metrics_of(ordered), evaluation.curve_of(ordered, ["model"]), importance)
+    return rounded(stores.read_metrics(t.spark, folder)["metrics"].where("metric = 'auc'"), 6, "value")
 
 
 @query("logistic_fit")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.fixed import TARGET, TOP_DRIVERS
@@ -58,19 +58,22 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     columns = list(columns)
 
-    def pair(a: str, b: str) -> Column:
-        return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y"))
-
     wanted = [*combinations(columns, 2), *((c, c) for c in columns)]
-    exploded = _as_doubles(df, columns).select(F.inline(F.array(*[pair(a, b) for a, b in wanted])))
-    upper = _pearson(exploded, ["a", "b"])
-    keys = F.explode(
-        F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
-            F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-        )
+    # The data carries a pair number; names are looked up in the small result.
+    pairs = F.array(
+        *[
+            F.struct(F.lit(i).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
+            for i, (a, b) in enumerate(wanted)
+        ]
     )
-    exact = F.when((F.col("k.a") == F.col("k.b")) & F.col("r").isNotNull(), F.lit(1.0)).otherwise(F.col("r"))
-    return upper.select(keys.alias("k"), "r").select("k.a", "k.b", exact.alias("r"))
+    upper = _pearson(_as_doubles(df, columns).select(F.inline(pairs)), ["pair"])
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in wanted])
+    named = upper.select(F.get(names, F.col("pair")).alias("k"), "r").select("k.a", "k.b", "r")
+    same = F.col("a") == F.col("b")
+    both_ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    exact = F.when(same & F.col("r").isNotNull(), F.lit(1.0)).otherwise(F.col("r"))
+    mirrored = F.explode(F.when(same, F.array(F.struct("a", "b"))).otherwise(both_ways))
+    return named.select(mirrored.alias("k"), exact.alias("r")).select("k.a", "k.b", "r")
 
 
 def pivot_matrix(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -79,8 +82,3 @@ def pivot_matrix(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
     for i, c in enumerate(columns):
         position = position.when(F.col("a") == c, i)
     return matrix.groupBy("a").pivot("b", list(columns)).agg(F.first("r")).orderBy(position)
-
-
-def rank_by(df: DataFrame, order: Column, tie: str, by: Sequence[str] = ()) -> DataFrame:
-    """Add ``rank`` to a small result (one row per feature), never to the data."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, tie)))

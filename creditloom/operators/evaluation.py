@@ -16,6 +16,20 @@ from creditloom.functions.scoring import hard_label
 from creditloom.operators.ranking import running_totals
 
 
+def _shares() -> dict[str, Column]:
+    """Precision, recall and F1 from the confusion counts; an undefined ratio is 0."""
+
+    def share(part: Column, whole: Column) -> Column:
+        return F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0))
+
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return {
+        "precision": share(tp, tp + fp),
+        "recall": share(tp, tp + fn),
+        "f1": share(tp * 2, tp * 2 + fp + fn),
+    }
+
+
 def binary_metrics(
     df: DataFrame, label: str = TARGET, score: str = "p", by: Sequence[str] = (), threshold: float = 0.5
 ) -> DataFrame:
@@ -25,20 +39,10 @@ def binary_metrics(
     def cell(actual: int, said: int) -> Column:
         return F.count_if((F.col(label) == actual) & (predicted == said))
 
-    def share(part: Column, whole: Column) -> Column:
-        return F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0))
-
     counts = df.groupBy(*by).agg(
         cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(0, 0).alias("tn")
     )
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return counts.withColumns(
-        {
-            "precision": share(tp, tp + fp),
-            "recall": share(tp, tp + fn),
-            "f1": share(tp * 2, tp * 2 + fp + fn),
-        }
-    )
+    return counts.withColumns(_shares())
 
 
 def score_counts(
@@ -52,14 +56,28 @@ def score_counts(
     )
 
 
+def ordered_scores(
+    df: DataFrame, label: str = TARGET, score: str = "p", by: Sequence[str] = ()
+) -> DataFrame:
+    """Score counts with running totals, stored: the one scoring pass that the AUC,
+    the curve and the threshold metrics can share."""
+    return running_totals(score_counts(df, label, score, by), "score", ["pos", "neg"], by)
+
+
+def _wins() -> Column:
+    """Correctly ordered (positive, negative) pairs, ties counting half."""
+    negatives_below = F.col("neg_upto") - F.col("neg")
+    return F.sum(F.col("pos") * (negatives_below + F.col("neg") / 2.0))
+
+
+def _auc() -> Column:
+    return F.try_divide(_wins(), F.sum("pos").cast("double") * F.sum("neg").cast("double"))
+
+
 def roc_auc(df: DataFrame, label: str = TARGET, score: str = "p", by: Sequence[str] = ()) -> DataFrame:
     """Exact area under the ROC curve: the share of (positive, negative) pairs in the
     right order, ties counting half. NULL when a class is missing."""
-    ordered = running_totals(score_counts(df, label, score, by), "score", ["neg"], by)
-    negatives_below = F.col("neg_upto") - F.col("neg")
-    wins = F.sum(F.col("pos") * (negatives_below + F.col("neg") / 2.0))
-    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return ordered.groupBy(*by).agg(F.try_divide(wins, pairs).alias("auc"))
+    return ordered_scores(df, label, score, by).groupBy(*by).agg(_auc().alias("auc"))
 
 
 def roc_curve(
@@ -74,8 +92,12 @@ def roc_curve(
     ``max_points`` thins the curve for drawing: of the points that fall into
     the same cell of an evenly divided unit square the first one is kept.
     """
+    return curve_of(ordered_scores(df, label, score, by), by, max_points)
+
+
+def curve_of(ordered: DataFrame, by: Sequence[str] = (), max_points: int | None = None) -> DataFrame:
+    """The ROC curve of stored ordered scores."""
     by = list(by)
-    ordered = running_totals(score_counts(df, label, score, by), "score", ["pos", "neg"], by)
     totals = ordered.groupBy(*by).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
     # One row per model.
     joined = ordered.join(F.broadcast(totals), by) if by else ordered.crossJoin(F.broadcast(totals))
@@ -114,11 +136,22 @@ def roc_curve(
     )
 
 
-def evaluate(df: DataFrame, label: str = TARGET, score: str = "p", by: Sequence[str] = ("model",)) -> DataFrame:
-    """``(model, metric, value)`` with auc, precision, recall and f1."""
+def metrics_of(ordered: DataFrame, by: Sequence[str] = ("model",), threshold: float = 0.5) -> DataFrame:
+    """``(model, metric, value)`` with auc, precision, recall and f1 of stored ordered scores."""
     keys = list(by)
-    wide = roc_auc(df, label, score, keys).join(binary_metrics(df, label, score, keys), keys)
-    return wide.unpivot(keys, ["auc", "precision", "recall", "f1"], "metric", "value")
+    above = F.col("score") > threshold
+    wide = ordered.groupBy(*keys).agg(
+        _auc().alias("auc"),
+        F.sum(F.when(above, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(above, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(above, 0).otherwise(F.col("pos"))).alias("fn"),
+    )
+    return wide.withColumns(_shares()).unpivot(keys, ["auc", "precision", "recall", "f1"], "metric", "value")
+
+
+def evaluate(df: DataFrame, label: str = TARGET, score: str = "p", by: Sequence[str] = ("model",)) -> DataFrame:
+    """Metrics of every model, from one pass over the scores."""
+    return metrics_of(ordered_scores(df, label, score, by), by)
 
 
 def compare_models(

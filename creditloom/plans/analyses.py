@@ -55,12 +55,12 @@ def risk_segmentation(applications: DataFrame) -> dict[str, DataFrame]:
 def train_and_store(applications: DataFrame, folder: str, rounds: int = X.TREE_ROUNDS) -> modelling.Trained:
     """Train both models, judge them on the test rows, write models and metrics."""
     trained = modelling.train_models(applications, rounds)
-    scored = trained.predictions()
+    ordered = evaluation.ordered_scores(trained.predictions(), by=["model"])
     save_models(trained.models, f"{folder.rstrip('/')}/models")
     write_metrics(
         f"{folder.rstrip('/')}/metrics",
-        evaluation.evaluate(scored),
-        evaluation.roc_curve(scored, by=["model"]),
+        evaluation.metrics_of(ordered),
+        evaluation.curve_of(ordered, ["model"]),
         trained.importance,
     )
     return trained
