@@ -6,7 +6,7 @@ a plain decimal literal means different types in the two.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,22 +62,29 @@ def as_ctes() -> str:
     return ",\n".join(f"{name} AS ({text.format(**names)})" for name, text in VIEWS.items())
 
 
-@dataclass(frozen=True)
 class Tables:
-    spark: SparkSession
-    applications: DataFrame
-    bureau: DataFrame
-    previous_application: DataFrame
+    """The loan tables over one folder of test tables, each bound when first used."""
 
-    @classmethod
-    def bind(cls, spark: SparkSession, sf_dir: str) -> Tables:
-        sources = {s: spark.read.parquet(f"{sf_dir.rstrip('/')}/{s}.parquet") for s in SOURCES}
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark = spark
+        self._dir = sf_dir.rstrip("/")
 
-        def view(text: str) -> DataFrame:
-            used = {s: df for s, df in sources.items() if f"{{{s}}}" in text}
-            return spark.sql(text, **used)
+    def _view(self, name: str) -> DataFrame:
+        text = VIEWS[name]
+        used = {s: self.spark.read.parquet(f"{self._dir}/{s}.parquet") for s in SOURCES if f"{{{s}}}" in text}
+        return self.spark.sql(text, **used)
 
-        return cls(spark, *[view(text) for text in VIEWS.values()])
+    @cached_property
+    def applications(self) -> DataFrame:
+        return self._view("applications")
+
+    @cached_property
+    def bureau(self) -> DataFrame:
+        return self._view("bureau")
+
+    @cached_property
+    def previous_application(self) -> DataFrame:
+        return self._view("previous_application")
 
     def named(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in VIEWS}

@@ -9,7 +9,7 @@ from checks.registry import query, rounded
 from checks.sql import ATTRIBUTION, BAND, MODEL_ROWS, cte, logit, phi, probability, union
 from creditloom import fixed as X
 from creditloom.functions import labels
-from creditloom.operators import evaluation, explain, frames, modelling, sampling, scoring
+from creditloom.operators import evaluation, explain, frames, modelling, scoring
 from creditloom.operators import features as feats
 from creditloom.session import scratch_path
 from creditloom.sources import stores
@@ -413,12 +413,8 @@ def _(t):
 
 @query("logistic_fit")
 def _(t):
-    rows = sampling.stratified_split(_rows(t))
-    train = rows.where(~F.col("is_test"))
-    prep = modelling.fit_preprocessor(train)
-    fitted = modelling.linear_model(modelling.fit_logistic(train, prep), prep)
-    scored = scoring.predict_proba(rows.where("is_test"), fitted).withColumn("model", F.lit("logreg"))
-    return evaluation.evaluate(scored)
+    trained = modelling.train_models(t.applications, only=(X.LOGISTIC,))
+    return evaluation.evaluate(trained.predictions())
 
 
 @query("train_and_compare")

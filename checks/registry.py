@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None, ctes: Sequence[str] = ()):
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables.bind(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
             ORACLE[name] = with_tables(sql, *ctes)
         return fn

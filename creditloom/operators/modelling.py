@@ -181,11 +181,11 @@ def compare_importance(importance: DataFrame, first: str, second: str, top: int
 
 @dataclass(frozen=True)
 class Trained:
-    """Both fitted pipelines with what is needed to explain and judge them."""
+    """The fitted pipelines with what is needed to explain and judge them."""
 
     prep: Preprocessor
     models: Mapping[str, PipelineModel]
-    linear: LinearModel
+    linear: LinearModel | None
     split: DataFrame
     importance: DataFrame
 
@@ -202,25 +202,33 @@ class Trained:
 
 
 def train_models(
-    applications: DataFrame, rounds: int = X.TREE_ROUNDS, accuracy: int | None = None
+    applications: DataFrame,
+    rounds: int = X.TREE_ROUNDS,
+    accuracy: int | None = None,
+    only: Sequence[str] = (X.LOGISTIC, X.BOOSTED),
 ) -> Trained:
-    """Split, preprocess and fit both classifiers on the training rows."""
+    """Split, preprocess and fit the classifiers on the training rows.
+
+    ``only`` names the models to fit; without the logistic one there is no
+    linear model to explain.
+    """
     prepared, features = prepare_model_features(training_frame(applications), impute=False)
     split = stratified_split(prepared.select(X.ID, X.TARGET, *features))
     train = split.where(~F.col("is_test")).persist(StorageLevel.MEMORY_AND_DISK)
+    models = {}
     try:
         prep = fit_preprocessor(train, features, accuracy)
-        models = {
-            X.LOGISTIC: fit_logistic(train, prep),
-            X.BOOSTED: fit_boosted_trees(train, prep, rounds=rounds),
-        }
+        if X.LOGISTIC in only:
+            models[X.LOGISTIC] = fit_logistic(train, prep)
+        if X.BOOSTED in only:
+            models[X.BOOSTED] = fit_boosted_trees(train, prep, rounds=rounds)
     finally:
         train.unpersist()
     rows = [r for name, m in models.items() for r in importances(name, m, features)]
     return Trained(
         prep,
         models,
-        linear_model(models[X.LOGISTIC], prep),
+        linear_model(models[X.LOGISTIC], prep) if X.LOGISTIC in models else None,
         split,
         importance_frame(applications.sparkSession, rows),
     )

@@ -28,4 +28,4 @@ def small_dir():
 def tables(spark, small_dir):
     from checks.binding import Tables
 
-    return Tables.bind(spark, small_dir)
+    return Tables(spark, small_dir)
