@@ -264,7 +264,9 @@ def _(t):
     [shuffled("applications"), f"sampled AS ({_first_of_class(920, 80)})"],
 )
 def _(t):
-    return sampling.subset_children(t.bureau, sampling.stratified_sample(t.applications, SAMPLE))
+    return sampling.subset_children(
+        t.bureau, sampling.stratified_sample(t.applications, SAMPLE), sampled_rows=sum(SAMPLE.values())
+    )
 
 
 @query(
@@ -273,7 +275,9 @@ def _(t):
     [shuffled("applications"), f"sampled AS ({_first_of_class(920, 80)})"],
 )
 def _(t):
-    return sampling.subset_children(t.previous_application, sampling.stratified_sample(t.applications, SAMPLE))
+    return sampling.subset_children(
+        t.previous_application, sampling.stratified_sample(t.applications, SAMPLE), sampled_rows=sum(SAMPLE.values())
+    )
 
 
 @query(

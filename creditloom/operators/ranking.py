@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,8 @@ CELLS_PER_E = 512.0
 FINE_CELLS = 65536.0
 # Intervals with fewer rows than this are ordered, larger ones are cut further.
 ORDERED_ROWS = 2_000_000
-KEY_CELL_SHIFT = 14
+# 2**18 cells of a 32-bit key.
+KEY_CELL_SHIFT = KEY_BITS - 18
 
 
 def _coarse_cell(x: Column) -> Column:
@@ -229,10 +230,12 @@ def mark_first(
 ) -> DataFrame:
     """Add ``selected``: true for the first rows of each stratum by (key, tie).
 
-    ``key`` is a 32-bit shuffle key; ``quota(stratum, rows)`` says how many rows
-    to select. Key cells are counted; the cells before the one where the quota
-    is used up are taken whole, and only the rows of that one cell per stratum
-    are ranked. Rows outside ``strata`` are dropped.
+    ``key`` is a 32-bit shuffle key of the identifier ``tie``; ``quota(stratum,
+    rows)`` says how many rows to select. Key cells are counted to find the cell
+    in which the quota is used up, then the identifiers of that cell to find
+    the last selected one, so the result is a plain comparison per row. Only
+    if the rows of that one identifier are to be taken in part are they
+    numbered. Rows outside ``strata`` are dropped.
     """
     group = [stratum] if stratum else []
     if stratum:
@@ -240,33 +243,50 @@ def mark_first(
     keyed = df.withColumn("_key", key).withColumn("_cell", F.shiftright("_key", KEY_CELL_SHIFT))
     counts = keyed.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("n")).persist()
     try:
-        totals = {r[0] if stratum else None: r["n"] for r in counts.groupBy(*group).agg(F.sum("n").alias("n")).collect()}
+        totals = {_name(r, stratum): r["n"] for r in counts.groupBy(*group).agg(F.sum("n").alias("n")).collect()}
         quotas = {s: quota(s, totals.get(s) or 0) for s in (strata if stratum else [None])}
-        upto = F.sum("n").over(Window.partitionBy(*group).orderBy("_cell"))
-        before = counts.withColumn("before", upto - F.col("n"))
-        wanted = _per_stratum(stratum, quotas)
-        boundary = {
-            (r[stratum] if stratum else None): r
-            for r in before.where((F.col("before") < wanted) & (F.col("before") + F.col("n") >= wanted)).collect()
-        }
+        cells = _using_up(counts, group, ["_cell"], _per_stratum(stratum, quotas))
     finally:
         counts.unpersist()
-    # Without a boundary nothing is wanted (cell -1 comes before all).
-    last = _per_stratum(stratum, {s: boundary[s]["_cell"] if s in boundary else -1 for s in quotas})
-    need = _per_stratum(stratum, {s: q - boundary[s]["before"] if s in boundary else 0 for s, q in quotas.items()})
-    clear = keyed.where(F.col("_cell") != last).withColumn("selected", F.col("_cell") < last)
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy("_key", tie))
-    contested = keyed.where(F.col("_cell") == last).withColumn("selected", rank <= need)
-    return clear.unionByName(contested).select(*df.columns, "selected")
+    found = {_name(r, stratum): r for r in cells}
+    if not found:
+        return df.withColumn("selected", F.lit(False))
+    in_cell = F.col("_cell") == _per_stratum(stratum, {s: r["_cell"] for s, r in found.items()})
+    need = {s: quotas[s] - r["before"] for s, r in found.items()}
+    ids = keyed.where(in_cell).groupBy(*group, "_key", tie).agg(F.count(F.lit(1)).alias("n"))
+    last = {_name(r, stratum): r for r in _using_up(ids, group, ["_key", tie], _per_stratum(stratum, need))}
+
+    at_key = F.col("_key") == _per_stratum(stratum, {s: r["_key"] for s, r in last.items()})
+    tie_value = _per_stratum(stratum, {s: r[tie] for s, r in last.items()})
+    earlier = (F.col("_key") < _per_stratum(stratum, {s: r["_key"] for s, r in last.items()})) | (
+        at_key & (F.col(tie) <= tie_value)
+    )
+    marked = keyed.withColumn("selected", F.coalesce(earlier, F.lit(False)))
+    copies = {s: need[s] - r["before"] for s, r in last.items() if need[s] - r["before"] < r["n"]}
+    if copies:
+        shared = at_key & (F.col(tie) == tie_value) & _per_stratum(stratum, copies).isNotNull()
+        number = F.row_number().over(Window.partitionBy(*group).orderBy(tie))
+        part = marked.where(shared).withColumn("selected", number <= _per_stratum(stratum, copies))
+        marked = marked.where(~F.coalesce(shared, F.lit(False))).unionByName(part)
+    return marked.select(*df.columns, "selected")
+
+
+def _name(row: Row, stratum: str | None) -> object:
+    return row[stratum] if stratum else None
+
 
+def _using_up(counts: DataFrame, group: Sequence[str], order: Sequence[str], quota: Column) -> list[Row]:
+    """Per group the row, with ``before``, at which the running count reaches the quota."""
+    upto = F.sum("n").over(Window.partitionBy(*group).orderBy(*order))
+    running = counts.withColumn("before", upto - F.col("n"))
+    return running.where((F.col("before") < quota) & (F.col("before") + F.col("n") >= quota)).collect()
 
-def _per_stratum(stratum: str | None, values: Mapping[object, int]) -> Column:
+
+def _per_stratum(stratum: str | None, values: Mapping[object, object]) -> Column:
+    """The value of the row's stratum, NULL where it has none."""
     if stratum is None:
-        return F.lit(values[None])
+        return F.lit(values.get(None))
     out = F
     for s, v in values.items():
         out = out.when(F.col(stratum) == s, F.lit(v))
-    return out
-
-
-KEY_CELLS = 1 << (KEY_BITS - KEY_CELL_SHIFT)
+    return out if values else F.lit(None)

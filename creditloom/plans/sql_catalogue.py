@@ -68,7 +68,8 @@ QUERY_TIPS = {
     "Default rate by any categorical column": rate_by_column("NAME_CONTRACT_TYPE"),
     "Age analysis": "SELECT SK_ID_CURR, DAYS_BIRTH / -365 AS age_years, TARGET FROM applications",
     "Join with bureau data": """
-SELECT a.SK_ID_CURR, a.TARGET, count(b.SK_ID_BUREAU) AS bureau_count
-FROM applications AS a LEFT JOIN bureau AS b ON b.SK_ID_CURR = a.SK_ID_CURR
+WITH records AS (SELECT SK_ID_CURR, count(SK_ID_BUREAU) AS n FROM bureau GROUP BY SK_ID_CURR)
+SELECT a.SK_ID_CURR, a.TARGET, sum(coalesce(n, 0)) AS bureau_count
+FROM applications AS a LEFT JOIN records ON records.SK_ID_CURR = a.SK_ID_CURR
 GROUP BY a.SK_ID_CURR, a.TARGET""",
 }
