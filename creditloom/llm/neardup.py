@@ -294,9 +294,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     homes = classes.join(final, classes["rep"] == final["node"], "left").select(
         F.col("word_key").alias("_key"), F.coalesce("component", "rep").alias("home")
     )
-    found = sketches.withColumn(
-        "_key", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("word_key"))
-    ).join(homes, "_key", "left")
+    # Documents without words look for a class of their own, so that they don't meet in one task.
+    own = F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")
+    wordy_key = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("word_key"))
+    found = sketches.withColumn("_key", F.coalesce(wordy_key, own)).join(homes, "_key", "left")
     component = F.coalesce("home", "doc_id")
     return found.select(
         "doc_id",
