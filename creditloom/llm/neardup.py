@@ -8,15 +8,17 @@ with an equal band are candidates.
 
 1. Documents with equal word sequences form a class; its smallest doc_id stands
    for it, so that copies cost nothing further.
-2. In every band bucket each document is paired with one member, chosen by hash
-   and so another one in every band. That is one pair a document and band, no
+2. In every band bucket each document is paired with two members: the one whose
+   bands are shared most, as the middle of a family is, and one chosen by hash,
+   another in every band. That is two pairs a document and band at most, no
    matter how large the bucket is.
 3. Pairs whose estimated similarity (equal registers less the collisions that
    compression causes, by non-empty registers) may reach the threshold are
    confirmed on the full shingle sets. Linked classes become components.
-4. In buckets of three or more that still hold several components, all pairs
-   of different components are tested the same way. Pairs inside a component
-   can't change the result, so no link between components is left out.
+4. In buckets of three or more that still hold several components, pairs of
+   different components are tested the same way, as far as exact bounds on the
+   intersection allow a link. Pairs inside a component can't change the result,
+   so no link between components is left out.
 
 With 25 bands of 5 registers a pair at similarity 0.85 shares no band with a
 probability of 4e-7.
@@ -46,7 +48,11 @@ SLACK = 0.17
 COLLISION = 0.169919487159739 / 2**MANTISSA
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_EDGES = np.array([(i << 64) // REGISTERS for i in range(REGISTERS)], dtype=np.uint64)
+#: Registers of the finer sketch, which only members of crowded buckets get, and its slack.
+FINE_REGISTERS, FINE_SLACK = 1024, 0.06
+_EDGES = {
+    n: np.array([(i << 64) // n for i in range(n)], dtype=np.uint64) for n in (REGISTERS, FINE_REGISTERS)
+}
 #: Words whose hashes a worker remembers.
 _REMEMBERED = 1 << 20
 
@@ -86,35 +92,41 @@ def shingle_hashes(words: list[bytes], hashes: dict[bytes, int]) -> np.ndarray:
     return np.unique(total)
 
 
-def registers_of(shingles: np.ndarray) -> np.ndarray:
-    """A register for every bucket; 0 where the bucket is empty.
+def registers_of(shingles: np.ndarray, count: int = REGISTERS) -> np.ndarray:
+    """A register for each of ``count`` buckets; 0 where the bucket is empty.
 
     Sorted hashes lie in the order of their buckets, so a bucket's smallest hash
     is the first one at or after its edge.
     """
-    first = np.searchsorted(shingles, _EDGES)
+    edges = _EDGES[count]
+    first = np.searchsorted(shingles, edges)
     empty = first == np.append(first[1:], len(shingles))
-    offsets = shingles[np.minimum(first, len(shingles) - 1)] - _EDGES if len(shingles) else _EDGES
-    share = offsets.astype(np.float64) * (REGISTERS / 2.0**64)
+    offsets = shingles[np.minimum(first, len(shingles) - 1)] - edges if len(shingles) else edges
+    share = offsets.astype(np.float64) * (count / 2.0**64)
     fraction, exponent = np.frexp(np.maximum(share, 2.0**-60))
     zeros = np.clip(-exponent, 0, 62)
     bits = ((fraction * 2 - 1) * (1 << MANTISSA)).astype(np.int64)
     return np.where(empty, 0, 1 + np.minimum((zeros << MANTISSA) + bits, 65534)).astype(np.uint64)
 
 
+def tagged(registers: np.ndarray) -> np.ndarray:
+    """The non-empty registers, each with its place in the upper bits."""
+    places = np.arange(len(registers), dtype=np.int64) << 16
+    return (places + registers.astype(np.int64))[registers > 0].astype(np.int32)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
-    places = np.arange(REGISTERS, dtype=np.int64) << 16
     seeds = _mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
     for batch in batches:
-        keys, counts, tagged, bands = [], [], [], []
+        keys, counts, marked, bands = [], [], [], []
         for text in batch.column("text"):
             words = words_of(text.as_py())
             shingles = shingle_hashes(words, hashes)
             registers = registers_of(shingles)
             keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
             counts.append(len(shingles))
-            tagged.append((places + registers.astype(np.int64))[registers > 0].astype(np.int32))
+            marked.append(tagged(registers))
             grid = registers.reshape(BANDS, BAND_WIDTH)
             band = seeds
             for i in range(BAND_WIDTH):
@@ -125,7 +137,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("doc_id"),
                 pa.array(keys, pa.binary()),
                 pa.array(counts, pa.int64()),
-                pa.array(tagged, pa.list_(pa.int32())),
+                pa.array(marked, pa.list_(pa.int32())),
                 pa.array(bands, pa.list_(pa.int64())),
             ],
             names=["doc_id", "word_key", "n_shingles", "registers", "bands"],
@@ -142,13 +154,15 @@ def sketch(docs: DataFrame) -> DataFrame:
     return thin.mapInArrow(_sketches, SKETCH)
 
 
-def estimated_similarity(left: Column, right: Column) -> Column:
+def estimated_similarity(left: Column, right: Column, filled: Column | None = None) -> Column:
     """Similarity of two lists of tagged registers, corrected for chance collisions.
 
-    The share is of the larger list: registers that are empty in both count
-    neither way, and short documents are rather over- than underestimated.
+    The share is of the ``filled`` registers, those that either document fills.
+    Without them it is of the longer list, which rather overestimates documents
+    that are too short to fill all registers.
     """
-    share = F.size(F.array_intersect(left, right)) / F.greatest(F.size(left), F.size(right))
+    most = F.greatest(F.size(left), F.size(right)) if filled is None else filled
+    share = F.size(F.array_intersect(left, right)) / most
     return (share - F.lit(COLLISION)) / F.lit(1 - COLLISION)
 
 
@@ -159,38 +173,41 @@ def _shingle_set(text: str | None) -> set:
     return set(zip(*(words[i:] for i in range(SHINGLE)), strict=False))
 
 
-def _confirm(percent: int):
-    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, set()
-        for batch in batches:
-            kept = []
-            left, right = batch.column("left_text"), batch.column("right_text")
-            for i, a in enumerate(batch.column("a").to_pylist()):
-                if last != a:
-                    last, known = a, _shingle_set(left[i].as_py())
-                other = _shingle_set(right[i].as_py())
-                common = len(known & other)
-                kept.append(bool(common) and 100 * common >= percent * (len(known) + len(other) - common))
-            mask = pa.array(kept, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"]
-            )
-
-    return confirmed
+def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, known = None, set()
+    for batch in batches:
+        counts = []
+        left, right = batch.column("left_text"), batch.column("right_text")
+        for i, a in enumerate(batch.column("a").to_pylist()):
+            if last != a:
+                last, known = a, _shingle_set(left[i].as_py())
+            other = _shingle_set(right[i].as_py())
+            counts.append((len(known & other), len(known), len(other)))
+        columns = zip(*counts, strict=True) if counts else [()] * 3
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), *(pa.array(c, pa.int64()) for c in columns)],
+            names=["a", "b", "both", "of_a", "of_b"],
+        )
 
 
-def confirmed_links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+def intersections(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """For pairs (a, b) the sizes both, of_a and of_b of their full shingle sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left_text"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right_text"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "left_text", "right_text").mapInArrow(
-        _confirm(percent), "a long, b long"
+        _intersect, "a long, b long, both long, of_a long, of_b long"
     )
 
 
+def confirmed_links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
+    similar = (F.col("both") > 0) & (F.col("both") * 100 >= (F.col("of_a") + F.col("of_b") - F.col("both")) * percent)
+    return intersections(pairs, docs).filter(similar).select("a", "b")
+
+
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sketches allow the threshold."""
     sketches = reps.select("doc_id", "registers")
@@ -233,16 +250,93 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
 
 
 def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, band, center, members) of shared bands, and a pair with each center."""
+    """Rows (doc_id, band, members) of shared bands, and pairs with their buckets' centers."""
     entries = reps.select("doc_id", F.explode("bands").alias("band"))
-    buckets = entries.groupBy("band").agg(
-        F.min_by("doc_id", F.xxhash64("doc_id", "band")).alias("center"), F.count(F.lit(1)).alias("members")
-    )
+    buckets = entries.groupBy("band").agg(F.count(F.lit(1)).alias("members"))
     shared = materialise(entries.join(buckets.filter("members > 1"), "band"), "dedup-bands")
-    pairs = shared.filter("doc_id != center").select(
+    fame = shared.groupBy("doc_id").agg(F.sum("members").alias("fame"))
+    centers = (
+        shared.join(fame, "doc_id")
+        .groupBy("band")
+        .agg(
+            F.max_by("doc_id", F.struct("fame", F.xxhash64("doc_id"))).alias("known"),
+            F.min_by("doc_id", F.xxhash64("doc_id", "band")).alias("drawn"),
+        )
+    )
+    met = shared.join(centers, "band").select("doc_id", F.explode(F.array("known", "drawn")).alias("center"))
+    pairs = met.filter("doc_id != center").select(
         F.least("doc_id", "center").alias("a"), F.greatest("doc_id", "center").alias("b")
     )
-    return shared, pairs.distinct()
+    return shared, materialise(pairs.distinct(), "dedup-pairs")
+
+
+def _details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = _Hashes()
+    for batch in batches:
+        found = [shingle_hashes(words_of(x.as_py()), hashes) for x in batch.column("text")]
+        fine = [tagged(registers_of(x, FINE_REGISTERS)) for x in found]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())),
+                pa.array(fine, pa.list_(pa.int32())),
+                pa.array([x >> 16 for x in fine], pa.list_(pa.int32())),
+            ],
+            names=["doc_id", "shingles", "fine", "places"],
+        )
+
+
+def _detailed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The finer sketches of the documents ``ids``, and how many shingles others of them have too."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    details = materialise(
+        texts.mapInArrow(_details, "doc_id long, shingles array<long>, fine array<int>, places array<int>"),
+        "dedup-details",
+    )
+    single = details.select("doc_id", F.explode("shingles").alias("shingle"))
+    several = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
+    common = single.join(several, "shingle").groupBy("doc_id").agg(F.count(F.lit(1)).alias("common"))
+    return details.select("doc_id", "fine", "places").join(common, "doc_id")
+
+
+def _rest_pairs(
+    shared: DataFrame, reps: DataFrame, first: DataFrame, docs: DataFrame, percent: int
+) -> DataFrame:
+    """Pairs of different components in one bucket that may be similar enough.
+
+    An intersection is no larger than what either document has in common with
+    any other, so documents full of shingles of their own drop out before pairs
+    are made; that loses no link. The finer sketch then rejects most pairs that
+    come close to the threshold, as the members of a large family do.
+    """
+    placed = shared.filter("members > 2").join(first, shared["doc_id"] == first["node"], "left")
+    placed = placed.select("doc_id", "band", F.coalesce("component", "doc_id").alias("component"))
+
+    def mixed(rows: DataFrame, *more: Column) -> DataFrame:
+        ends = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), *more)
+        return ends.filter("low < high").drop("low", "high")
+
+    rest = materialise(placed.join(mixed(placed), "band"), "dedup-rest")
+    detailed = _detailed(docs, rest.select("doc_id").distinct())
+    sized = rest.join(detailed, "doc_id").join(reps.select("doc_id", "n_shingles", "registers"), "doc_id")
+    sized = materialise(sized.filter(F.col("common") * 100 >= F.col("n_shingles") * percent), "dedup-rest-sized")
+    sized = sized.join(mixed(sized, F.min("n_shingles").alias("smallest")), "band")
+    enough = F.col("common") * (100 + percent) >= (F.col("n_shingles") + F.col("smallest")) * percent
+    sized = materialise(sized.filter(enough).drop("smallest"), "dedup-rest-open")
+    sized = sized.join(mixed(sized), "band")
+
+    def side(mark: str) -> DataFrame:
+        return sized.select("band", *[F.col(c).alias(f"{c}_{mark}") for c in sized.columns if c != "band"])
+
+    most = F.least("common_a", "common_b") * (100 + percent)
+    able = most >= (F.col("n_shingles_a") + F.col("n_shingles_b")) * percent
+    close = estimated_similarity(F.col("registers_a"), F.col("registers_b")) >= percent / 100 - SLACK
+    filled = F.size(F.array_union("places_a", "places_b"))
+    closer = estimated_similarity(F.col("fine_a"), F.col("fine_b"), filled) >= percent / 100 - FINE_SLACK
+    met = side("a").join(side("b"), "band").filter("doc_id_a < doc_id_b AND component_a != component_b")
+    near = met.filter(able & close & closer)
+    return near.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -264,27 +358,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reps = materialise(
         wordy.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
         .dropDuplicates(["doc_id"])
-        .select("doc_id", "registers", "bands"),
+        .select("doc_id", "n_shingles", "registers", "bands"),
         "dedup-reps",
     )
     shared, star_pairs = _candidates(reps)
     links = materialise(confirmed_links(_likely(star_pairs, reps, percent), docs, percent), "dedup-links")
     first = components(links)
 
-    # What is left: pairs of different components in buckets of three or more.
-    placed = shared.filter("members > 2").join(first, shared["doc_id"] == first["node"], "left")
-    placed = placed.select("doc_id", "band", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    rest = placed.join(mixed.filter("low < high").select("band"), "band")
-    rest = materialise(rest.join(reps.select("doc_id", "registers"), "doc_id"), "dedup-rest")
-    left = rest.select(
-        "band", F.col("doc_id").alias("a"), F.col("component").alias("of_a"), F.col("registers").alias("left_registers")
-    )
-    right = rest.select(
-        "band", F.col("doc_id").alias("b"), F.col("component").alias("of_b"), F.col("registers").alias("right_registers")
-    )
-    close = estimated_similarity(F.col("left_registers"), F.col("right_registers")) >= percent / 100 - SLACK
-    others = left.join(right, "band").filter("a < b AND of_a != of_b").filter(close).select("a", "b").distinct()
+    others = _rest_pairs(shared, reps, first, docs, percent)
     more = materialise(
         confirmed_links(others.join(star_pairs, ["a", "b"], "left_anti"), docs, percent), "dedup-more-links"
     )

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from creditloom.llm import neardup
 
@@ -103,7 +104,7 @@ def test_estimate_is_unbiased(spark):
         b = a[: 750 + 3 * n] + [f"y{draw.randrange(10**6)}" for _ in range(750 - 3 * n)]
         for words in (a, b):
             found = neardup.registers_of(neardup.shingle_hashes([w.encode() for w in words], hashes))
-            rows.append([int(i << 16 | r) for i, r in enumerate(found) if r])
+            rows.append(neardup.tagged(found).tolist())
         sa, sb = shingles(" ".join(a)), shingles(" ".join(b))
         exact.append(len(sa & sb) / len(sa | sb))
     df = spark.createDataFrame(
@@ -114,6 +115,25 @@ def test_estimate_is_unbiased(spark):
     assert abs(off.mean()) < 0.01 and np.abs(off).max() < neardup.SLACK
 
 
+def test_finer_estimate_of_short_documents(spark):
+    """With fewer shingles than registers the finer sketch nearly is the set."""
+    draw = random.Random(8)
+    hashes = neardup._Hashes()
+    a = [f"x{draw.randrange(10**6)}".encode() for _ in range(150)]
+    rows = []
+    for n in range(12):
+        b = list(a)
+        for at in draw.sample(range(150), n):
+            b[at] = b"other"
+        fine = [neardup.tagged(neardup.registers_of(neardup.shingle_hashes(w, hashes), 1024)) for w in (a, b)]
+        exact = len(set(zip(a, a[1:], a[2:], a[3:], a[4:], strict=False)) & set(zip(b, b[1:], b[2:], b[3:], b[4:], strict=False)))
+        rows.append((exact / (292 - exact), *[f.tolist() for f in fine], *[(f >> 16).tolist() for f in fine]))
+    df = spark.createDataFrame(rows, "exact double, a array<int>, b array<int>, pa array<int>, pb array<int>")
+    filled = F.size(F.array_union("pa", "pb"))
+    for r in df.withColumn("e", neardup.estimated_similarity(df["a"], df["b"], filled)).collect():
+        assert abs(r["e"] - r["exact"]) < neardup.FINE_SLACK
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 99)], "a long, b long")
     got = {r["node"]: r["component"] for r in neardup.components(links).collect()}
