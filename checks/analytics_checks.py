@@ -309,7 +309,51 @@ def _(t):
 
 # Fits: rows only
 
-@query("kmeans_segment")
+@query(
+    "kmeans_segment",
+    """SELECT (SELECT count(*) FROM applications WHERE EXT_SOURCE_2 IS NOT NULL) AS rows_kept, CAST(3 AS BIGINT) AS tiers,
+  true AS ordered_by_score, true AS no_dearer_than_one_seed""",
+)
+def _(t):
+    """All rows kept, tiers in the order of their scores, and restarts that only help."""
+    tiers, fitted = segmentation.segment(t.applications)
+    prepared, features = feats.prepare_clustering_data(frames.clustering_frame(t.applications))
+    single = segmentation.fit_kmeans(prepared, features, restarts=1)
+    score = {name: F.avg(F.when(F.col("RISK_TIER") == name, F.col("EXT_SOURCE_AVG"))) for name in X.RISK_TIERS}
+    low, medium, high = (score[name] for name in X.RISK_TIERS)
+    return tiers.agg(
+        F.count(F.lit(1)).alias("rows_kept"),
+        F.count_distinct("RISK_TIER").alias("tiers"),
+        ((low > medium) & (medium > high)).alias("ordered_by_score"),
+        F.lit(fitted.cost <= single.cost).alias("no_dearer_than_one_seed"),
+    )
+
+
+NAN_DRIVERS = ("AMT_INCOME_TOTAL", "AMT_CREDIT", "EXT_SOURCE_2")
+
+
+@query(
+    "correlation_with_nan",
+    " UNION ALL ".join(
+        f"""SELECT '{a}' AS a, '{b}' AS b, round(CASE WHEN '{a}' = '{b}' THEN 1e0 ELSE corr({a}, {b}) END, 9) AS r
+FROM (SELECT AMT_INCOME_TOTAL, EXT_SOURCE_2, CASE WHEN SK_ID_CURR % 50 = 0 THEN NULL ELSE AMT_CREDIT END AS AMT_CREDIT
+  FROM applications)"""
+        for a in NAN_DRIVERS
+        for b in NAN_DRIVERS
+    ),
+)
+def _(t):
+    holed = F.when(F.col(X.ID) % 50 == 0, F.lit(float("nan"))).otherwise(F.col("AMT_CREDIT"))
+    return rounded(drivers.correlation_matrix(t.applications.withColumn("AMT_CREDIT", holed), NAN_DRIVERS), 9, "r")
+
+
+@query(
+    "profile_with_nan",
+    """SELECT 'AMT_CREDIT' AS "column", count(x) AS "count", round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std,
+  min(x) AS "min", round(median(x), 4) AS p50, max(x) AS "max"
+FROM (SELECT CASE WHEN SK_ID_CURR % 50 = 0 THEN NULL ELSE AMT_CREDIT END AS x FROM applications)""",
+)
 def _(t):
-    tiers, _fit = segmentation.segment(t.applications)
-    return segmentation.tier_summary(tiers)
+    holed = F.when(F.col(X.ID) % 50 == 0, F.lit(float("nan"))).otherwise(F.col("AMT_CREDIT"))
+    out = distributions.profile(t.applications.select(holed.alias("AMT_CREDIT"))).drop("p25", "p75")
+    return rounded(out, 4, "mean", "std", "p50")

@@ -52,6 +52,21 @@ SELECT CAST(floor(event_id / CAST(2 AS DOUBLE)) AS BIGINT) AS SK_ID_CURR, event_
   CASE WHEN user_id % 4 = 0 THEN 'Revolving loans' ELSE 'Cash loans' END AS NAME_CONTRACT_TYPE
 FROM {events}"""
 
+# The columns of the views, in order.
+COLUMNS = {
+    "applications": (
+        "SK_ID_CURR TARGET AMT_INCOME_TOTAL AMT_CREDIT AMT_ANNUITY DAYS_BIRTH DAYS_EMPLOYED EXT_SOURCE_1 EXT_SOURCE_2 "
+        "EXT_SOURCE_3 REGION_POPULATION_RELATIVE OBS_30_CNT_SOCIAL_CIRCLE DEF_30_CNT_SOCIAL_CIRCLE "
+        "AMT_REQ_CREDIT_BUREAU_YEAR CODE_GENDER NAME_INCOME_TYPE NAME_CONTRACT_TYPE"
+    ).split(),
+    "bureau": (
+        "SK_ID_CURR SK_ID_BUREAU CREDIT_ACTIVE CREDIT_TYPE AMT_CREDIT_SUM AMT_CREDIT_SUM_DEBT AMT_CREDIT_SUM_OVERDUE "
+        "CREDIT_DAY_OVERDUE"
+    ).split(),
+    "previous_application": (
+        "SK_ID_CURR SK_ID_PREV NAME_CONTRACT_STATUS AMT_APPLICATION AMT_CREDIT NAME_CONTRACT_TYPE"
+    ).split(),
+}
 VIEWS = {"applications": APPLICATIONS, "bureau": BUREAU, "previous_application": PREVIOUS}
 SOURCES = ("orders", "customer", "lineitem", "events")
 

@@ -32,12 +32,7 @@ def _scored(t):
 
 
 def _both(t):
-    rows = _rows(t)
-
-    def of(name, model):
-        return scoring.predict_proba(rows, model).select(F.lit(name).alias("model"), X.ID, X.TARGET, "p")
-
-    return of("first", FIRST).unionByName(of("second", SECOND))
+    return scoring.predict_all(_rows(t), {"first": FIRST, "second": SECOND})
 
 
 # Preprocessing
@@ -122,14 +117,29 @@ def _(t):
 
 @query(
     "roc_points",
-    """SELECT CAST(sum(pos) OVER (ORDER BY s DESC) AS BIGINT) AS tp, CAST(sum(neg) OVER (ORDER BY s DESC) AS BIGINT) AS fp
-FROM (SELECT s, count(*) FILTER (WHERE TARGET = 1) AS pos, count(*) FILTER (WHERE TARGET = 0) AS neg FROM logits GROUP BY s)
-UNION ALL SELECT 0, 0""",
+    """SELECT round(s, 6) AS threshold, tp, fp, round(tp / CAST(sum(pos) OVER () AS DOUBLE), 9) AS tpr,
+  round(fp / CAST(sum(neg) OVER () AS DOUBLE), 9) AS fpr
+FROM (SELECT *, CAST(sum(pos) OVER (ORDER BY s DESC) AS BIGINT) AS tp, CAST(sum(neg) OVER (ORDER BY s DESC) AS BIGINT) AS fp
+  FROM (SELECT s, count(*) FILTER (WHERE TARGET = 1) AS pos, count(*) FILTER (WHERE TARGET = 0) AS neg FROM logits GROUP BY s))
+UNION ALL SELECT NULL, 0, 0, 0e0, 0e0""",
     [MODEL_ROWS, LOGITS],
 )
 def _(t):
     logits = _rows(t).select(X.TARGET, FIRST.logit().alias("s"))
-    return evaluation.roc_curve(logits, score="s").select("tp", "fp")
+    start = F.col("threshold") == float("inf")
+    points = evaluation.roc_curve(logits, score="s").withColumn("threshold", F.when(~start, F.col("threshold")))
+    return rounded(rounded(points, 6, "threshold"), 9, "tpr", "fpr")
+
+
+CELLS = cte(
+    "cells",
+    """SELECT model, count(*) FILTER (WHERE TARGET = 1 AND p > 0.5e0) AS tp, count(*) FILTER (WHERE TARGET = 0 AND p > 0.5e0) AS fp,
+  count(*) FILTER (WHERE TARGET = 1 AND p <= 0.5e0) AS fn FROM both_models GROUP BY model""",
+)
+METRICS = f"""SELECT model, 'auc' AS metric, auc AS value FROM ({AUC})
+  UNION ALL SELECT model, 'precision', coalesce(tp / nullif(tp + fp, 0), 0e0) FROM cells
+  UNION ALL SELECT model, 'recall', coalesce(tp / nullif(tp + fn, 0), 0e0) FROM cells
+  UNION ALL SELECT model, 'f1', coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0e0) FROM cells"""
 
 
 @query(
@@ -138,20 +148,13 @@ def _(t):
   CASE WHEN metric IN ('auc', 'f1') THEN CASE WHEN "first" > "second" THEN 'first' ELSE 'second' END END AS winner,
   round(CASE WHEN metric IN ('auc', 'f1') THEN abs("first" - "second") END, 6) AS margin
 FROM (SELECT metric, max(value) FILTER (WHERE model = 'first') AS "first", max(value) FILTER (WHERE model = 'second') AS "second"
-FROM (SELECT model, 'auc' AS metric, auc AS value FROM ({AUC})
-  UNION ALL SELECT model, 'precision', coalesce(tp / nullif(tp + fp, 0), 0e0) FROM cells
-  UNION ALL SELECT model, 'recall', coalesce(tp / nullif(tp + fn, 0), 0e0) FROM cells
-  UNION ALL SELECT model, 'f1', coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0e0) FROM cells) GROUP BY metric)""",
+FROM ({METRICS}) GROUP BY metric)""",
     [
         MODEL_ROWS,
         SCORED,
         BOTH,
         PROBABILITY_ROWS,
-        cte(
-            "cells",
-            """SELECT model, count(*) FILTER (WHERE TARGET = 1 AND p > 0.5e0) AS tp, count(*) FILTER (WHERE TARGET = 0 AND p > 0.5e0) AS fp,
-  count(*) FILTER (WHERE TARGET = 1 AND p <= 0.5e0) AS fn FROM both_models GROUP BY model""",
-        ),
+        CELLS,
     ],
 )
 def _(t):
@@ -375,11 +378,12 @@ def _(t):
 @query(
     "force_data",
     """SELECT SK_ID_CURR, CAST(row_number() OVER (PARTITION BY SK_ID_CURR ORDER BY phi, i) AS INT) AS position, feature,
-  round(phi, 6) AS phi, CASE WHEN phi > 0 THEN 'increases' ELSE 'decreases' END AS effect FROM attribution""",
+  round(phi, 6) AS phi, CASE WHEN phi > 0 THEN format('{:+.3f}', phi) ELSE format('{:.3f}', phi) END AS label,
+  CASE WHEN phi > 0 THEN 'increases' ELSE 'decreases' END AS effect FROM attribution""",
     [MODEL_ROWS, ATTRIBUTION],
 )
 def _(t):
-    return rounded(explain.force_data(_attributed(t)).drop("label"), 6, "phi")
+    return rounded(explain.force_data(_attributed(t)), 6, "phi")
 
 
 @query(
@@ -396,10 +400,20 @@ def _(t):
 
 # Stored metrics and fits
 
+WEIGHTS = ", ".join(
+    f"('importance', '{n}', '{f}', {abs(w)!r}::DOUBLE)" for n, m in (("first", FIRST), ("second", SECOND)) for f, w in m.weights.items()
+)
+TEST_ROWS = """(SELECT CAST(sum(n) AS BIGINT) FROM (SELECT ceil(round(0.2e0 * count(*), 9)) AS n FROM model_rows GROUP BY TARGET))"""
+
+
 @query(
     "stored_metrics",
-    f"SELECT model, 'auc' AS metric, round(auc, 6) AS value FROM ({AUC})",
-    [MODEL_ROWS, SCORED, BOTH, PROBABILITY_ROWS],
+    f"""SELECT 'metrics' AS source, model, metric AS name, round(value, 6) AS value FROM ({METRICS})
+UNION ALL SELECT 'roc', model, 'points', CAST(count(DISTINCT s) + 1 AS DOUBLE) FROM logit_rows GROUP BY model
+UNION ALL SELECT 'roc', model, 'tp', CAST(sum(tp) AS DOUBLE) FROM (SELECT DISTINCT model, s,
+  count(*) FILTER (WHERE TARGET = 1) OVER (PARTITION BY model ORDER BY s DESC) AS tp FROM logit_rows) GROUP BY model
+UNION ALL SELECT * FROM (VALUES {WEIGHTS}) AS v(source, model, name, value)""",
+    [MODEL_ROWS, SCORED, BOTH, PROBABILITY_ROWS, CELLS],
 )
 def _(t):
     folder = scratch_path(t.spark, "metrics")
@@ -408,25 +422,81 @@ def _(t):
         t.spark, [(n, f, abs(w)) for n, m in (("first", FIRST), ("second", SECOND)) for f, w in m.weights.items()]
     )
     stores.write_metrics(folder, evaluation.metrics_of(ordered), evaluation.curve_of(ordered, ["model"]), importance)
-    return rounded(stores.read_metrics(t.spark, folder)["metrics"].where("metric = 'auc'"), 6, "value")
+    stored = stores.read_metrics(t.spark, folder)
+    roc = stored["roc"].groupBy("model").agg(
+        F.count(F.lit(1)).cast("double").alias("points"), F.sum("tp").cast("double").alias("tp")
+    )
+
+    def named(source, df, name):
+        return df.select(F.lit(source).alias("source"), "model", F.col(name).alias("name"), "value")
+
+    return (
+        named("metrics", rounded(stored["metrics"], 6, "value"), "metric")
+        .unionByName(named("roc", roc.unpivot("model", ["points", "tp"], "name", "value"), "name"))
+        .unionByName(named("importance", stored["importance"], "feature"))
+    )
 
 
-@query("logistic_fit")
+@query(
+    "logistic_fit",
+    f"""SELECT unnest([{", ".join(f"'{f}'" for f in (*X.MODEL_FEATURES, "intercept"))}]) AS term, 0e0 AS value
+UNION ALL SELECT 'test rows', CAST({TEST_ROWS} AS DOUBLE)
+UNION ALL SELECT 'training rows', CAST((SELECT count(*) FROM model_rows) - {TEST_ROWS} AS DOUBLE)""",
+    [MODEL_ROWS],
+)
 def _(t):
+    """The gradient of the fitted objective, which is zero at the optimum, and the rows on both sides."""
     trained = modelling.train_models(t.applications, only=(X.LOGISTIC,))
-    return evaluation.evaluate(trained.predictions())
+    gradient = modelling.logistic_gradient(trained.split.where("NOT is_test"), trained.linear)
+    side = F.when(F.col("is_test"), "test rows").otherwise("training rows").alias("term")
+    rows = trained.split.groupBy(side).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    # Adding zero turns a negative zero into zero.
+    return gradient.withColumn("value", F.round("value", 4) + 0.0).unionByName(rows)
 
 
-@query("train_and_compare")
+@query(
+    "train_and_compare",
+    f"""SELECT metric, {TEST_ROWS} AS test_rows, true AS in_range, true AS beats_chance, true AS winner_leads
+FROM (VALUES ('auc'), ('precision'), ('recall'), ('f1')) AS v(metric)""",
+    [MODEL_ROWS],
+)
 def _(t):
-    trained = modelling.train_models(t.applications, rounds=5)
-    return evaluation.compare_models(evaluation.evaluate(trained.predictions()), X.LOGISTIC, X.BOOSTED)
+    """Both models at full size: metrics within their range, AUC above chance, the leader and its margin consistent."""
+    trained = modelling.train_models(t.applications)
+    predicted = trained.predictions()
+    compared = evaluation.compare_models(evaluation.evaluate(predicted), X.LOGISTIC, X.BOOSTED)
+    a, b = F.col(X.LOGISTIC), F.col(X.BOOSTED)
+    rows = predicted.where(F.col("model") == X.BOOSTED).agg(F.count(F.lit(1)).alias("test_rows"))
+    leads = F.when(a > b, F.lit(X.LOGISTIC)).otherwise(F.lit(X.BOOSTED))
+    return compared.crossJoin(F.broadcast(rows)).select(
+        "metric",
+        "test_rows",
+        (a.between(0, 1) & b.between(0, 1)).alias("in_range"),
+        ((F.col("metric") != "auc") | ((a > 0.52) & (b > 0.52))).alias("beats_chance"),
+        F.coalesce((F.col("winner") == leads) & (F.col("margin") == F.abs(a - b)), F.lit(True)).alias("winner_leads"),
+    )
 
 
-@query("importance_comparison")
+@query(
+    "importance_comparison",
+    f"""SELECT CAST({len(X.MODEL_FEATURES)} AS BIGINT) AS features, true AS ranks_first, true AS ranks_second,
+  1e0 AS largest_first, 1e0 AS largest_second, true AS ordered""",
+)
 def _(t):
-    trained = modelling.train_models(t.applications, rounds=3)
-    return modelling.compare_importance(trained.importance, X.LOGISTIC, X.BOOSTED)
+    """Ranks are permutations, the largest share is one, shares fall with the first model's rank."""
+    trained = modelling.train_models(t.applications)
+    compared = modelling.compare_importance(trained.importance, X.LOGISTIC, X.BOOSTED)
+    wanted = F.array(*[F.lit(i + 1) for i in range(len(X.MODEL_FEATURES))])
+    by_rank = F.array_sort(F.collect_list(F.struct("rank_first", (-F.col("share_first")).alias("share"))))
+    fallen = F.transform(by_rank, lambda r: r["share"])
+    return compared.agg(
+        F.count(F.lit(1)).alias("features"),
+        (F.array_sort(F.collect_list("rank_first")) == wanted).alias("ranks_first"),
+        (F.array_sort(F.collect_list("rank_second")) == wanted).alias("ranks_second"),
+        F.max("share_first").alias("largest_first"),
+        F.max("share_second").alias("largest_second"),
+        (fallen == F.array_sort(fallen)).alias("ordered"),
+    )
 
 
 @query("agreement_levels", """SELECT agreement, count(*) AS n FROM (SELECT CASE WHEN abs(p - p2) * 100e0 > 10 THEN 'Significant'

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.binding import Tables
+from checks.binding import COLUMNS, Tables
 from checks.registry import query, rounded
-from checks.sql import BORROWER, RATE, shuffled, union
+from checks.sql import BORROWER, RATE, cte, shuffled, union
 from creditloom import fixed as X
 from creditloom.functions import features, labels
 from creditloom.operators import adhoc, frames, portfolio, sampling
@@ -264,9 +264,7 @@ def _(t):
     [shuffled("applications"), f"sampled AS ({_first_of_class(920, 80)})"],
 )
 def _(t):
-    return sampling.subset_children(
-        t.bureau, sampling.stratified_sample(t.applications, SAMPLE), sampled_rows=sum(SAMPLE.values())
-    )
+    return sampling.subset_children(t.bureau, sampling.stratified_sample(t.applications, SAMPLE))
 
 
 @query(
@@ -275,9 +273,7 @@ def _(t):
     [shuffled("applications"), f"sampled AS ({_first_of_class(920, 80)})"],
 )
 def _(t):
-    return sampling.subset_children(
-        t.previous_application, sampling.stratified_sample(t.applications, SAMPLE), sampled_rows=sum(SAMPLE.values())
-    )
+    return sampling.subset_children(t.previous_application, sampling.stratified_sample(t.applications, SAMPLE))
 
 
 @query(
@@ -323,6 +319,38 @@ def _(t):
     return sampling.stratified_split(t.applications).select(X.ID, X.TARGET, "is_test")
 
 
+MISSING_IDS = cte(
+    "partial_ids",
+    """SELECT * REPLACE (CASE WHEN SK_ID_CURR % 20 = 0 THEN NULL ELSE SK_ID_CURR END AS SK_ID_CURR) FROM applications""",
+)
+COPIED_IDS = cte(
+    "copied_ids", "SELECT * REPLACE (CASE WHEN SK_ID_CURR % 3 = 0 THEN 7 ELSE SK_ID_CURR END AS SK_ID_CURR) FROM applications"
+)
+
+
+@query(
+    "cap_with_missing_ids",
+    """SELECT SK_ID_CURR, count(*) AS n FROM (SELECT SK_ID_CURR FROM keyed ORDER BY k NULLS FIRST, SK_ID_CURR NULLS FIRST LIMIT 1000)
+GROUP BY 1""",
+    [MISSING_IDS, shuffled("partial_ids")],
+)
+def _(t):
+    partial = t.applications.withColumn(X.ID, F.when(F.col(X.ID) % 20 != 0, F.col(X.ID)))
+    return sampling.deterministic_cap(partial, 1000).groupBy(X.ID).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "split_with_copies",
+    """SELECT TARGET, SK_ID_CURR, r <= ceil(round(0.2e0 * n, 9)) AS is_test, count(*) AS n
+FROM (SELECT *, row_number() OVER (PARTITION BY TARGET ORDER BY k, SK_ID_CURR) AS r,
+  count(*) OVER (PARTITION BY TARGET) AS n FROM keyed) GROUP BY 1, 2, 3""",
+    [COPIED_IDS, shuffled("copied_ids")],
+)
+def _(t):
+    copied = t.applications.withColumn(X.ID, F.when(F.col(X.ID) % 3 == 0, 7).otherwise(F.col(X.ID)))
+    return sampling.stratified_split(copied).groupBy(X.TARGET, X.ID, "is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Sources and ad hoc SQL
 
 COUNTS = union([f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in schemas.SCHEMAS])
@@ -333,35 +361,54 @@ def _(t):
     return schemas.verify_counts(t.named())
 
 
+# A text column of each table; its values get quotes, a comma and outer spaces.
+TEXTS = {"applications": "NAME_INCOME_TYPE", "bureau": "CREDIT_TYPE", "previous_application": "NAME_CONTRACT_TYPE"}
+AMOUNTS = {"applications": "AMT_CREDIT", "bureau": "AMT_CREDIT_SUM", "previous_application": "AMT_CREDIT"}
+
+
 @query(
     "csv_ingest",
-    """SELECT 'applications' AS table_name, count(*) AS row_count, CAST(sum(SK_ID_CURR) AS BIGINT) AS id_sum,
-  round(sum(AMT_CREDIT), 2) AS credit_sum FROM applications
-UNION ALL SELECT 'bureau', count(*), CAST(sum(SK_ID_CURR) AS BIGINT), round(sum(AMT_CREDIT_SUM), 2) FROM bureau
-UNION ALL SELECT 'previous_application', count(*), CAST(sum(SK_ID_CURR) AS BIGINT), round(sum(AMT_CREDIT), 2)
-  FROM previous_application""",
+    union(
+        [
+            f"""SELECT '{n}' AS table_name, count(*) AS row_count, CAST(sum(SK_ID_CURR) AS BIGINT) AS id_sum,
+  round(sum({AMOUNTS[n]}), 2) AS amount_sum, ' "' || {c} || '", "a, b" ' AS text FROM {n} GROUP BY {c}"""
+            for n, c in TEXTS.items()
+        ]
+    ),
 )
 def _(t):
     folder = scratch_path(t.spark, "ingest")
     for name, df in t.named().items():
-        csv.export_csv(df, f"{folder}/raw/{csv.CSV_FILES[name]}")
+        quoted = F.concat(F.lit(' "'), F.col(TEXTS[name]), F.lit('", "a, b" '))
+        csv.export_csv(df.withColumn(TEXTS[name], quoted), f"{folder}/raw/{csv.CSV_FILES[name]}")
     loaded = csv.ingest_csv(t.spark, csv.resolve_source(t.spark, folder), f"{folder}/tables")
-    amounts = {"applications": "AMT_CREDIT", "bureau": "AMT_CREDIT_SUM", "previous_application": "AMT_CREDIT"}
     return sampling.concat(
         *[
-            df.agg(
+            df.groupBy(F.col(TEXTS[name]).alias("text"))
+            .agg(
                 F.count(F.lit(1)).alias("row_count"),
                 F.sum(X.ID).alias("id_sum"),
-                F.round(F.sum(amounts[name]), 2).alias("credit_sum"),
-            ).select(F.lit(name).alias("table_name"), "row_count", "id_sum", "credit_sum")
+                F.round(F.sum(AMOUNTS[name]), 2).alias("amount_sum"),
+            )
+            .select(F.lit(name).alias("table_name"), "row_count", "id_sum", "amount_sum", "text")
             for name, df in loaded.items()
         ]
     )
 
 
-@query("schema_reference")
+LISTED = ", ".join(
+    f"('{n}', {i}, '{c}')" for n, columns in COLUMNS.items() for i, c in enumerate(columns)
+)
+
+
+@query(
+    "schema_reference",
+    f"""SELECT table_name, CAST(position AS INT) AS position, column_name, row_count
+FROM (VALUES {LISTED}) AS v(table_name, position, column_name) JOIN ({COUNTS}) USING (table_name)""",
+)
 def _(t):
-    return schemas.schema_reference(t.spark, t.named())
+    # Types and comments differ between engines; tests check them.
+    return schemas.schema_reference(t.spark, t.named()).select("table_name", "position", "column_name", "row_count")
 
 
 def _run(t: Tables, sql: str) -> DataFrame:

@@ -66,3 +66,9 @@ def derived(columns: Iterable[str]) -> dict[str, Column]:
     if scores:
         out["EXT_SOURCE_AVG"] = mean_present(scores)
     return out
+
+
+def as_double(column: str) -> Column:
+    """The column as a double; NaN counts as missing everywhere."""
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x)

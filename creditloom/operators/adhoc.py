@@ -1,9 +1,15 @@
-"""Read-only ad hoc SQL over the registered tables."""
+"""Read-only ad hoc SQL over the registered tables.
+
+Spark's own parser decides: a statement runs only if no part of its parsed plan
+is a command, an insert or a script, and if it names tables, not files. A word
+list is a second layer that also catches functions which call Java.
+"""
 
 from __future__ import annotations
 
 import re
 
+from py4j.java_gateway import JavaObject, is_instance_of
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,10 +18,17 @@ BLOCKED = ("DROP", "DELETE", "INSERT", "UPDATE", "ALTER", "CREATE", "TRUNCATE",
 # The same for statements and functions of Spark SQL that write or run code.
 BLOCKED_HERE = ("MERGE", "REFLECT", "TRY_REFLECT", "JAVA_METHOD")
 
+# A raw string ends at the next quote, whatever stands before it; a line comment also ends at a carriage return.
 _TEXT = re.compile(
-    r"""r?'(?:[^'\\]|\\.|'')*'|r?"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/""",
+    r"""\br'[^']*'|\br"[^"]*"|'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\r\n]*|/\*.*?\*/""",
     re.DOTALL | re.IGNORECASE,
 )
+# Spark's names for plan parts that are not read-only.
+_PLANS = "org.apache.spark.sql.catalyst.plans.logical."
+_WRITING = tuple(_PLANS + n for n in ("Command", "ParsedStatement", "ScriptTransformation", "CompoundBody"))
+_RELATION = "org.apache.spark.sql.catalyst.analysis.UnresolvedRelation"
+_SUBQUERY = "org.apache.spark.sql.catalyst.expressions.PlanExpression"
+_TREE = "org.apache.spark.sql.catalyst.trees.TreeNode"
 _FORBIDDEN = re.compile(rf"\b({'|'.join(BLOCKED + BLOCKED_HERE)})\b", re.IGNORECASE)
 _READS = re.compile(r"^[\s(]*(SELECT|WITH|VALUES)\b", re.IGNORECASE)
 _SCRIPT = re.compile(r"\bUSING\s*''", re.IGNORECASE)
@@ -47,6 +60,31 @@ def check_query(sql: str) -> str | None:
     return None
 
 
+def _items(sequence: JavaObject) -> list[JavaObject]:
+    return [sequence.apply(i) for i in range(sequence.size())]
+
+
+def check_plan(spark: SparkSession, sql: str) -> str | None:
+    """Why the parsed statement may not run, or None. Parsing changes nothing."""
+    gateway = spark.sparkContext._gateway
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    while todo:
+        node = todo.pop()
+        if any(is_instance_of(gateway, node, name) for name in _WRITING):
+            return "Blocked: only statements that read are allowed"
+        if is_instance_of(gateway, node, _RELATION):
+            parts = _items(node.multipartIdentifier())
+            if len(parts) > 1 and not spark.catalog.databaseExists(parts[0]):
+                return "Blocked: only registered tables may be read"
+        if is_instance_of(gateway, node, _SUBQUERY):
+            todo.append(node.plan())
+        for found in (node.children(), node.innerChildren()):
+            todo += [x for x in _items(found) if is_instance_of(gateway, x, _TREE)]
+        if not is_instance_of(gateway, node, "org.apache.spark.sql.catalyst.expressions.Expression"):
+            todo += _items(node.expressions())
+    return None
+
+
 def run_query(spark: SparkSession, sql: str) -> tuple[DataFrame | None, str | None]:
     """``(frame, None)`` or ``(None, reason)``.
 
@@ -56,7 +94,11 @@ def run_query(spark: SparkSession, sql: str) -> tuple[DataFrame | None, str | No
     refused = check_query(sql)
     if refused:
         return None, refused
+    statement = sql.strip().rstrip("; \t\r\n")
     try:
-        return spark.sql(sql.strip().rstrip("; \t\r\n")), None
+        refused = check_plan(spark, statement)
+        if refused:
+            return None, refused
+        return spark.sql(statement), None
     except PySparkException as error:
         return None, str(error)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.fixed import HISTOGRAM_BINS
+from creditloom.functions.features import as_double
 from creditloom.operators.features import numeric_columns
 from creditloom.operators.ranking import quantiles
 
@@ -17,9 +18,8 @@ def histogram(df: DataFrame, column: str, by: str | None = None, bins: int = HIS
 
     Rows are ``([by], bin, bin_start, bin_end, count)``, only non-empty bins.
     """
-    x = F.col(column).cast("double")
     ids = [by] if by else []
-    values = df.where(F.col(column).isNotNull()).select(*ids, x.alias("x"))
+    values = df.select(*ids, as_double(column).alias("x")).where(F.col("x").isNotNull())
     edges = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     bin_no = F.when(
@@ -54,11 +54,11 @@ def box_stats(df: DataFrame, value: str, by: str, groups: Sequence[str], accurac
     quartiles = q.groupBy(by).agg(
         *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
     )
-    x = F.col(value).cast("double")
+    x = as_double(value)
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     low, high = F.col("q1") - reach, F.col("q3") + reach
     return (
-        df.where(F.col(value).isNotNull())
+        df.where(x.isNotNull())
         .join(F.broadcast(quartiles), by)
         .groupBy(by, "q1", "median", "q3")
         .agg(
@@ -83,12 +83,13 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int |
             "column string, count bigint, mean double, std double, min double, "
             "p25 double, p50 double, p75 double, max double",
         )
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    rows = F.broadcast(wide.agg(F.count(F.lit(1)).alias("rows")))
+    wide = df.select(*[as_double(c).alias(c) for c in columns])
     moments = (
         wide.unpivot([], columns, "column", "x")
         .groupBy("column")
         .agg(
+            # Every row of the frame gives one row for each column, missing or not.
+            F.count(F.lit(1)).alias("rows"),
             F.count("x").alias("count"),
             F.avg("x").alias("mean"),
             F.stddev_samp("x").alias("std"),
@@ -102,7 +103,6 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int |
     )
     return (
         moments.join(F.broadcast(quartiles), "column", "left")
-        .crossJoin(rows)
         .where(F.col("rows") > 1)
         .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.fixed import TARGET, TOP_DRIVERS
+from creditloom.functions.features import as_double
 from creditloom.functions.labels import direction
 from creditloom.operators.features import add_derived_features, fix_sentinel, numeric_columns
 
@@ -25,7 +26,7 @@ def _pearson(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _as_doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    return df.select(*[as_double(c).alias(c) for c in columns])
 
 
 def target_correlation(

@@ -59,8 +59,7 @@ def score_counts(
 def ordered_scores(
     df: DataFrame, label: str = TARGET, score: str = "p", by: Sequence[str] = ()
 ) -> DataFrame:
-    """Score counts with running totals, stored: the one scoring pass that the AUC,
-    the curve and the threshold metrics can share."""
+    """Score counts with running totals: what the AUC, the curve and the threshold metrics rest on."""
     return running_totals(score_counts(df, label, score, by), "score", ["pos", "neg"], by)
 
 
@@ -80,23 +79,13 @@ def roc_auc(df: DataFrame, label: str = TARGET, score: str = "p", by: Sequence[s
     return ordered_scores(df, label, score, by).groupBy(*by).agg(_auc().alias("auc"))
 
 
-def roc_curve(
-    df: DataFrame,
-    label: str = TARGET,
-    score: str = "p",
-    by: Sequence[str] = (),
-    max_points: int | None = None,
-) -> DataFrame:
-    """Counts and rates at or above each distinct threshold, plus the (0, 0) start.
-
-    ``max_points`` thins the curve for drawing: of the points that fall into
-    the same cell of an evenly divided unit square the first one is kept.
-    """
-    return curve_of(ordered_scores(df, label, score, by), by, max_points)
+def roc_curve(df: DataFrame, label: str = TARGET, score: str = "p", by: Sequence[str] = ()) -> DataFrame:
+    """Counts and rates at or above each distinct threshold, plus the (0, 0) start."""
+    return curve_of(ordered_scores(df, label, score, by), by)
 
 
-def curve_of(ordered: DataFrame, by: Sequence[str] = (), max_points: int | None = None) -> DataFrame:
-    """The ROC curve of stored ordered scores."""
+def curve_of(ordered: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The ROC curve of ordered scores."""
     by = list(by)
     totals = ordered.groupBy(*by).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
     # One row per model.
@@ -117,7 +106,7 @@ def curve_of(ordered: DataFrame, by: Sequence[str] = (), max_points: int | None
         "positives",
         "negatives",
     )
-    curve = at_or_above.unionByName(start).select(
+    return at_or_above.unionByName(start).select(
         *by,
         "threshold",
         "tp",
@@ -125,19 +114,10 @@ def curve_of(ordered: DataFrame, by: Sequence[str] = (), max_points: int | None
         F.try_divide(F.col("tp").cast("double"), F.col("positives")).alias("tpr"),
         F.try_divide(F.col("fp").cast("double"), F.col("negatives")).alias("fpr"),
     )
-    if max_points is None:
-        return curve
-    cells = max(1, max_points // 2)
-    point = F.struct("threshold", "tp", "fp", "tpr", "fpr")
-    return (
-        curve.groupBy(*by, F.floor(F.col("fpr") * cells).alias("i"), F.floor(F.col("tpr") * cells).alias("j"))
-        .agg(F.max(point).alias("point"))
-        .select(*by, "point.*")
-    )
 
 
 def metrics_of(ordered: DataFrame, by: Sequence[str] = ("model",), threshold: float = 0.5) -> DataFrame:
-    """``(model, metric, value)`` with auc, precision, recall and f1 of stored ordered scores."""
+    """``(model, metric, value)`` with auc, precision, recall and f1 of ordered scores."""
     keys = list(by)
     above = F.col("score") > threshold
     wide = ordered.groupBy(*keys).agg(

@@ -71,7 +71,7 @@ def linear_attribution(
         for i, f in enumerate(features)
     ]
     return weighed.select(
-        key, "base", "logit", F.array(*entries).alias("contributions", metadata={"features": len(features)})
+        key, "base", "logit", F.array(*entries).alias("contributions", metadata={"features": list(features)})
     )
 
 
@@ -80,9 +80,12 @@ def attribution_long(attributed: DataFrame, key: str = ID) -> DataFrame:
 
 
 def _entries(attributed: DataFrame) -> list[Column]:
-    """The contributions one by one; their number is part of the column's metadata."""
-    n = attributed.schema["contributions"].metadata["features"]
-    return [F.col("contributions")[i] for i in range(n)]
+    """The contributions one by one; their features are part of the column's metadata."""
+    return [F.col("contributions")[i] for i in range(len(_features(attributed)))]
+
+
+def _features(attributed: DataFrame) -> list[str]:
+    return attributed.schema["contributions"].metadata["features"]
 
 
 def additivity(attributed: DataFrame) -> DataFrame:
@@ -140,9 +143,11 @@ def explain_rows(attributed: DataFrame, k: int = FACTORS_PER_SIDE, min_phi: floa
                             c["feature"].alias("feature"),
                             c["value"].alias("value"),
                             c["phi"].alias("phi"),
+                            F.lit(DISPLAY_NAMES.get(f, f)).alias("name"),
+                            F.lit(_value_kind(f)).alias("kind"),
                         ),
                     )
-                    for x, c in zip(strength, _entries(attributed), strict=True)
+                    for x, c, f in zip(strength, _entries(attributed), _features(attributed), strict=True)
                 ]
             ),
             asc=False,
@@ -166,11 +171,21 @@ def top_factors(attributed: DataFrame, key: str = ID, k: int = FACTORS_PER_SIDE)
     )
 
 
-def value_text(feature: Column, value: Column) -> Column:
+MONEY, YEARS, PLAIN = "money", "years", "plain"
+
+
+def _value_kind(feature: str) -> str:
+    """How people write the values of a feature."""
+    if feature == "AMT_INCOME_TOTAL":
+        return MONEY
+    return YEARS if feature in ("DAYS_BIRTH", "DAYS_EMPLOYED") else PLAIN
+
+
+def value_text(kind: Column, value: Column) -> Column:
     """A raw value as people write it: money, years or two digits."""
     return (
-        F.when(feature == "AMT_INCOME_TOTAL", text.money(value))
-        .when(feature.isin("DAYS_BIRTH", "DAYS_EMPLOYED"), text.years_of_days(value))
+        F.when(kind == MONEY, text.money(value))
+        .when(kind == YEARS, text.years_of_days(value))
         .otherwise(text.fixed(value, 2))
     )
 
@@ -180,9 +195,9 @@ def explanation_text(attributed: DataFrame, key: str = ID, k: int = FACTORS_PER_
 
     def sentence(c: Column) -> Column:
         return F.concat(
-            display_name(c["feature"]),
+            c["name"],
             F.lit(" ("),
-            F.coalesce(value_text(c["feature"], c["value"]), F.lit("missing")),
+            F.coalesce(value_text(c["kind"], c["value"]), F.lit("missing")),
             F.lit("): "),
             text.signed(c["phi"], 3),
         )
@@ -257,30 +272,44 @@ def beeswarm(
     """``(key, feature, phi, color, rank)`` for every row and feature.
 
     ``color`` is z scaled to 0..1 within the feature (0 for a constant one) and
-    ``rank`` the feature's global importance. Extremes and ranks are one row
-    per feature, broadcast to the data instead of windowing over it.
+    ``rank`` the feature's global importance. Both come from one aggregate of one
+    row, which is joined before the rows are taken apart.
     """
-    ends = F.broadcast(
-        df.agg(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(f).alias("feature"),
-                        F.min(model.z(f)).alias("lo"),
-                        F.max(model.z(f)).alias("hi"),
-                    )
-                    for f in model.features
-                ]
-            ).alias("ends")
-        ).select(F.inline("ends"))
+    features, neutral = model.features, {}
+    rows = df
+    if background is not None:
+        rows = df.crossJoin(F.broadcast(background_means(background, model)))
+        neutral = {f: F.col(f"bg_{f}") for f in features}
+    measured = [
+        F.struct(
+            F.min(model.z(f)).alias("lo"),
+            F.max(model.z(f)).alias("hi"),
+            (-F.avg(F.abs(model.contribution(f, neutral.get(f))))).alias("order"),
+            F.lit(f).alias("feature"),
+        )
+        for f in features
+    ]
+    ends = rows.agg(F.array(*measured).alias("ends"))
+    ordered = F.array_sort(F.transform("ends", lambda e: F.struct(e["order"], e["feature"])))
+    ranked = ends.withColumn("ordered", F.transform(ordered, lambda e: e["feature"])).select(
+        F.transform(
+            "ends",
+            lambda e: F.struct(
+                e["lo"].alias("lo"),
+                e["hi"].alias("hi"),
+                F.array_position(F.col("ordered"), e["feature"]).cast("int").alias("rank"),
+            ),
+        ).alias("of")
+    )
+    color = F.coalesce(
+        F.try_divide(F.col("c.z") - F.col("of.lo"), F.col("of.hi") - F.col("of.lo")), F.lit(0.0)
     )
-    ranks = F.broadcast(global_importance(df, model, background).select("feature", "rank"))
-    color = F.coalesce(F.try_divide(F.col("z") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    # The array is in the order of the features, as the contributions are.
     return (
-        attribution_long(linear_attribution(df, model, background, key), key)
-        .join(ends, "feature")
-        .join(ranks, "feature")
-        .select(key, "feature", "phi", color.alias("color"), "rank")
+        linear_attribution(df, model, background, key)
+        .crossJoin(F.broadcast(ranked))
+        .select(key, F.inline(F.arrays_zip(F.col("contributions").alias("c"), F.col("of"))))
+        .select(key, "c.feature", "c.phi", color.alias("color"), "of.rank")
     )
 
 

@@ -17,7 +17,7 @@ from creditloom.fixed import (
     SCORES,
     TARGET,
 )
-from creditloom.functions.features import derived, without_sentinel
+from creditloom.functions.features import as_double, derived, without_sentinel
 from creditloom.operators.ranking import quantile_values
 
 
@@ -123,7 +123,7 @@ def scale(df: DataFrame, moments: Mapping[str, tuple[float, float]], prefix: str
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean and population deviation per column, as rows ``(column, mean, std)``."""
     return (
-        df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+        df.select(*[as_double(c).alias(c) for c in columns])
         .unpivot([], list(columns), "column", "x")
         .groupBy("column")
         .agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))

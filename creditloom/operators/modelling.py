@@ -111,6 +111,25 @@ def fit_logistic(
     return PipelineModel([prep.stage(), prep.assembler(), model])
 
 
+def logistic_gradient(
+    train: DataFrame, model: LinearModel, label: str = X.TARGET, c: float = X.LOGISTIC_C
+) -> DataFrame:
+    """``(term, value)``: the gradient of the balanced, penalised objective at ``model``.
+
+    Zero for every term at the optimum.
+    """
+    weighted = balanced_weights(train, label)
+    error = F.col("weight") * (model.probability() - F.col(label))
+    terms = {f: F.sum(error * model.z(f)) / F.count(F.lit(1)) for f in model.features}
+    rows = weighted.agg(
+        *[v.alias(f) for f, v in terms.items()],
+        (F.sum(error) / F.count(F.lit(1))).alias("intercept"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    pulled = [(F.col(f) + F.lit(w / c) / F.col("_n")).alias(f) for f, w in model.weights.items()]
+    return rows.select(*pulled, "intercept").unpivot([], [*model.features, "intercept"], "term", "value")
+
+
 def fit_boosted_trees(
     train: DataFrame,
     prep: Preprocessor,
@@ -191,14 +210,9 @@ class Trained:
 
     def predictions(self) -> DataFrame:
         """Test rows scored by every model: ``(model, key, label, p)``."""
-        from creditloom.operators.scoring import predict_proba
+        from creditloom.operators.scoring import predict_all
 
-        test = self.split.where("is_test")
-        out = None
-        for name, model in self.models.items():
-            scored = predict_proba(test, model).select(F.lit(name).alias("model"), X.ID, X.TARGET, "p")
-            out = scored if out is None else out.unionByName(scored)
-        return out
+        return predict_all(self.split.where("is_test"), dict(self.models))
 
 
 def train_models(
@@ -215,15 +229,16 @@ def train_models(
     prepared, features = prepare_model_features(training_frame(applications), impute=False)
     split = stratified_split(prepared.select(X.ID, X.TARGET, *features))
     train = split.where(~F.col("is_test")).persist(StorageLevel.MEMORY_AND_DISK)
-    models = {}
     try:
         prep = fit_preprocessor(train, features, accuracy)
-        if X.LOGISTIC in only:
-            models[X.LOGISTIC] = fit_logistic(train, prep)
-        if X.BOOSTED in only:
-            models[X.BOOSTED] = fit_boosted_trees(train, prep, rounds=rounds)
     finally:
+        # The fits keep their own vectors; one copy of the training rows at a time.
         train.unpersist()
+    models = {}
+    if X.LOGISTIC in only:
+        models[X.LOGISTIC] = fit_logistic(train, prep)
+    if X.BOOSTED in only:
+        models[X.BOOSTED] = fit_boosted_trees(train, prep, rounds=rounds)
     rows = [r for name, m in models.items() for r in importances(name, m, features)]
     return Trained(
         prep,

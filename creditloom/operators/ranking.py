@@ -1,10 +1,10 @@
 """Exact ranks, quantiles and running totals that never sort a table in one task.
 
 Quantiles and selections cut the value range into a bounded number of cells,
-count them with map-side combining, and order only the few rows inside the cells
-that hold a wanted rank. Cells depend on the values alone, so recomputing a lost
-partition gives the same answer. Running totals add slice offsets to the totals
-within range-partitioned slices.
+count them with map-side combining, and cut the cells that hold a wanted rank
+again until those hold one value. Cells depend on the values alone, so recomputing
+a lost partition gives the same answer, and every table takes the same plan.
+Running totals add slice offsets to the totals within slices of the order.
 
 Quantiles and selections run at call time, like ``DataFrame.approxQuantile``:
 what reaches the driver is one interval per wanted rank or one boundary per
@@ -15,20 +15,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditloom.functions.keys import KEY_BITS
-from creditloom.session import materialise
 
 # At most 2 * 512 * ln(max double), about 730,000 coarse cells per column.
 CELLS_PER_E = 512.0
 FINE_CELLS = 65536.0
-# Intervals with fewer rows than this are ordered, larger ones are cut further.
-ORDERED_ROWS = 2_000_000
-# 2**18 cells of a 32-bit key.
-KEY_CELL_SHIFT = KEY_BITS - 18
+# Selections look at their order in digits of so many bits.
+DIGIT_BITS = 16
+# Slices that running totals are added up in.
+SLICES = 256
 
 
 def _coarse_cell(x: Column) -> Column:
@@ -91,7 +91,6 @@ def _order_statistics(
         todo = [t for t in todo if t[1] < t[2]]
         if not todo:
             return {(*k, totals[k]): v for k, v in found.items()}
-        small = sum(t[3] for t in todo) <= ORDERED_ROWS
         local = spark.createDataFrame(
             [(*keys, i, lo, hi, [r - start for r in ranks]) for i, (keys, lo, hi, _, start, ranks) in enumerate(todo)],
             schema,
@@ -99,7 +98,7 @@ def _order_statistics(
         inside = celled.join(F.broadcast(local.drop("wanted")), cell_keys).where(
             F.col("x").between(F.col("lo"), F.col("hi"))
         )
-        sub = F.col("x") if small else _equal_width_cell(F.col("x"), F.col("lo"), F.col("hi"), F.lit(FINE_CELLS))
+        sub = _equal_width_cell(F.col("x"), F.col("lo"), F.col("hi"), F.lit(FINE_CELLS))
         counts = inside.groupBy("id", sub.alias("sub")).agg(*extremes)
         hits = _ranks_inside(
             counts.join(F.broadcast(local.select("id", "wanted")), "id"), ["id"], "sub", F.col("wanted")
@@ -121,9 +120,8 @@ def quantile_rows(
     """Linear-interpolated quantiles as ``([group], column, p, value, n)``.
 
     Exact by default: counts over cells narrow each wanted rank to an interval
-    small enough to order. Every pass reads only the needed columns and
-    shuffles only counts; small inputs take two passes. ``accuracy`` switches to
-    one pass with Spark's mergeable sketch.
+    of one value. Every pass reads only the needed columns and shuffles only
+    counts. ``accuracy`` switches to one pass with Spark's mergeable sketch.
 
     NULL and NaN are ignored; a column without values gives no rows. With
     ``by``, ``groups`` lists the group values to report; it bounds what reaches
@@ -200,26 +198,50 @@ def quantile_values(
 def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Add ``<name>_upto``: the sum of each column over all rows up to this one.
 
-    ``order`` must be unique within ``by``: aggregate first. The rows are range
-    partitioned and written with their partition number, which fixes the slices
-    for good; the slice totals, one row per slice, give each slice its offset.
+    ``order`` must be a number, unique within ``by``: aggregate first. Sketched
+    quantiles, taken when this is called, cut it into slices; the slice of a row
+    depends on its value alone. Slice totals, at most SLICES rows for each group,
+    are the offsets of the running sums inside the slices. A missing order
+    comes first, NaN last.
     """
     by = list(by)
-    ranged = df.repartitionByRange(*by, order).withColumn("slice", F.spark_partition_id())
-    sliced = materialise(ranged, "ordered")
-    slice_keys = [*by, "slice"]
-    before = Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    value = F.col(order).cast("double")
+    cuts = df.agg(F.percentile_approx(value, [i / SLICES for i in range(1, SLICES)], 20 * SLICES)).first()[0] or []
+    edges = sorted({c for c in cuts if c == c and abs(c) < float("inf")})
+    splits = [float("-inf"), *(edges or [0.0]), float("inf")]
+    named = Bucketizer(splits=splits, inputCol="_order", outputCol="_slice", handleInvalid="keep").transform(
+        df.withColumn("_order", value)
+    )
+    # Missing values share the bucketizer's last slice with NaN.
+    sliced = named.withColumn("_slice", F.when(value.isNull(), -1).otherwise(F.col("_slice").cast("int")))
+    slice_keys = [*by, "_slice"]
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*slice_keys)
         .agg(*[F.sum(s).alias(s) for s in sums])
         .select(*slice_keys, *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s}_before") for s in sums])
     )
     inside = Window.partitionBy(*slice_keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return sliced.join(F.broadcast(offsets), slice_keys).select(
-        *df.columns, *[(F.col(f"{s}_before") + F.sum(s).over(inside)).alias(f"{s}_upto") for s in sums]
+    counted = sliced.withColumns({f"{s}_upto": F.sum(s).over(inside) for s in sums})
+    return counted.join(offsets, slice_keys).select(
+        *df.columns, *[(F.col(f"{s}_before") + F.col(f"{s}_upto")).alias(f"{s}_upto") for s in sums]
     )
 
 
+def _digits(bits: Column, width: int) -> list[Column]:
+    """The digits of a ``width``-bit number, the highest first; -1 where it is missing."""
+    mask = (1 << DIGIT_BITS) - 1
+    return [
+        F.coalesce(F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(mask)), F.lit(-1).cast("long"))
+        for shift in range(width - DIGIT_BITS, -1, -DIGIT_BITS)
+    ]
+
+
+def _unsigned(x: Column) -> Column:
+    """A long moved so that its bits, read without a sign, rise with it."""
+    return x.cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+
+
 def mark_first(
     df: DataFrame,
     key: Column,
@@ -228,49 +250,99 @@ def mark_first(
     stratum: str | None = None,
     strata: Sequence = (),
 ) -> DataFrame:
-    """Add ``selected``: true for the first rows of each stratum by (key, tie).
-
-    ``key`` is a 32-bit shuffle key of the identifier ``tie``; ``quota(stratum,
-    rows)`` says how many rows to select. Key cells are counted to find the cell
-    in which the quota is used up, then the identifiers of that cell to find
-    the last selected one, so the result is a plain comparison per row. Only
-    if the rows of that one identifier are to be taken in part are they
-    numbered. Rows outside ``strata`` are dropped.
+    """Add ``selected``: true for the first rows of each stratum.
+
+    The order is total: by ``key`` (a 32-bit shuffle key of the identifier
+    ``tie``), then the identifier (an integer), then a hash of the whole row;
+    missing values come first. ``quota(stratum, rows)`` says how many rows to
+    select, and exactly so many are. The order is read in digits: counting the
+    values of a digit, at most 2**16, finds the one at which the quota is used
+    up, and only rows with that value are counted by the next digit. So no pass
+    orders more than that, and the result is a plain comparison for each row.
+    Rows outside ``strata`` are dropped.
+
+    Rows that are equal in all columns can't be told apart. If the quota ends
+    among them they are counted and written out anew, a part of them selected.
     """
     group = [stratum] if stratum else []
     if stratum:
         df = df.where(F.col(stratum).isin(*strata))
-    keyed = df.withColumn("_key", key).withColumn("_cell", F.shiftright("_key", KEY_CELL_SHIFT))
-    counts = keyed.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("n")).persist()
-    try:
-        totals = {_name(r, stratum): r["n"] for r in counts.groupBy(*group).agg(F.sum("n").alias("n")).collect()}
-        quotas = {s: quota(s, totals.get(s) or 0) for s in (strata if stratum else [None])}
-        cells = _using_up(counts, group, ["_cell"], _per_stratum(stratum, quotas))
-    finally:
-        counts.unpersist()
-    found = {_name(r, stratum): r for r in cells}
-    if not found:
-        return df.withColumn("selected", F.lit(False))
-    in_cell = F.col("_cell") == _per_stratum(stratum, {s: r["_cell"] for s, r in found.items()})
-    need = {s: quotas[s] - r["before"] for s, r in found.items()}
-    ids = keyed.where(in_cell).groupBy(*group, "_key", tie).agg(F.count(F.lit(1)).alias("n"))
-    last = {_name(r, stratum): r for r in _using_up(ids, group, ["_key", tie], _per_stratum(stratum, need))}
-
-    at_key = F.col("_key") == _per_stratum(stratum, {s: r["_key"] for s, r in last.items()})
-    tie_value = _per_stratum(stratum, {s: r[tie] for s, r in last.items()})
-    earlier = (F.col("_key") < _per_stratum(stratum, {s: r["_key"] for s, r in last.items()})) | (
-        at_key & (F.col(tie) <= tie_value)
-    )
-    marked = keyed.withColumn("selected", F.coalesce(earlier, F.lit(False)))
-    copies = {s: need[s] - r["before"] for s, r in last.items() if need[s] - r["before"] < r["n"]}
-    if copies:
-        shared = at_key & (F.col(tie) == tie_value) & _per_stratum(stratum, copies).isNotNull()
-        number = F.row_number().over(Window.partitionBy(*group).orderBy(tie))
-        part = marked.where(shared).withColumn("selected", number <= _per_stratum(stratum, copies))
-        marked = marked.where(~F.coalesce(shared, F.lit(False))).unionByName(part)
+    row_hash = F.xxhash64(*[c for name in df.columns for c in (F.col(name), F.col(name).isNull())])
+    known = F.when(F.col(tie).isNotNull(), key)
+    digits = [
+        *_digits(known, KEY_BITS),
+        *_digits(F.when(F.col(tie).isNotNull(), _unsigned(F.col(tie))), 64),
+        *_digits(_unsigned(row_hash), 64),
+    ]
+    keyed = df.withColumns({f"_digit_{i}": d for i, d in enumerate(digits)})
+    path: dict[object, list[int]] = {}
+    need: dict[object, int] = {}
+    open_strata: list[object] = []
+
+    def inside(names: Sequence[object]) -> Column:
+        """Rows on the path of an unfinished stratum."""
+        found = F.lit(False)
+        for name in names:
+            here = F.lit(True) if stratum is None else F.col(stratum) == name
+            for i, value in enumerate(path[name]):
+                here = here & (F.col(f"_digit_{i}") == value)
+            found = found | here
+        return found
+
+    for depth in range(len(digits)):
+        column = f"_digit_{depth}"
+        rows = keyed if depth == 0 else keyed.where(inside(open_strata))
+        counts = rows.groupBy(*group, column).agg(F.count(F.lit(1)).alias("n"))
+        if depth == 0:
+            counts = counts.persist()
+            totals = {_name(r, stratum): r["n"] for r in counts.groupBy(*group).agg(F.sum("n").alias("n")).collect()}
+            need = {s: quota(s, totals.get(s) or 0) for s in (strata if stratum else [None])}
+            path = {s: [] for s in need}
+            open_strata = [s for s, n in need.items() if n > 0]
+        ends = _using_up(counts, group, [column], _per_stratum(stratum, {s: need[s] for s in open_strata}))
+        if depth == 0:
+            counts.unpersist()
+        unfinished = []
+        for r in ends:
+            name = _name(r, stratum)
+            path[name].append(r[column])
+            need[name] -= r["before"]
+            if need[name] < r["n"]:
+                unfinished.append(name)
+        open_strata = unfinished
+        if not open_strata:
+            break
+
+    selected = F.lit(False)
+    for name, values in path.items():
+        reached = F.lit(False)
+        for i, value in reversed(list(enumerate(values))):
+            digit = F.col(f"_digit_{i}")
+            last = i == len(values) - 1
+            reached = (digit <= value) if last else (digit < value) | ((digit == value) & reached)
+        selected = selected | ((F.lit(True) if stratum is None else F.col(stratum) == name) & reached)
+    marked = keyed.withColumn("selected", selected)
+    if open_strata:
+        equal = inside(open_strata)
+        part = _mark_copies(keyed.where(equal).select(*df.columns), group, _per_stratum(stratum, need))
+        return marked.where(~equal).select(*df.columns, "selected").unionByName(part)
     return marked.select(*df.columns, "selected")
 
 
+def _mark_copies(copies: DataFrame, group: Sequence[str], need: Column) -> DataFrame:
+    """Mark ``need`` of the copies of each group; they are counted, not numbered one by one."""
+    chunk = 1 << DIGIT_BITS
+    counted = copies.groupBy(*copies.columns).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*group).orderBy(*copies.columns))
+    counted = counted.withColumn("_take", F.greatest(F.least(need - (upto - F.col("_n")), F.col("_n")), F.lit(0)))
+    last_chunk = F.floor((F.col("_n") - 1) / chunk)
+    chunks = counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)))
+    left = F.least(F.col("_n") - F.col("_chunk") * chunk, F.lit(chunk))
+    rows = chunks.repartition("_chunk").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), left)))
+    number = F.col("_chunk") * chunk + F.col("_i")
+    return rows.select(*copies.columns, (number <= F.col("_take")).alias("selected"))
+
+
 def _name(row: Row, stratum: str | None) -> object:
     return row[stratum] if stratum else None
 

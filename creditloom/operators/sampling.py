@@ -12,9 +12,6 @@ from creditloom.fixed import ID, SEED, TARGET, TEST_SHARE
 from creditloom.functions.keys import shuffle_key
 from creditloom.operators.ranking import mark_first
 
-# 8-byte identifiers, some 100 MB as a hash table.
-BROADCAST_IDS = 4_000_000
-
 
 def stratified_sample(
     df: DataFrame, sizes: Mapping[int, int], label: str = TARGET, key: str = ID, seed: int = SEED
@@ -42,19 +39,13 @@ def proportional_sizes(
     return {r[0]: round(n * r[1] / total) for r in rows}
 
 
-def subset_children(
-    child: DataFrame, sampled: DataFrame, key: str = ID, sampled_rows: int | None = None
-) -> DataFrame:
+def subset_children(child: DataFrame, sampled: DataFrame, key: str = ID) -> DataFrame:
     """Child rows whose borrower was sampled.
 
-    ``sampled_rows``, where known (the sizes asked of the sampler), bounds the
-    identifiers: up to BROADCAST_IDS of them are broadcast and the child table
-    is not shuffled. Otherwise the join is left to the optimizer.
+    A plain semi join: adaptive execution sees the real size of the identifiers
+    and broadcasts them only if they are few.
     """
-    ids = sampled.select(key)
-    if sampled_rows is not None and sampled_rows <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return child.join(ids, key, "left_semi")
+    return child.join(sampled.select(key), key, "left_semi")
 
 
 def concat(first: DataFrame, *others: DataFrame) -> DataFrame:
@@ -71,7 +62,10 @@ def with_shuffle_key(df: DataFrame, key: str = ID, seed: int = SEED, name: str =
 
 
 def deterministic_cap(df: DataFrame, n: int | None = None, key: str = ID, seed: int = SEED) -> DataFrame:
-    """At most ``n`` rows, always the same ones; all rows when ``n`` is None."""
+    """At most ``n`` rows, always the same ones; all rows when ``n`` is None.
+
+    Rows without an identifier come first in the order, so they count like others.
+    """
     if n is None:
         return df
     marked = mark_first(df, shuffle_key(key, seed), key, lambda _, rows: min(n, rows))

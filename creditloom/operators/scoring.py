@@ -44,6 +44,17 @@ def compare_predictions(
     return model_agreement(b, "p_first", "p_second")
 
 
+def predict_all(
+    df: DataFrame, models: dict[str, LinearModel | PipelineModel], key: str = X.ID, label: str = X.TARGET
+) -> DataFrame:
+    """Every row scored by every model, as ``(model, key, label, p)``, in one pass over the rows."""
+    scored = df
+    for i, model in enumerate(models.values()):
+        scored = predict_proba(scored, model).withColumnRenamed("p", f"_p_{i}").drop("prediction")
+    found = [F.struct(F.lit(n).alias("model"), F.col(f"_p_{i}").alias("p")) for i, n in enumerate(models)]
+    return scored.select(key, label, F.inline(F.array(*found))).select("model", key, label, "p")
+
+
 def model_agreement(df: DataFrame, first: str, second: str) -> DataFrame:
     """Add ``difference`` in percentage points and the ``agreement`` level."""
     return df.withColumn("difference", F.abs(F.col(first) - F.col(second)) * 100.0).withColumn(

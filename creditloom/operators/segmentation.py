@@ -36,14 +36,19 @@ def fit_kmeans(
     seed: int = SEED,
     restarts: int = CLUSTER_RESTARTS,
     max_iter: int = 300,
+    key: str = ID,
+    partitions: int = 64,
 ) -> Segmentation:
     """K-Means on standardised features, the cheapest of ``restarts`` seeds.
 
-    Only scaled vectors are kept between restarts; they spill to disk rather
+    Rows are placed by ``key`` in a fixed number of partitions and sorted there,
+    because seeding draws by partition: the result does not depend on how the
+    rows arrive. Only scaled vectors are kept between restarts; they spill to disk rather
     than fail, and lost blocks are recomputed from the source.
     """
     moments = collect_moments(df, features)
-    scaled = scale(df.select(*features), moments)
+    placed = df.repartition(partitions, key).sortWithinPartitions(key, *features) if key in df.columns else df
+    scaled = scale(placed.select(*features), moments)
     assembler = VectorAssembler(inputCols=[f"z_{c}" for c in features], outputCol="features")
     vectors = assembler.transform(scaled).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     best = None

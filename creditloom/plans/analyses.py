@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom import fixed as X
 from creditloom.functions import labels
-from creditloom.operators import distributions, drivers, evaluation, explain, frames, modelling, portfolio, segmentation
+from creditloom.operators import (
+    distributions,
+    drivers,
+    evaluation,
+    explain,
+    frames,
+    modelling,
+    portfolio,
+    sampling,
+    segmentation,
+)
 from creditloom.operators.features import add_derived_features, prepare_model_features
+from creditloom.sources.csv import CSV_FILES, export_csv
 from creditloom.sources.stores import save_models, write_metrics
 
 
@@ -52,6 +65,14 @@ def risk_segmentation(applications: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def sample_dataset(tables: Mapping[str, DataFrame], folder: str, sizes: Mapping[int, int]) -> None:
+    """Sample the applications by class, keep their children, write all as CSV that ingest reads."""
+    sampled = sampling.stratified_sample(tables["applications"], sizes)
+    kept = {name: df if name == "applications" else sampling.subset_children(df, sampled) for name, df in tables.items()}
+    for name, df in (kept | {"applications": sampled}).items():
+        export_csv(df, f"{folder.rstrip('/')}/{CSV_FILES[name]}")
+
+
 def train_and_store(applications: DataFrame, folder: str, rounds: int = X.TREE_ROUNDS) -> modelling.Trained:
     """Train both models, judge them on the test rows, write models and metrics."""
     trained = modelling.train_models(applications, rounds)

@@ -8,10 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for tests and benchmarks; clusters bring their own."""
+def local_session(cores: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A session for tests and benchmarks; clusters bring their own.
+
+    ``shared`` is the folder for written intermediate tables, which the caller may delete.
+    """
+    builder = SparkSession.builder if shared is None else SparkSession.builder.config("spark.checkpoint.dir", shared)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("creditloom")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
@@ -35,7 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     fallback = tempfile.mkdtemp(prefix="creditloom-")
     spark.sparkContext.setCheckpointDir(fallback)

@@ -1,10 +1,13 @@
-"""CSV ingest and export."""
+"""CSV ingest and export.
+
+The dialect is the usual one: fields in double quotes where needed, a quote
+inside doubled, white space kept.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -15,15 +18,19 @@ from creditloom.sources.tables import load_tables
 PREFERRED = ("sample", "raw")
 
 
+# The dialect, the same for reading and writing.
+DIALECT = {"header": True, "quote": '"', "escape": '"'}
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether Spark can see ``path`` on whatever file system it names."""
-    try:
-        spark.read.text(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(named)
+
+
+def completely_written(spark: SparkSession, path: str) -> bool:
+    """Whether a job that wrote a table to ``path`` came to its end."""
+    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
 
 
 def resolve_source(
@@ -40,15 +47,17 @@ def resolve_source(
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8"
+    spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8", multi_line: bool = False
 ) -> DataFrame:
     """A CSV with header; documented columns get their documented type.
 
     Columns are matched by header name. Undocumented ones are kept and typed by
     a distributed pass over the whole file, which runs only if there are any.
-    A value that does not fit its type fails the read.
+    A value that does not fit its type fails the read. ``multi_line`` allows line
+    breaks inside quotes; then a file is read by one task, so split such data
+    into many files.
     """
-    reader = spark.read.option("header", True).option("encoding", encoding)
+    reader = spark.read.options(**DIALECT, encoding=encoding, multiLine=multi_line)
     names = reader.csv(path).columns
     known = {f.name: f for f in schema.fields}
     extra = [n for n in names if n not in known]
@@ -56,26 +65,32 @@ def read_csv(
     if extra:
         inferred = {f.name: f for f in reader.option("inferSchema", True).csv(path).schema.fields}
     full = T.StructType([known.get(n) or inferred[n] for n in names])
-    return spark.read.csv(
-        path, schema=full, header=True, encoding=encoding, mode="FAILFAST", enforceSchema=False
-    )
+    reader = spark.read.options(**DIALECT, encoding=encoding, multiLine=multi_line)
+    return reader.options(mode="FAILFAST", enforceSchema=False).schema(full).csv(path)
 
 
 def ingest_csv(
-    spark: SparkSession, src_dir: str, out_dir: str, tables: Mapping[str, str] = CSV_FILES, overwrite: bool = False
+    spark: SparkSession,
+    src_dir: str,
+    out_dir: str,
+    tables: Mapping[str, str] = CSV_FILES,
+    overwrite: bool = False,
+    multi_line: bool = False,
 ) -> dict[str, DataFrame]:
-    """Load the CSV files of ``src_dir`` into Parquet tables under ``out_dir``.
+    """Load the CSV files ``tables`` of ``src_dir`` into Parquet tables under ``out_dir``.
 
-    A table that is already there is left as it is unless ``overwrite``.
+    A table that was written completely is left as it is unless ``overwrite``;
+    what a failed job left behind is replaced.
     """
     out = out_dir.rstrip("/")
     for name, file in tables.items():
-        if overwrite or not path_exists(spark, f"{out}/{name}"):
-            df = read_csv(spark, f"{src_dir.rstrip('/')}/{file}", SCHEMAS[name])
-            df.write.mode("overwrite" if overwrite else "ignore").parquet(f"{out}/{name}")
-    return load_tables(spark, out)
+        if overwrite or not completely_written(spark, f"{out}/{name}"):
+            df = read_csv(spark, f"{src_dir.rstrip('/')}/{file}", SCHEMAS[name], multi_line=multi_line)
+            df.write.mode("overwrite").parquet(f"{out}/{name}")
+    return load_tables(spark, out, tables)
 
 
 def export_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     """Write with a header, in as many files as the frame has partitions."""
-    df.write.mode("overwrite").option("header", True).option("encoding", encoding).csv(path)
+    writer = df.write.mode("overwrite").options(**DIALECT, encoding=encoding)
+    writer.options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,9 +10,9 @@ from creditloom.fixed import ID
 from creditloom.sources.schemas import SCHEMAS
 
 
-def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The three tables from ``folder/<table>``."""
-    return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in SCHEMAS}
+def load_tables(spark: SparkSession, folder: str, names: Iterable[str] = tuple(SCHEMAS)) -> dict[str, DataFrame]:
+    """The tables, all three unless named, from ``folder/<table>``."""
+    return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in names}
 
 
 def register(tables: Mapping[str, DataFrame]) -> None:
@@ -24,12 +24,17 @@ def register(tables: Mapping[str, DataFrame]) -> None:
 def save_bucketed(tables: Mapping[str, DataFrame], folder: str, buckets: int, prefix: str = "") -> None:
     """Save as catalog tables bucketed and sorted by borrower.
 
-    Joins and aggregations on the borrower then need no shuffle. Choose the
-    bucket count so that a bucket of the largest table fits a task.
+    Joins and aggregations on the borrower then need no shuffle. Rows are dealt
+    out by bucket first, so that each bucket is one sorted file. Choose the
+    bucket count so that a bucket of the largest table fits a task. All records
+    of a borrower are in one bucket: one with a third of all records makes a
+    bucket of that size, which reading splits but writing does not; leave such
+    a table unbucketed, adaptive joins split it.
     """
     for name, df in tables.items():
         (
-            df.write.mode("overwrite")
+            df.repartition(buckets, ID)
+            .write.mode("overwrite")
             .format("parquet")
             .bucketBy(buckets, ID)
             .sortBy(ID)

@@ -11,8 +11,8 @@ TESTDATA = "/root/testdata"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(cores=8, memory="6g")
+def spark(tmp_path_factory):
+    session = local_session(cores=8, memory="6g", shared=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session

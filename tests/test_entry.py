@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry_module
+from checks import ORACLE, QUERIES
 from checks.compare import compare, connect
 
-FITS = {"kmeans_segment", "train_and_compare", "importance_comparison"}
-NAMES = sorted(set(entry_module.queries()) - FITS)
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +20,10 @@ def test_entry_has_rows(spark):
     assert df.columns[:2] == ["dimension", "segment"]
 
 
+def test_every_query_has_sql():
+    assert set(ORACLE) == set(QUERIES) <= set(entry_module.queries())
+
+
 def test_oracle_names_are_registered():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 

@@ -4,11 +4,11 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry_module
+from checks import QUERIES
 
 # The result of these is computed before they return, or needs a fit.
 EAGER = {"kmeans_segment", "train_and_compare", "importance_comparison", "logistic_fit", "csv_ingest", "stored_metrics"}
-NAMES = sorted(set(entry_module.queries()) - EAGER)
+NAMES = sorted(set(QUERIES) - EAGER)
 
 
 def plan_of(df):
@@ -17,7 +17,7 @@ def plan_of(df):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_no_python_and_no_nested_loop_over_data(spark, small_dir, name):
-    plan = plan_of(entry_module.queries()[name](spark, small_dir))
+    plan = plan_of(QUERIES[name](spark, small_dir))
     for word in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "CartesianProduct"):
         assert word not in plan, plan
     # Only one-row aggregates are cross joined, always as the broadcast side.

@@ -22,11 +22,10 @@ def check(spark, values):
         assert got[p] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-300), p
 
 
-@pytest.mark.parametrize("ordered_rows", [0, 5, 2_000_000])
-def test_quantiles_of_awkward_values(spark, monkeypatch, ordered_rows):
-    """With a small limit the intervals are cut again and again until they are points."""
-    monkeypatch.setattr(ranking, "ORDERED_ROWS", ordered_rows)
-    monkeypatch.setattr(ranking, "FINE_CELLS", 4.0)
+@pytest.mark.parametrize("cells", [4.0, 65536.0])
+def test_quantiles_of_awkward_values(spark, monkeypatch, cells):
+    """With few cells the intervals are cut again and again until they are points."""
+    monkeypatch.setattr(ranking, "FINE_CELLS", cells)
     rng = np.random.default_rng(1)
     check(spark, [7.0])
     check(spark, [0.0, -0.0, 1e300, -1e300, 5e-324, 1.0])
@@ -77,6 +76,55 @@ def test_selection_with_one_crowded_cell(spark):
     assert sampling.deterministic_cap(df, None, "id") is df
 
 
+def awkward(spark):
+    """1,000 rows: a missing identifier in 100, one identifier in 300, 200 whole copies, the rest unique."""
+    x = F.when(F.col("i") < 400, F.col("i") % 97).when(F.col("i") < 600, F.lit(5)).otherwise(F.col("i"))
+    identifier = (
+        F.when(F.col("i") < 100, None)
+        .when(F.col("i") < 400, 7)
+        .when(F.col("i") < 600, 8)
+        .when(F.col("i") % 50 == 0, F.col("i") + (1 << 40))
+        .when(F.col("i") % 50 == 1, -F.col("i"))
+        .otherwise(F.col("i"))
+    )
+    df = spark.range(1000).withColumnRenamed("id", "i")
+    return df.select(identifier.cast("long").alias("id"), x.alias("x"), (F.col("i") % 2).cast("int").alias("g"))
+
+
+@pytest.mark.parametrize("n", [0, 1, 50, 99, 100, 101, 399, 500, 777, 999, 1000, 2000])
+def test_selection_is_total(spark, n):
+    """Exact quotas with missing and repeated identifiers, the same rows for any partitioning."""
+    df = awkward(spark)
+    found = {
+        parts: sorted(map(str, sampling.deterministic_cap(df.repartition(parts), n, "id").collect()))
+        for parts in (1, 4, 16)
+    }
+    assert len(found[1]) == min(n, 1000) and found[1] == found[4] == found[16]
+    rows = sorted(
+        ((-1 if r["id"] is None else r["k"], r["id"] is not None, r["id"] or 0) for r in df.withColumn("k", shuffle_key("id")).collect())
+    )[:n]
+    ids = sorted(str(i if known else None) for _, known, i in rows)
+    assert ids == sorted(str(r["id"]) for r in sampling.deterministic_cap(df, n, "id").collect())
+
+
+def test_strata_with_missing_identifiers(spark):
+    df = awkward(spark)
+    counts = {
+        (r["g"], r["is_test"]): r["count"]
+        for r in sampling.stratified_split(df, "g", key="id").groupBy("g", "is_test").count().collect()
+    }
+    assert counts == {(g, t): n for g in (0, 1) for t, n in ((True, 100), (False, 400))}
+    assert sampling.stratified_sample(df, {0: 300, 1: 299}, "g", "id").count() == 599
+
+
+def test_large_groups_of_copies_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "DIGIT_BITS", 4)
+    df = spark.range(500).select(F.lit(3).cast("long").alias("id"), F.lit("same").alias("x"))
+    for n in (1, 16, 17, 250, 499):
+        marked = ranking.mark_first(df, shuffle_key("id"), "id", lambda _, rows, n=n: n)
+        assert marked.count() == 500 and marked.where("selected").count() == n
+
+
 def test_sample_larger_than_a_class_fails(spark):
     df = spark.range(10).withColumn("TARGET", (F.col("id") < 2).cast("int"))
     with pytest.raises(ValueError, match="TARGET=1"):
@@ -101,6 +149,24 @@ def test_proportional_sizes_and_children(spark):
     assert kept.join(sampled, "SK_ID_CURR", "left_anti").count() == 0
 
 
+@pytest.mark.parametrize("slices", [2, 256])
+def test_running_totals_of_awkward_orders(spark, monkeypatch, slices):
+    monkeypatch.setattr(ranking, "SLICES", slices)
+    values = [float("-inf"), -1e300, -2.0, 0.0, 5e-324, 1.0, 1e300, float("inf"), float("nan")]
+    df = spark.createDataFrame([(x, 1) for x in [None, *values]], "x double, n int").repartition(4)
+    got = {str(r["x"]): r["n_upto"] for r in ranking.running_totals(df, "x", ["n"]).collect()}
+    assert got == {str(x): i + 1 for i, x in enumerate([None, *values])}
+    assert ranking.running_totals(df.limit(0), "x", ["n"]).count() == 0
+
+
+def test_running_totals_write_nothing(spark, monkeypatch):
+    from creditloom.operators import evaluation
+
+    df = spark.createDataFrame([(1, 0.3), (0, 0.2), (1, 0.2)], "TARGET int, p double")
+    plan = evaluation.roc_auc(df)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and not hasattr(ranking, "materialise")
+
+
 def test_running_totals(spark):
     df = spark.range(500).select((F.col("id") % 2).alias("g"), F.sqrt("id").alias("x"), F.lit(1).alias("n"), F.col("id").alias("m"))
     got = ranking.running_totals(df.repartition(5), "x", ["n", "m"], ["g"]).collect()

@@ -35,15 +35,18 @@ def test_materialised_frame_has_no_lineage(spark):
     assert "Range" not in stored._jdf.queryExecution().executedPlan().toString()
 
 
-def test_broadcast_only_for_a_known_small_sample(spark, monkeypatch):
+def test_children_join_without_a_switch(spark):
+    """No hint: adaptive execution decides by the real size."""
     child = spark.range(1000).select((F.col("id") % 50).alias("SK_ID_CURR"))
-    ids = spark.range(10).withColumnRenamed("id", "SK_ID_CURR")
+    kept = sampling.subset_children(child, spark.range(10).withColumnRenamed("id", "SK_ID_CURR"))
+    assert "hint" not in kept._jdf.queryExecution().analyzed().toString().lower()
+    assert kept.count() == 200
 
-    def hinted(rows):
-        plan = sampling.subset_children(child, ids, sampled_rows=rows)._jdf.queryExecution().analyzed().toString()
-        return "broadcast" in plan.lower()
 
-    assert hinted(10) and not hinted(None)
-    monkeypatch.setattr(sampling, "BROADCAST_IDS", 5)
-    assert not hinted(10)
-    assert sampling.subset_children(child, ids, sampled_rows=10).count() == 200
+def test_only_local_mode_falls_back(spark):
+    cluster = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda name, default: default),
+        sparkContext=SimpleNamespace(master="local-cluster[3,2,1024]", getCheckpointDir=lambda: None),
+    )
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(cluster)

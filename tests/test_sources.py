@@ -73,6 +73,64 @@ def test_export_round_trip(spark, tmp_path):
     assert sorted(csv.read_csv(spark, str(tmp_path / "out"), df.schema).collect(), key=lambda r: r["i"]) == df.collect()
 
 
+QUOTED = ['plain', 'a "b"', '"a ""b"", c"', "comma, here", " spaces ", "back\\slash", "semi;colon", ""]
+
+
+def test_dialect_of_other_tools(spark, tmp_path):
+    """Files of pandas are read as pandas reads them, and pandas reads ours."""
+    import pandas as pd
+
+    frame = pd.DataFrame({"i": range(len(QUOTED)), "s": QUOTED})
+    schema = spark.createDataFrame([], "i int, s string").schema
+    frame.to_csv(tmp_path / "theirs.csv", index=False)
+    got = {r["i"]: r["s"] or "" for r in csv.read_csv(spark, str(tmp_path / "theirs.csv"), schema).collect()}
+    assert got == dict(enumerate(QUOTED))
+    csv.export_csv(spark.createDataFrame(frame, schema).coalesce(1), str(tmp_path / "ours"))
+    [part] = (tmp_path / "ours").glob("part-*.csv")
+    read = pd.read_csv(part, keep_default_na=False)
+    assert dict(zip(read["i"], read["s"], strict=True)) == dict(enumerate(QUOTED))
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    import pandas as pd
+
+    texts = ["one\ntwo", 'three "four"\r\nfive', "six"]
+    pd.DataFrame({"i": range(3), "s": texts}).to_csv(tmp_path / "lines.csv", index=False)
+    schema = spark.createDataFrame([], "i int, s string").schema
+    rows = csv.read_csv(spark, str(tmp_path / "lines.csv"), schema, multi_line=True).collect()
+    assert [r["s"].replace("\r\n", "\n") for r in rows] == [t.replace("\r\n", "\n") for t in texts]
+    csv.export_csv(spark.createDataFrame(list(enumerate(texts)), schema).coalesce(1), str(tmp_path / "out"))
+    [part] = (tmp_path / "out").glob("part-*.csv")
+    assert [t.replace("\r\n", "\n") for t in pd.read_csv(part)["s"]] == [t.replace("\r\n", "\n") for t in texts]
+
+
+def test_half_written_tables_are_loaded_again(spark, tmp_path):
+    write(tmp_path / "raw")
+    (tmp_path / "out" / "applications" / "_temporary").mkdir(parents=True)
+    loaded = csv.ingest_csv(spark, str(tmp_path / "raw"), str(tmp_path / "out"))
+    assert loaded["applications"].count() == 3
+    assert csv.completely_written(spark, f"{tmp_path}/out/applications")
+    assert not csv.completely_written(spark, f"{tmp_path}/out/none")
+
+
+def test_some_tables_only(spark, tmp_path):
+    write(tmp_path / "raw")
+    only = {"bureau": csv.CSV_FILES["bureau"]}
+    loaded = csv.ingest_csv(spark, str(tmp_path / "raw"), str(tmp_path / "out"), only)
+    assert list(loaded) == ["bureau"] and loaded["bureau"].count() == 2
+
+
+def test_sample_dataset_can_be_ingested(spark, tables, tmp_path):
+    analyses.sample_dataset(tables.named(), str(tmp_path / "sample"), {0: 200, 1: 20})
+    loaded = csv.ingest_csv(spark, csv.resolve_source(spark, str(tmp_path)), str(tmp_path / "out"))
+    apps = loaded["applications"]
+    assert {r[0]: r[1] for r in apps.groupBy("TARGET").count().collect()} == {0: 200, 1: 20}
+    for name in ("bureau", "previous_application"):
+        assert loaded[name].join(apps, "SK_ID_CURR", "left_anti").count() == 0
+        kept = tables.named()[name].join(apps.select("SK_ID_CURR"), "SK_ID_CURR", "left_semi")
+        assert loaded[name].count() == kept.count() > 0
+
+
 def test_schema_reference(spark, tables):
     rows = schemas.schema_reference(spark, tables.named()).collect()
     target = next(r for r in rows if r["table_name"] == "applications" and r["column_name"] == "TARGET")
@@ -89,7 +147,12 @@ def test_bucketed_tables_join_without_shuffle(spark, tables, tmp_path):
         assert df.agg({"bureau_count": "sum"}).first()[0] == 6000 - bureau.join(apps, "SK_ID_CURR", "left_anti").count()
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan, plan
+        # One file for each bucket, however many tasks write.
+        many = {"applications": tables.applications.repartition(12)}
+        tables_module.save_bucketed(many, str(tmp_path / "many"), buckets=8, prefix="many_")
+        assert len(list((tmp_path / "many" / "many_applications").glob("part-*"))) == 8
     finally:
+        spark.sql("DROP TABLE IF EXISTS many_applications")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         for name in schemas.SCHEMAS:
             spark.sql(f"DROP TABLE IF EXISTS bucketed_{name}")
@@ -140,6 +203,45 @@ def test_refused(text):
     assert adhoc.check_query(text) is not None
 
 
+RAW = "WITH a AS (SELECT r'" + chr(92) + "' AS x) INSERT INTO t SELECT ' ' FROM a"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "WITH a AS (SELECT 1 AS x) --\rINSERT INTO t SELECT * FROM a",
+        RAW,
+        "WITH a AS (SELECT 1 AS x) INSERT INTO t SELECT * FROM a",
+        "WITH a AS (SELECT 1 AS x) INSERT OVERWRITE TABLE t SELECT * FROM a",
+        "FROM applications INSERT INTO t SELECT *",
+        "BEGIN SELECT 1; END",
+        "SELECT /* a /* b */ c */ 1; DROP TABLE t",
+        "SELECT * FROM parquet.`/some/path`",
+        "WITH a AS (SELECT * FROM csv.`/some/path`) SELECT * FROM a",
+        "SELECT 1 WHERE EXISTS (SELECT * FROM text.`/some/path`)",
+        "SELECT (SELECT max(value) FROM text.`/some/path`)",
+    ],
+)
+def test_the_parsed_plan_decides(spark, monkeypatch, text):
+    df, error = adhoc.run_query(spark, text)
+    assert df is None and error
+    # Even if the word list let it through.
+    monkeypatch.setattr(adhoc, "check_query", lambda sql: None)
+    df, error = adhoc.run_query(spark, text)
+    assert df is None and error
+
+
+def test_plans_that_read_may_run(spark):
+    spark.range(3).createOrReplaceTempView("numbers")
+    for text in (
+        "SELECT (SELECT max(id) FROM numbers) AS m, id FROM numbers WHERE id IN (SELECT id FROM numbers)",
+        "WITH a AS (SELECT /* x /* y */ z */ id FROM numbers) SELECT * FROM a UNION ALL SELECT * FROM a",
+        "SELECT r'" + chr(92) + "' AS x, id FROM numbers --\r",
+    ):
+        df, error = adhoc.run_query(spark, text)
+        assert error is None and df.count() >= 3
+
+
 def test_run_query(spark, tables):
     tables_module.register(tables.named())
     df, error = adhoc.run_query(spark, "SELECT count(*) AS n FROM applications;")
