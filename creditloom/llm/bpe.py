@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditloom.llm.batches import small_batches
 from creditloom.llm.wordbpe import WordBpe, word_bpe
 
 #: Letters of a pre-token from which it is encoded in pieces, and letters of a piece.
 LONGEST, PIECE = 1 << 14, 1 << 12
 #: Tokens on each side of a cut that are encoded anew at first.
 WINDOW = 8
-_REMEMBERED = 1 << 19
+_REMEMBERED = 1 << 18
 
 _OUT = "doc_id long, n_tokens long, ids binary, decoded string"
 
@@ -230,6 +231,7 @@ def encode(docs: DataFrame, path: str, longest: int = LONGEST, piece: int = PIEC
     null doc_id stays null; repeated rows are all encoded. An empty table gives
     no rows. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Composing characters may shorten a text but never makes a run longer than three times.
     unsplit = F.coalesce(F.col("text").rlike(rf"\S{{{max(1, longest // 3)}}}"), F.lit(False))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from creditloom.llm.batches import small_batches
 from creditloom.session import materialise
 
 REGISTERS = 64
@@ -186,6 +187,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     documents but the last, which needs the first of the next range: one row for
     each range.
     """
+    small_batches(docs.sparkSession)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]

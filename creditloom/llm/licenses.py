@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditloom.llm.batches import small_batches
+
 #: Phrases of the base scan and their labels.
 PHRASES = {
     "cc by": "cc-by",
@@ -216,6 +218,7 @@ def scan_licenses(
     null; repeated rows are all scanned. An empty table gives no rows. Other
     columns are not read.
     """
+    small_batches(docs.sparkSession)
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     listed = tuple((NOTICES if notices is None else notices).items())
     return thin.mapInArrow(_scan(PHRASES if phrases is None else phrases, listed, letters_an_edit), _SCHEMA)

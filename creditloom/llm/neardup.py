@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from creditloom.llm.batches import small_batches
 from creditloom.session import materialise
 
 BANDS, BAND_WIDTH = 25, 5
@@ -49,12 +50,12 @@ COLLISION = 0.169919487159739 / 2**MANTISSA
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Registers of the finer sketch, which only members of crowded buckets get, and its slack.
-FINE_REGISTERS, FINE_SLACK = 1024, 0.06
+FINE_REGISTERS, FINE_SLACK = 512, 0.08
 _EDGES = {
     n: np.array([(i << 64) // n for i in range(n)], dtype=np.uint64) for n in (REGISTERS, FINE_REGISTERS)
 }
 #: Words whose hashes a worker remembers.
-_REMEMBERED = 1 << 20
+_REMEMBERED = 1 << 17
 
 SKETCH = "doc_id long, word_key binary, n_shingles long, registers array<int>, bands array<long>"
 
@@ -190,11 +191,8 @@ def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def intersections(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def intersections(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """For pairs (a, b) the sizes both, of_a and of_b of their full shingle sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left_text"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right_text"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "left_text", "right_text").mapInArrow(
@@ -202,10 +200,10 @@ def intersections(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def confirmed_links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def confirmed_links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     similar = (F.col("both") > 0) & (F.col("both") * 100 >= (F.col("of_a") + F.col("of_b") - F.col("both")) * percent)
-    return intersections(pairs, docs).filter(similar).select("a", "b")
+    return intersections(pairs, texts).filter(similar).select("a", "b")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -267,42 +265,24 @@ def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = met.filter("doc_id != center").select(
         F.least("doc_id", "center").alias("a"), F.greatest("doc_id", "center").alias("b")
     )
-    return shared, materialise(pairs.distinct(), "dedup-pairs")
+    return shared, pairs.distinct()
 
 
 def _details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for batch in batches:
         found = [shingle_hashes(words_of(x.as_py()), hashes) for x in batch.column("text")]
-        fine = [tagged(registers_of(x, FINE_REGISTERS)) for x in found]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())),
-                pa.array(fine, pa.list_(pa.int32())),
-                pa.array([x >> 16 for x in fine], pa.list_(pa.int32())),
+                pa.array([tagged(registers_of(x, FINE_REGISTERS)) for x in found], pa.list_(pa.int32())),
             ],
-            names=["doc_id", "shingles", "fine", "places"],
+            names=["doc_id", "shingles", "fine"],
         )
 
 
-def _detailed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The finer sketches of the documents ``ids``, and how many shingles others of them have too."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    details = materialise(
-        texts.mapInArrow(_details, "doc_id long, shingles array<long>, fine array<int>, places array<int>"),
-        "dedup-details",
-    )
-    single = details.select("doc_id", F.explode("shingles").alias("shingle"))
-    several = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
-    common = single.join(several, "shingle").groupBy("doc_id").agg(F.count(F.lit(1)).alias("common"))
-    return details.select("doc_id", "fine", "places").join(common, "doc_id")
-
-
-def _rest_pairs(
-    shared: DataFrame, reps: DataFrame, first: DataFrame, docs: DataFrame, percent: int
-) -> DataFrame:
+def _rest_pairs(shared: DataFrame, first: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in one bucket that may be similar enough.
 
     An intersection is no larger than what either document has in common with
@@ -318,24 +298,37 @@ def _rest_pairs(
         return ends.filter("low < high").drop("low", "high")
 
     rest = materialise(placed.join(mixed(placed), "band"), "dedup-rest")
-    detailed = _detailed(docs, rest.select("doc_id").distinct())
-    sized = rest.join(detailed, "doc_id").join(reps.select("doc_id", "n_shingles", "registers"), "doc_id")
-    sized = materialise(sized.filter(F.col("common") * 100 >= F.col("n_shingles") * percent), "dedup-rest-sized")
-    sized = sized.join(mixed(sized, F.min("n_shingles").alias("smallest")), "band")
-    enough = F.col("common") * (100 + percent) >= (F.col("n_shingles") + F.col("smallest")) * percent
-    sized = materialise(sized.filter(enough).drop("smallest"), "dedup-rest-open")
-    sized = sized.join(mixed(sized), "band")
+    chosen = texts.join(rest.select("doc_id").distinct(), "doc_id", "left_semi")
+    details = materialise(
+        chosen.mapInArrow(_details, "doc_id long, shingles array<long>, fine array<int>"), "dedup-details"
+    )
+    single = details.select("doc_id", F.explode("shingles").alias("shingle"))
+    several = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
+    common = single.join(several, "shingle").groupBy("doc_id").agg(F.count(F.lit(1)).alias("common"))
+    sizes = details.select("doc_id", F.size("shingles").alias("n")).join(common, "doc_id")
+    sizes = sizes.filter(F.col("common") * 100 >= F.col("n") * percent)
+
+    sized = materialise(rest.join(sizes, "doc_id"), "dedup-rest-sized")
+    sized = sized.join(mixed(sized, F.min("n").alias("smallest")), "band")
+    enough = F.col("common") * (100 + percent) >= (F.col("n") + F.col("smallest")) * percent
+    able = sized.filter(enough).drop("smallest")
+    able = able.join(mixed(able), "band").join(details.select("doc_id", "fine"), "doc_id")
 
     def side(mark: str) -> DataFrame:
-        return sized.select("band", *[F.col(c).alias(f"{c}_{mark}") for c in sized.columns if c != "band"])
+        return able.select("band", *[F.col(c).alias(f"{c}_{mark}") for c in able.columns if c != "band"])
+
+    def places(registers: str) -> Column:
+        return F.transform(registers, lambda x: F.shiftright(x, 16))
 
     most = F.least("common_a", "common_b") * (100 + percent)
-    able = most >= (F.col("n_shingles_a") + F.col("n_shingles_b")) * percent
-    close = estimated_similarity(F.col("registers_a"), F.col("registers_b")) >= percent / 100 - SLACK
-    filled = F.size(F.array_union("places_a", "places_b"))
-    closer = estimated_similarity(F.col("fine_a"), F.col("fine_b"), filled) >= percent / 100 - FINE_SLACK
+    enough = most >= (F.col("n_a") + F.col("n_b")) * percent
+    filled = F.size(F.array_union(places("fine_a"), places("fine_b")))
+    likeness = estimated_similarity(F.col("fine_a"), F.col("fine_b"), filled)
+    # The share of the longer list is cheap and never lower, so it goes first.
+    longest = estimated_similarity(F.col("fine_a"), F.col("fine_b"))
+    floor = percent / 100 - FINE_SLACK
     met = side("a").join(side("b"), "band").filter("doc_id_a < doc_id_b AND component_a != component_b")
-    near = met.filter(able & close & closer)
+    near = met.filter(enough & (longest >= floor) & (likeness >= floor))
     return near.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
 
 
@@ -352,23 +345,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     name it. Repeated rows are all returned, with the same values. An empty
     table gives no rows. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     sketches = materialise(sketch(docs), "dedup-sketches")
     wordy = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = wordy.groupBy("word_key").agg(F.min("doc_id").alias("rep"))
     reps = materialise(
         wordy.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
         .dropDuplicates(["doc_id"])
-        .select("doc_id", "n_shingles", "registers", "bands"),
+        .select("doc_id", "registers", "bands"),
         "dedup-reps",
     )
     shared, star_pairs = _candidates(reps)
-    links = materialise(confirmed_links(_likely(star_pairs, reps, percent), docs, percent), "dedup-links")
-    first = components(links)
-
-    others = _rest_pairs(shared, reps, first, docs, percent)
-    more = materialise(
-        confirmed_links(others.join(star_pairs, ["a", "b"], "left_anti"), docs, percent), "dedup-more-links"
+    likely = materialise(_likely(star_pairs, reps, percent), "dedup-likely")
+    # The texts that any step below may look at, taken out of all texts once.
+    asked = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).union(
+        shared.filter("members > 2").select("doc_id")
+    )
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = materialise(
+        thin.join(asked.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "dedup-texts"
     )
+    first = components(confirmed_links(likely, texts, percent))
+    rest = _rest_pairs(shared, first, texts, percent)
+    more = materialise(confirmed_links(rest, texts, percent), "dedup-more-links")
     tied = first.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)
     final = components(tied) if not more.isEmpty() else first
 

@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditloom.llm.batches import small_batches
 from creditloom.llm.wordbpe import WordBpe, word_bpe
 
 #: Merged spellings that a worker remembers.
-_REMEMBERED = 1 << 20
+_REMEMBERED = 1 << 18
 
 
 @functools.lru_cache(maxsize=2)
@@ -112,6 +113,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     has no tokens; a null doc_id stays null; repeated rows are all counted. An
     empty table gives no rows. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     proven = docs.sparkSession.sparkContext.broadcast(proven_words(path))
     thin = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

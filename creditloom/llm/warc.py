@@ -22,6 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditloom.llm.batches import small_batches
 from creditloom.session import materialise, scratch_path
 
 #: Payloads of fewer bytes are never replaced by a revisit.
@@ -257,6 +258,7 @@ def archived_pages(pages: DataFrame, folder: str | None = None, range_bytes: int
     ``write_archives``; a null page_id comes back as null.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     folder = folder or scratch_path(spark, "warc")
     if "://" not in folder and folder.startswith("file:"):
         folder = folder.replace("file:", "file://", 1)

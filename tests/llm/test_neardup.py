@@ -125,7 +125,7 @@ def test_finer_estimate_of_short_documents(spark):
         b = list(a)
         for at in draw.sample(range(150), n):
             b[at] = b"other"
-        fine = [neardup.tagged(neardup.registers_of(neardup.shingle_hashes(w, hashes), 1024)) for w in (a, b)]
+        fine = [neardup.tagged(neardup.registers_of(neardup.shingle_hashes(w, hashes), neardup.FINE_REGISTERS)) for w in (a, b)]
         exact = len(set(zip(a, a[1:], a[2:], a[3:], a[4:], strict=False)) & set(zip(b, b[1:], b[2:], b[3:], b[4:], strict=False)))
         rows.append((exact / (292 - exact), *[f.tolist() for f in fine], *[(f >> 16).tolist() for f in fine]))
     df = spark.createDataFrame(rows, "exact double, a array<int>, b array<int>, pa array<int>, pb array<int>")
