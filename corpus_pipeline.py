@@ -43,12 +43,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of the mixed documents."""
+    """Token sequences of the mixed documents, as little-endian unsigned 32-bit integers in base 64, with digests."""
     encoded = bpe.encode(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"))
     return encoded.select(
         "doc_id",
         "n_tokens",
-        "ids",
+        F.base64("ids").alias("ids_base64"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )

@@ -66,8 +66,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, repea
 
 def _queue(
     docs: DataFrame, weights: Sequence[int], share: float, repeats: int, seed: str, carry: Sequence[str]
-) -> tuple[DataFrame, DataFrame]:
-    """The numbered rows of ``docs``, and the numbers of those taken with their words."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The numbered rows of ``docs``, the targets of the sources, and the numbers of taken rows with their words."""
     rows = materialise(
         docs.select(
             "doc_id",
@@ -81,7 +81,8 @@ def _queue(
         "mix-rows",
     )
     sizes = rows.groupBy("_stratum").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, share, repeats)
+    # Written, its size is known: a join broadcasts it only if it is small, and then shuffles no rows.
+    targets = materialise(source_targets(sizes, weights, share, repeats), "mix-targets")
     queued = (
         rows.filter(F.col("size") > 0)
         .select("_row", "_stratum", "size", "_key", "doc_id")
@@ -102,7 +103,7 @@ def _queue(
         .groupBy("_row")
         .agg(F.sum("size").alias("taken"), F.count(F.lit(1)).alias("_times"))
     )
-    return rows.join(targets.drop("_weight", "_budget"), "_stratum"), taken
+    return rows, targets.drop("_weight", "_budget"), taken
 
 
 def mix(
@@ -123,8 +124,8 @@ def mix(
     interchangeable; a null doc_id is shuffled like the word ``null``. An empty
     table gives no rows. Other columns are not read.
     """
-    rows, taken = _queue(docs, weights, share, repeats, seed, [])
-    return rows.join(taken, "_row", "left").select(
+    rows, targets, taken = _queue(docs, weights, share, repeats, seed, [])
+    return rows.join(targets, "_stratum").join(taken, "_row", "left").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
     )
 
@@ -145,6 +146,6 @@ def mixed_documents(
     packed = docs.select(
         F.col("doc_id"), F.col("source"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
     )
-    rows, taken = _queue(packed, weights, share, repeats, seed, ["_doc"])
+    rows, _, taken = _queue(packed, weights, share, repeats, seed, ["_doc"])
     copies = rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
     return copies.select("_doc.*")

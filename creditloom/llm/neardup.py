@@ -282,13 +282,16 @@ def _details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _rest_pairs(shared: DataFrame, first: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _rest_pairs(
+    shared: DataFrame, reps: DataFrame, first: DataFrame, texts: DataFrame, percent: int
+) -> DataFrame:
     """Pairs of different components in one bucket that may be similar enough.
 
     An intersection is no larger than what either document has in common with
     any other, so documents full of shingles of their own drop out before pairs
-    are made; that loses no link. The finer sketch then rejects most pairs that
-    come close to the threshold, as the members of a large family do.
+    are made; that loses no link. A pair is made in the first band that it
+    shares. The finer sketch then rejects most pairs that come close to the
+    threshold, as the members of a large family do.
     """
     placed = shared.filter("members > 2").join(first, shared["doc_id"] == first["node"], "left")
     placed = placed.select("doc_id", "band", F.coalesce("component", "doc_id").alias("component"))
@@ -313,6 +316,7 @@ def _rest_pairs(shared: DataFrame, first: DataFrame, texts: DataFrame, percent:
     enough = F.col("common") * (100 + percent) >= (F.col("n") + F.col("smallest")) * percent
     able = sized.filter(enough).drop("smallest")
     able = able.join(mixed(able), "band").join(details.select("doc_id", "fine"), "doc_id")
+    able = able.join(reps.select("doc_id", "bands"), "doc_id")
 
     def side(mark: str) -> DataFrame:
         return able.select("band", *[F.col(c).alias(f"{c}_{mark}") for c in able.columns if c != "band"])
@@ -328,7 +332,8 @@ def _rest_pairs(shared: DataFrame, first: DataFrame, texts: DataFrame, percent:
     longest = estimated_similarity(F.col("fine_a"), F.col("fine_b"))
     floor = percent / 100 - FINE_SLACK
     met = side("a").join(side("b"), "band").filter("doc_id_a < doc_id_b AND component_a != component_b")
-    near = met.filter(enough & (longest >= floor) & (likeness >= floor))
+    once = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band")
+    near = met.filter(enough & once & (longest >= floor) & (likeness >= floor))
     return near.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
 
 
@@ -366,7 +371,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         thin.join(asked.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "dedup-texts"
     )
     first = components(confirmed_links(likely, texts, percent))
-    rest = _rest_pairs(shared, first, texts, percent)
+    rest = _rest_pairs(shared, reps, first, texts, percent)
     more = materialise(confirmed_links(rest, texts, percent), "dedup-more-links")
     tied = first.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)
     final = components(tied) if not more.isEmpty() else first

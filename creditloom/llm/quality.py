@@ -174,9 +174,11 @@ def certified_cutoffs(
         )
         return climbed.alias(f"{rule}_cutoff")
 
-    return counts.select(
+    found = counts.select(
         "stratum", F.col("_good").alias("good"), *[strictest(rule, ladder) for rule, (_, ladder) in rules.items()]
     )
+    # Written, its size is known: a join broadcasts it only if it is small, and then shuffles no documents.
+    return materialise(found, "quality-cutoffs")
 
 
 def judge(

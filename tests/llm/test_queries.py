@@ -1,9 +1,12 @@
 """Registered queries and the pipeline: SQL where there is any, brute force elsewhere."""
 
+import base64
 import inspect
+import struct
 
 import pytest
 from checks.compare import compare, connect
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
@@ -64,7 +67,12 @@ def test_pipeline(spark, documents, labels, small_dir, vocabulary):
     last = corpus_pipeline.encode_tokens(spark, after, small_dir)
     got = corpus_pipeline.run(spark, small_dir)
     assert got.columns == last.columns
-    assert sorted(got.drop("ids").collect()) == sorted(last.drop("ids").collect())
+    assert sorted(got.collect()) == sorted(last.collect())
+    texts = {r["doc_id"]: r["text"] for r in after.select("doc_id", "text").collect()}
+    library = Tokenizer.from_file(vocabulary)
+    for r in got.collect()[:50]:
+        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert base64.b64decode(r["ids_base64"]) == struct.pack(f"<{len(ids)}I", *ids)
 
 
 def ids(df):
