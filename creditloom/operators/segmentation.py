@@ -37,13 +37,14 @@ def fit_kmeans(
     restarts: int = CLUSTER_RESTARTS,
     max_iter: int = 300,
     key: str = ID,
-    partitions: int = 64,
+    partitions: int = 16,
 ) -> Segmentation:
     """K-Means on standardised features, the cheapest of ``restarts`` seeds.
 
     Rows are placed by ``key`` in a fixed number of partitions and sorted there,
     because seeding draws by partition: the result does not depend on how the
-    rows arrive. Only scaled vectors are kept between restarts; they spill to disk rather
+    rows arrive. Choose as many ``partitions`` as the data needs tasks, and keep
+    the number. Only scaled vectors are kept between restarts; they spill to disk rather
     than fail, and lost blocks are recomputed from the source.
     """
     moments = collect_moments(df, features)

@@ -59,6 +59,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(stored: DataFrame) -> None:
+    """Delete the table that ``materialise`` wrote for a frame, once nobody reads it any more."""
+    spark = stored.sparkSession
+    folders = {file.rsplit("/", 1)[0] for file in stored.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        shared = system.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)))
+        if path.getParent().equals(shared):
+            system.delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 

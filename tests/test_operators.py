@@ -153,6 +153,15 @@ def test_kmeans_finds_separate_groups(spark):
     assert fitted.cost <= single.cost + 1e-9
 
 
+def test_kmeans_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(0, 1, (300, 2)))]
+    df = spark.createDataFrame(rows, "SK_ID_CURR long, a double, b double")
+    found = [segmentation.fit_kmeans(df.repartition(n), ["a", "b"], restarts=1) for n in (1, 4, 16)]
+    for fit in found[1:]:
+        assert np.allclose(fit.centres, found[0].centres) and fit.cost == pytest.approx(found[0].cost)
+
+
 def test_prepared_frames(tables):
     prepared, names = prepare_clustering_data(frames.clustering_frame(tables.applications))
     assert names == list(X.CLUSTER_FEATURES)

@@ -1,5 +1,6 @@
 """The shared folder comes from the session's own setting."""
 
+import os
 from types import SimpleNamespace
 
 import pytest
@@ -35,6 +36,17 @@ def test_materialised_frame_has_no_lineage(spark):
     assert "Range" not in stored._jdf.queryExecution().executedPlan().toString()
 
 
+def test_discarded_tables_are_gone(spark, tmp_path):
+    stored = session.materialise(spark.range(10), "numbers")
+    folder = stored.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(folder)
+    session.discard(stored)
+    assert not os.path.exists(folder)
+    spark.range(3).write.parquet(str(tmp_path / "mine"))
+    session.discard(spark.read.parquet(str(tmp_path / "mine")))
+    assert os.path.isdir(tmp_path / "mine")  # not written by materialise
+
+
 def test_children_join_without_a_switch(spark):
     """No hint: adaptive execution decides by the real size."""
     child = spark.range(1000).select((F.col("id") % 50).alias("SK_ID_CURR"))
