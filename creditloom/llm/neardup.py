@@ -54,6 +54,8 @@ FINE_REGISTERS, FINE_SLACK = 512, 0.08
 _EDGES = {
     n: np.array([(i << 64) // n for i in range(n)], dtype=np.uint64) for n in (REGISTERS, FINE_REGISTERS)
 }
+#: Slots of the filter that keeps most other texts out of a shuffle; never more rows than that are broadcast.
+FILTER_SLOTS = 1 << 20
 #: Words whose hashes a worker remembers.
 _REMEMBERED = 1 << 17
 
@@ -282,6 +284,22 @@ def _details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the documents ``ids``, one for each.
+
+    A filter of fixed size, the hash slots that any of the ids falls in, lets
+    only them and a few others into the shuffle of the exact join.
+    """
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def slot() -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_SLOTS)).cast("int")
+
+    slots = ids.select(slot().alias("_slot")).distinct()
+    near = thin.withColumn("_slot", slot()).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
+    return near.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def _rest_pairs(
     shared: DataFrame, reps: DataFrame, first: DataFrame, texts: DataFrame, percent: int
 ) -> DataFrame:
@@ -366,10 +384,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     asked = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).union(
         shared.filter("members > 2").select("doc_id")
     )
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = materialise(
-        thin.join(asked.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "dedup-texts"
-    )
+    asked = materialise(asked.distinct(), "dedup-asked")
+    texts = materialise(_texts_of(docs, asked), "dedup-texts")
     first = components(confirmed_links(likely, texts, percent))
     rest = _rest_pairs(shared, reps, first, texts, percent)
     more = materialise(confirmed_links(rest, texts, percent), "dedup-more-links")
@@ -398,8 +414,10 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Rows with a null doc_id stay. If rows repeat a kept doc_id, one of them stays.
     """
     marks = materialise(near_duplicates(docs, percent).filter("doc_id IS NOT NULL"), "dedup-marks")
-    dropped = marks.filter("NOT kept").select(F.col("doc_id").alias("_id"))
+    # Written, their sizes are known: joins with few identifiers shuffle no documents.
+    dropped = materialise(marks.filter("NOT kept").select(F.col("doc_id").alias("_id")), "dedup-dropped")
     repeated = marks.filter("kept").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id"))
+    repeated = materialise(repeated, "dedup-repeated")
     kept = docs.join(dropped, docs["doc_id"] == F.col("_id"), "left_anti")
     single = kept.join(repeated, kept["doc_id"] == F.col("_id"), "left_anti")
     return single.union(kept.join(repeated, kept["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
