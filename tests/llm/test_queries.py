@@ -71,8 +71,8 @@ def test_pipeline(spark, documents, labels, small_dir, vocabulary):
     texts = {r["doc_id"]: r["text"] for r in after.select("doc_id", "text").collect()}
     library = Tokenizer.from_file(vocabulary)
     for r in got.collect()[:50]:
-        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
-        assert base64.b64decode(r["ids_base64"]) == struct.pack(f"<{len(ids)}I", *ids)
+        tokens = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert base64.b64decode(r["ids_base64"]) == struct.pack(f"<{len(tokens)}I", *tokens)
 
 
 def ids(df):
