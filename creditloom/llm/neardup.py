@@ -21,12 +21,15 @@ with an equal band are candidates.
    so no link between components is left out.
 
 With 25 bands of 5 registers a pair at similarity 0.85 shares no band with a
-probability of 4e-7.
+probability of 4e-7. Lower thresholds get more bands, so that a pair at the
+threshold is missed no more often: 37 at 0.80.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +40,14 @@ from pyspark.sql import functions as F
 from creditloom.llm.batches import small_batches
 from creditloom.session import materialise
 
+#: Fewest bands, and registers of a band.
 BANDS, BAND_WIDTH = 25, 5
+#: A pair at the threshold may share no band with this probability at most.
+MISSED = 5e-7
 REGISTERS = BANDS * BAND_WIDTH
 MANTISSA = 10
 SHINGLE = 5
-#: Percent of the union that the intersection must reach.
+#: Percent of the union that the intersection must reach, as op8's contract has it; the pipeline passes its own.
 PERCENT = 85
 #: Estimates this far under the threshold are still confirmed on the sets (over five standard deviations).
 SLACK = 0.17
@@ -51,9 +57,6 @@ COLLISION = 0.169919487159739 / 2**MANTISSA
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Registers of the finer sketch, which only members of crowded buckets get, and its slack.
 FINE_REGISTERS, FINE_SLACK = 512, 0.08
-_EDGES = {
-    n: np.array([(i << 64) // n for i in range(n)], dtype=np.uint64) for n in (REGISTERS, FINE_REGISTERS)
-}
 #: Slots of the filter that keeps most other texts out of a shuffle; never more rows than that are broadcast.
 FILTER_SLOTS = 1 << 20
 #: Words whose hashes a worker remembers.
@@ -62,6 +65,24 @@ _REMEMBERED = 1 << 17
 SKETCH = "doc_id long, word_key binary, n_shingles long, registers array<int>, bands array<long>"
 
 
+def bands_for(percent: int) -> int:
+    """Bands with which a pair at the threshold is ``MISSED`` at most."""
+    if percent >= 100:
+        return BANDS
+    return max(BANDS, math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** BAND_WIDTH))))
+
+
+def fine_slack(percent: int) -> float:
+    """``FINE_SLACK`` in the standard deviations that it has at ``PERCENT``."""
+    share, known = percent / 100, PERCENT / 100
+    return FINE_SLACK * max(1.0, math.sqrt(share * (1 - share) / (known * (1 - known))))
+
+
+@lru_cache(maxsize=8)
+def _edges(count: int) -> np.ndarray:
+    return np.array([(i << 64) // count for i in range(count)], dtype=np.uint64)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words with A-Z in lower case; bytes split at exactly the six white space characters."""
     return (text or "").encode().translate(LOWER).split()
@@ -101,7 +122,7 @@ def registers_of(shingles: np.ndarray, count: int = REGISTERS) -> np.ndarray:
     Sorted hashes lie in the order of their buckets, so a bucket's smallest hash
     is the first one at or after its edge.
     """
-    edges = _EDGES[count]
+    edges = _edges(count)
     first = np.searchsorted(shingles, edges)
     empty = first == np.append(first[1:], len(shingles))
     offsets = shingles[np.minimum(first, len(shingles) - 1)] - edges if len(shingles) else edges
@@ -118,43 +139,46 @@ def tagged(registers: np.ndarray) -> np.ndarray:
     return (places + registers.astype(np.int64))[registers > 0].astype(np.int32)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _Hashes()
-    seeds = _mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
-    for batch in batches:
-        keys, counts, marked, bands = [], [], [], []
-        for text in batch.column("text"):
-            words = words_of(text.as_py())
-            shingles = shingle_hashes(words, hashes)
-            registers = registers_of(shingles)
-            keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
-            counts.append(len(shingles))
-            marked.append(tagged(registers))
-            grid = registers.reshape(BANDS, BAND_WIDTH)
-            band = seeds
-            for i in range(BAND_WIDTH):
-                band = _mixed(band * np.uint64(0x9E3779B97F4A7C15) + grid[:, i])
-            bands.append(band[grid.any(axis=1)].view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array(keys, pa.binary()),
-                pa.array(counts, pa.int64()),
-                pa.array(marked, pa.list_(pa.int32())),
-                pa.array(bands, pa.list_(pa.int64())),
-            ],
-            names=["doc_id", "word_key", "n_shingles", "registers", "bands"],
-        )
-
-
-def sketch(docs: DataFrame) -> DataFrame:
-    """Sketch every row of ``docs`` (doc_id, text).
+def _sketches(n_bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        seeds = _mixed(np.arange(1, n_bands + 1, dtype=np.uint64))
+        for batch in batches:
+            keys, counts, marked, bands = [], [], [], []
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
+                shingles = shingle_hashes(words, hashes)
+                registers = registers_of(shingles, n_bands * BAND_WIDTH)
+                keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                counts.append(len(shingles))
+                marked.append(tagged(registers))
+                grid = registers.reshape(n_bands, BAND_WIDTH)
+                band = seeds
+                for i in range(BAND_WIDTH):
+                    band = _mixed(band * np.uint64(0x9E3779B97F4A7C15) + grid[:, i])
+                bands.append(band[grid.any(axis=1)].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array(keys, pa.binary()),
+                    pa.array(counts, pa.int64()),
+                    pa.array(marked, pa.list_(pa.int32())),
+                    pa.array(bands, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "word_key", "n_shingles", "registers", "bands"],
+            )
+
+    return sketched
+
+
+def sketch(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
+    """Sketch every row of ``docs`` (doc_id, text) in ``n_bands`` bands.
 
     ``word_key`` is a 128-bit hash of the word sequence; ``registers`` holds the
     non-empty ones, each with its place in the upper bits.
     """
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return thin.mapInArrow(_sketches, SKETCH)
+    return thin.mapInArrow(_sketches(n_bands), SKETCH)
 
 
 def estimated_similarity(left: Column, right: Column, filled: Column | None = None) -> Column:
@@ -348,7 +372,7 @@ def _rest_pairs(
     likeness = estimated_similarity(F.col("fine_a"), F.col("fine_b"), filled)
     # The share of the longer list is cheap and never lower, so it goes first.
     longest = estimated_similarity(F.col("fine_a"), F.col("fine_b"))
-    floor = percent / 100 - FINE_SLACK
+    floor = percent / 100 - fine_slack(percent)
     met = side("a").join(side("b"), "band").filter("doc_id_a < doc_id_b AND component_a != component_b")
     once = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band")
     near = met.filter(enough & once & (longest >= floor) & (likeness >= floor))
@@ -369,7 +393,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     table gives no rows. Other columns are not read.
     """
     small_batches(docs.sparkSession)
-    sketches = materialise(sketch(docs), "dedup-sketches")
+    sketches = materialise(sketch(docs, bands_for(percent)), "dedup-sketches")
     wordy = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = wordy.groupBy("word_key").agg(F.min("doc_id").alias("rep"))
     reps = materialise(

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from creditloom.llm import neardup
 
 
@@ -148,3 +149,41 @@ def test_deduplicated_keeps_one_of_each_group(edges, nothing):
     assert sorted(kept, key=str) == sorted([1, 2, 3, 4, 7, 9, 11, 12, 13, 14, 15, None, None], key=str)
     assert neardup.near_duplicates(nothing).count() == 0
     assert neardup.deduplicated(nothing).count() == 0
+
+
+def spread(words, n, mark):
+    """``words`` with ``n`` words changed, far apart."""
+    out = list(words)
+    for i in range(n):
+        out[(2 * i + 1) * len(out) // (2 * n)] = f"{mark}{i}"
+    return out
+
+
+def test_stage_of_the_pipeline_links_from_80_percent_on(spark):
+    """Pairs at 0.80 and between 0.80 and 0.85 are near copies in the stage and not in op8; pairs below are in neither."""
+    draw = random.Random(21)
+    rows = []
+    for i in range(30):
+        base = [f"b{draw.randrange(10**6)}" for _ in range(200)]
+        rows += [base, spread(base, 4 + i % 2, f"m{i}x")]
+        short = [f"e{draw.randrange(10**6)}" for _ in range(49)]
+        rows += [short, spread(short, 1, f"n{i}x")]
+    centre = [f"c{draw.randrange(10**6)}" for _ in range(200)]
+    rows += [spread(centre, i % 6, f"g{i}x") for i in range(40)]
+    draw.shuffle(rows)
+    rows = [(i, " ".join(r), "en", "a", 1) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+    def kept(percent):
+        verdicts = by_hand([r[:2] for r in rows], percent)
+        return sorted(int(v[1:].split(",")[0]) for v in verdicts if v.endswith("True)"))
+
+    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == kept(80)
+    assert len(got) < len(kept(85))
+
+
+def test_bands_follow_the_threshold():
+    assert [neardup.bands_for(p) for p in (100, 95, 85, 80)] == [25, 25, 25, 37]
+    for percent in (85, 80, 70):
+        assert (1 - (percent / 100) ** neardup.BAND_WIDTH) ** neardup.bands_for(percent) <= neardup.MISSED
