@@ -4,8 +4,10 @@ Texts are lower-cased (A-Z) and cut into words; the words, joined by single
 spaces, are searched. A notice that may have ``k`` edits is split into ``k + 1``
 seeds: by the pigeonhole principle one of them occurs unchanged in every match.
 Places of seeds are found by plain search; only the words around a place are
-given to the regex library, whose bounded-error matching verifies the whole notice,
-counts its edits and gives its span.
+given to the regex library, whose bounded-error matching verifies the whole notice
+and gives its span. Exact places are taken first, then what is left between them is
+searched with one edit, then with two and so on: every match has the fewest edits
+possible, and none hides another that stands beside it.
 """
 
 from __future__ import annotations
@@ -71,7 +73,8 @@ class _Notice:
     label: str
     edits: int
     seeds: tuple[tuple[int, bytes], ...]
-    pattern: regex.Pattern
+    #: One for each number of edits from 0 on.
+    patterns: tuple[regex.Pattern, ...]
 
 
 @lru_cache(maxsize=4)
@@ -82,8 +85,8 @@ def _prepared(notices: tuple[tuple[str, str], ...], letters_an_edit: int) -> lis
         edits = max(1, len(raw) // letters_an_edit)
         cuts = [len(raw) * i // (edits + 1) for i in range(edits + 2)]
         seeds = tuple((a, raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False))
-        pattern = regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={edits}}}")
-        found.append(_Notice(text, label, edits, seeds, pattern))
+        patterns = tuple(regex.compile(f"(?:{regex.escape(text)}){{e<={n}}}") for n in range(edits + 1))
+        found.append(_Notice(text, label, edits, seeds, patterns))
     return found
 
 
@@ -108,6 +111,21 @@ def _windows(line: bytes, notice: _Notice) -> list[tuple[int, int]]:
     return merged
 
 
+def _matches(window: str, notice: _Notice) -> Iterator[tuple[regex.Match, int]]:
+    """Matches that do not overlap, those of fewest edits first, and their edits."""
+    gaps = [(0, len(window))]
+    for edits, pattern in enumerate(notice.patterns):
+        left = []
+        for low, high in gaps:
+            for match in pattern.finditer(window, low, high):
+                yield match, edits
+                left.append((low, match.start()))
+                low = match.end()
+            left.append((low, high))
+        # A match is no shorter than the notice less its edits.
+        gaps = [(low, high) for low, high in left if high - low >= len(notice.text) - notice.edits]
+
+
 def notice_spans(words: list[bytes], notices: list[_Notice]) -> list[dict]:
     """Verified notices of a text: label, notice, first and last word, and edits."""
     line = b" ".join(words)
@@ -115,7 +133,7 @@ def notice_spans(words: list[bytes], notices: list[_Notice]) -> list[dict]:
     for notice in notices:
         for low, high in _windows(line, notice):
             window = line[low:high].decode()
-            for match in notice.pattern.finditer(window):
+            for match, edits in _matches(window, notice):
                 start = low + len(window[: match.start()].encode())
                 inside = match.group().strip()
                 first = line.count(b" ", 0, start + (match.group()[:1] == " "))
@@ -125,7 +143,7 @@ def notice_spans(words: list[bytes], notices: list[_Notice]) -> list[dict]:
                         "notice": notice.text,
                         "first": first,
                         "last": first + inside.count(" "),
-                        "edits": sum(match.fuzzy_counts),
+                        "edits": edits,
                     }
                 )
     return sorted(found, key=lambda s: (s["first"], s["last"], s["notice"]))

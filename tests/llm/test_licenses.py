@@ -75,6 +75,48 @@ def test_seeds_lose_no_match():
     assert 50 < hits < 300
 
 
+def best_first(pattern, line, low, high):
+    """The best match of a stretch, and those of the stretches on both sides of it."""
+    match = pattern.search(line, low, high)
+    if match is None:
+        return []
+    before, after = line[: match.start()], match.group()
+    first = before.count(" ") + after.startswith(" ")
+    own = (first, first + after.strip().count(" "), sum(match.fuzzy_counts))
+    return [*best_first(pattern, line, low, match.start()), own, *best_first(pattern, line, match.end(), high)]
+
+
+@pytest.mark.parametrize(
+    "notice",
+    ["creative commons attribution", "all rights reserved", "redistribution and use in source and binary forms"],
+)
+def test_notices_close_by_are_all_found(notice):
+    """Misspelt notices before, between and after exact ones, against searches of the whole line."""
+    import random
+
+    draw = random.Random(9)
+    prepared = licenses._prepared(((notice, "x"),), licenses.LETTERS_AN_EDIT)
+    whole = regex.compile(f"(?b)(?:{notice}){{e<={prepared[0].edits}}}")
+    cases = [" ".join(["creative comons attribution"] * 3 + ["creative commons attribution"])]
+    for _ in range(150):
+        parts = []
+        for _ in range(draw.randint(1, 6)):
+            changed = list(notice)
+            for _ in range(draw.randint(0, prepared[0].edits + 1)):
+                at = draw.randrange(len(changed))
+                changed[at : at + 1] = draw.choice([[], [draw.choice("abcé")], [changed[at], "x"]])
+            parts.append("".join(changed))
+        cases.append("before it " + draw.choice([" ", " and then "]).join(parts) + " after it")
+    most = 0
+    for text in cases:
+        words = licenses.words_of(text)
+        line = b" ".join(words).decode()
+        got = [(s["first"], s["last"], s["edits"]) for s in licenses.notice_spans(words, prepared)]
+        assert got == best_first(whole, line, 0, len(line)), text
+        most = max(most, len(got))
+    assert most > 3
+
+
 def test_other_lists_and_empty_table(edges, nothing):
     rows = licenses.scan_licenses(edges, {"same row": "own"}, {}).collect()
     assert {r["labels"] for r in rows} == {"", "own"}
