@@ -391,6 +391,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     A row with a null doc_id has a null component and is kept, for nothing can
     name it. Repeated rows are all returned, with the same values. An empty
     table gives no rows. Other columns are not read.
+
+    Different texts under one doc_id are outside the contract: rows are linked
+    by doc_id, so one of the texts may stand for all of them.
     """
     small_batches(docs.sparkSession)
     sketches = materialise(sketch(docs, bands_for(percent)), "dedup-sketches")
@@ -436,6 +439,7 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of ``docs`` for every component, with all its columns.
 
     Rows with a null doc_id stay. If rows repeat a kept doc_id, one of them stays.
+    Different texts under one doc_id are outside the contract; some may be lost.
     """
     marks = materialise(near_duplicates(docs, percent).filter("doc_id IS NOT NULL"), "dedup-marks")
     # Written, their sizes are known: joins with few identifiers shuffle no documents.
