@@ -18,6 +18,7 @@ from creditloom.llm import (
     sharding,
     token_counts,
     toxicity,
+    vectors,
     warc,
 )
 from creditloom.llm.oracles import ORACLE
@@ -100,3 +101,9 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
