@@ -37,7 +37,7 @@ LEAST = 0.9
 #: Vectors that the index is fitted on at most, and lists at most; beyond them lists only grow longer.
 SAMPLE, LISTS = 1 << 15, 1 << 11
 SUBSPACES, CODES = 8, 256
-BEHIND = 3.0
+BEHIND = 1.0
 BLOCK = 4096
 _ROUNDS = 12
 #: Exact cosines that are computed at once.
