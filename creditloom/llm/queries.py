@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.llm import (
+    alignment,
     bpe,
     fingerprints,
     licenses,
@@ -107,3 +108,10 @@ def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every embedding."""
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a byte-level and a sentencepiece vocabulary split every document."""
+    first, second = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.token_alignment(table(spark, sf_dir, "documents"), first, second)
