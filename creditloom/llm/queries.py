@@ -19,6 +19,7 @@ from creditloom.llm import (
     sharding,
     token_counts,
     toxicity,
+    variants,
     vectors,
     warc,
 )
@@ -115,3 +116,9 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How a byte-level and a sentencepiece vocabulary split every document."""
     first, second = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.token_alignment(table(spark, sf_dir, "documents"), first, second)
+
+
+@_query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents and the forms that they may be variants of."""
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
