@@ -15,10 +15,13 @@ with an equal band are candidates.
 3. Pairs whose estimated similarity (equal registers less the collisions that
    compression causes, by non-empty registers) may reach the threshold are
    confirmed on the full shingle sets. Linked classes become components.
-4. In buckets of three or more that still hold several components, pairs of
-   different components are tested the same way, as far as exact bounds on the
-   intersection allow a link. Pairs inside a component can't change the result,
-   so no link between components is left out.
+4. Members of buckets of three or more that still hold several components are
+   paired by an exact prefix filter. Shingles are ordered by the number of these
+   documents that hold them, the rarest first. A pair at the threshold has a
+   shingle in common among the first few of both: few enough that the shingles
+   that nobody else has, which come first and make no rows, use them up in
+   documents that resemble others without reaching the threshold. Pairs inside a
+   component can't change the result, so no link between components is left out.
 
 With 25 bands of 5 registers a pair at similarity 0.85 shares no band with a
 probability of 4e-7. Lower thresholds get more bands, so that a pair at the
@@ -38,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm.batches import small_batches
-from creditloom.session import materialise
+from creditloom.session import discard, materialise
 
 #: Fewest bands, and registers of a band.
 BANDS, BAND_WIDTH = 25, 5
@@ -55,8 +58,8 @@ SLACK = 0.17
 COLLISION = 0.169919487159739 / 2**MANTISSA
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Registers of the finer sketch, which only members of crowded buckets get, and its slack.
-FINE_REGISTERS, FINE_SLACK = 512, 0.08
+#: Documents with one shingle among their first that meet in a task at most; more are cut by a hash.
+MEETING = 1 << 10
 #: Slots of the filter that keeps most other texts out of a shuffle; never more rows than that are broadcast.
 FILTER_SLOTS = 1 << 20
 #: Words whose hashes a worker remembers.
@@ -72,12 +75,6 @@ def bands_for(percent: int) -> int:
     return max(BANDS, math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** BAND_WIDTH))))
 
 
-def fine_slack(percent: int) -> float:
-    """``FINE_SLACK`` in the standard deviations that it has at ``PERCENT``."""
-    share, known = percent / 100, PERCENT / 100
-    return FINE_SLACK * max(1.0, math.sqrt(share * (1 - share) / (known * (1 - known))))
-
-
 @lru_cache(maxsize=8)
 def _edges(count: int) -> np.ndarray:
     return np.array([(i << 64) // count for i in range(count)], dtype=np.uint64)
@@ -181,15 +178,13 @@ def sketch(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
     return thin.mapInArrow(_sketches(n_bands), SKETCH)
 
 
-def estimated_similarity(left: Column, right: Column, filled: Column | None = None) -> Column:
+def estimated_similarity(left: Column, right: Column) -> Column:
     """Similarity of two lists of tagged registers, corrected for chance collisions.
 
-    The share is of the ``filled`` registers, those that either document fills.
-    Without them it is of the longer list, which rather overestimates documents
-    that are too short to fill all registers.
+    The share is of the longer list, which rather overestimates documents that
+    are too short to fill all registers.
     """
-    most = F.greatest(F.size(left), F.size(right)) if filled is None else filled
-    share = F.size(F.array_intersect(left, right)) / most
+    share = F.size(F.array_intersect(left, right)) / F.greatest(F.size(left), F.size(right))
     return (share - F.lit(COLLISION)) / F.lit(1 - COLLISION)
 
 
@@ -299,12 +294,8 @@ def _details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [shingle_hashes(words_of(x.as_py()), hashes) for x in batch.column("text")]
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())),
-                pa.array([tagged(registers_of(x, FINE_REGISTERS)) for x in found], pa.list_(pa.int32())),
-            ],
-            names=["doc_id", "shingles", "fine"],
+            [batch.column("doc_id"), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))],
+            names=["doc_id", "shingles"],
         )
 
 
@@ -324,59 +315,77 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return near.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def _rest_pairs(
-    shared: DataFrame, reps: DataFrame, first: DataFrame, texts: DataFrame, percent: int
-) -> DataFrame:
-    """Pairs of different components in one bucket that may be similar enough.
+def _first_shingles(details: DataFrame, percent: int) -> DataFrame:
+    """Rows (doc_id, n, shingle, place, short) of the first shared shingles of every document.
 
-    An intersection is no larger than what either document has in common with
-    any other, so documents full of shingles of their own drop out before pairs
-    are made; that loses no link. A pair is made in the first band that it
-    shares. The finer sketch then rejects most pairs that come close to the
-    threshold, as the members of a large family do.
+    Let a pair reach the threshold, of sizes m <= n. It has at least
+    percent * (m + n) / (100 + percent) shingles in common, which is no less than
+    2 * percent * m / (100 + percent), nor than percent * n / 100 as m is that
+    large. So the longer document holds a common shingle among its first
+    n - percent * n / 100 + 1, and the shorter one already among its first
+    m - 2 * percent * m / (100 + percent) + 1, both in one order of all shingles;
+    ``short`` marks the latter.
     """
-    placed = shared.filter("members > 2").join(first, shared["doc_id"] == first["node"], "left")
-    placed = placed.select("doc_id", "band", F.coalesce("component", "doc_id").alias("component"))
+    single = details.select("doc_id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+    held = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    known = single.join(held, "shingle").groupBy("doc_id", "n").agg(
+        F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("known")
+    )
+
+    def first(part: int, whole: int) -> Column:
+        return F.col("n") - F.ceil(F.col("n") * part / whole) + 1
+
+    own = F.col("n") - F.size("known")
+    firsts = known.select("doc_id", "n", own.alias("own"), F.posexplode(
+        F.slice("known", F.lit(1), F.greatest(first(percent, 100) - own, F.lit(0)).cast("int"))
+    ).alias("at", "one"))
+    place = F.col("own") + F.col("at")
+    return firsts.select(
+        "doc_id", "n", "one.shingle", place.alias("place"), (place < first(2 * percent, 100 + percent)).alias("short")
+    )
 
-    def mixed(rows: DataFrame, *more: Column) -> DataFrame:
-        ends = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), *more)
-        return ends.filter("low < high").drop("low", "high")
 
-    rest = materialise(placed.join(mixed(placed), "band"), "dedup-rest")
-    chosen = texts.join(rest.select("doc_id").distinct(), "doc_id", "left_semi")
-    details = materialise(
-        chosen.mapInArrow(_details, "doc_id long, shingles array<long>, fine array<int>"), "dedup-details"
+def _rest_pairs(shared: DataFrame, first: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of documents of different components that may be similar enough, among members of mixed buckets."""
+    placed = shared.filter("members > 2").join(first, shared["doc_id"] == first["node"], "left")
+    placed = placed.select("doc_id", "band", F.coalesce("component", "doc_id").alias("component"))
+    ends = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = placed.join(ends.filter("low < high"), "band")
+    rest = materialise(mixed.select("doc_id", "component").distinct(), "dedup-rest")
+    chosen = texts.join(rest, "doc_id", "left_semi")
+    details = materialise(chosen.mapInArrow(_details, "doc_id long, shingles array<long>"), "dedup-details")
+    firsts = materialise(_first_shingles(details, percent).join(rest, "doc_id"), "dedup-firsts")
+    discard(details)
+
+    # Shingles that meet nobody of another component make no pair; hot ones are cut.
+    sizes = firsts.groupBy("shingle").agg(
+        F.count_if("short").alias("n_short"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    sizes = sizes.filter("n_short > 0 AND low < high")
+    sizes = materialise(
+        sizes.select("shingle", F.ceil(F.col("n_short") / MEETING).cast("int").alias("slots")), "dedup-met"
+    )
+    met = firsts.join(sizes, "shingle")
+    short = met.filter("short").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.col("slots").cast("long")).cast("int"))
+    long = met.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+
+    def side(rows: DataFrame, mark: str) -> DataFrame:
+        names = ["doc_id", "n", "place", "component"]
+        return rows.select("shingle", "slot", *[F.col(c).alias(f"{c}_{mark}") for c in names])
+
+    n_a, n_b, at_a, at_b = (F.col(c) for c in ("n_a", "n_b", "place_a", "place_b"))
+    # At most what lies before the shingle on either side, itself, and what lies behind it.
+    common = F.least(at_a, at_b) + 1 + F.least(n_a - at_a, n_b - at_b) - 1
+    able = (
+        (F.struct(n_a, "doc_id_a") < F.struct(n_b, "doc_id_b"))
+        & (F.col("component_a") != F.col("component_b"))
+        & (n_a * 100 >= n_b * percent)
+        & (common * (100 + percent) >= (n_a + n_b) * percent)
     )
-    single = details.select("doc_id", F.explode("shingles").alias("shingle"))
-    several = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
-    common = single.join(several, "shingle").groupBy("doc_id").agg(F.count(F.lit(1)).alias("common"))
-    sizes = details.select("doc_id", F.size("shingles").alias("n")).join(common, "doc_id")
-    sizes = sizes.filter(F.col("common") * 100 >= F.col("n") * percent)
-
-    sized = materialise(rest.join(sizes, "doc_id"), "dedup-rest-sized")
-    sized = sized.join(mixed(sized, F.min("n").alias("smallest")), "band")
-    enough = F.col("common") * (100 + percent) >= (F.col("n") + F.col("smallest")) * percent
-    able = sized.filter(enough).drop("smallest")
-    able = able.join(mixed(able), "band").join(details.select("doc_id", "fine"), "doc_id")
-    able = able.join(reps.select("doc_id", "bands"), "doc_id")
-
-    def side(mark: str) -> DataFrame:
-        return able.select("band", *[F.col(c).alias(f"{c}_{mark}") for c in able.columns if c != "band"])
-
-    def places(registers: str) -> Column:
-        return F.transform(registers, lambda x: F.shiftright(x, 16))
-
-    most = F.least("common_a", "common_b") * (100 + percent)
-    enough = most >= (F.col("n_a") + F.col("n_b")) * percent
-    filled = F.size(F.array_union(places("fine_a"), places("fine_b")))
-    likeness = estimated_similarity(F.col("fine_a"), F.col("fine_b"), filled)
-    # The share of the longer list is cheap and never lower, so it goes first.
-    longest = estimated_similarity(F.col("fine_a"), F.col("fine_b"))
-    floor = percent / 100 - fine_slack(percent)
-    met = side("a").join(side("b"), "band").filter("doc_id_a < doc_id_b AND component_a != component_b")
-    once = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band")
-    near = met.filter(enough & once & (longest >= floor) & (likeness >= floor))
-    return near.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    pairs = side(short, "a").join(side(long, "b"), ["shingle", "slot"]).filter(able)
+    return pairs.select(
+        F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")
+    ).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -414,7 +423,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     asked = materialise(asked.distinct(), "dedup-asked")
     texts = materialise(_texts_of(docs, asked), "dedup-texts")
     first = components(confirmed_links(likely, texts, percent))
-    rest = _rest_pairs(shared, reps, first, texts, percent)
+    rest = materialise(_likely(_rest_pairs(shared, first, texts, percent), reps, percent), "dedup-rest-pairs")
     more = materialise(confirmed_links(rest, texts, percent), "dedup-more-links")
     tied = first.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)
     final = components(tied) if not more.isEmpty() else first

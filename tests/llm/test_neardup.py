@@ -116,23 +116,57 @@ def test_estimate_is_unbiased(spark):
     assert abs(off.mean()) < 0.01 and np.abs(off).max() < neardup.SLACK
 
 
-def test_finer_estimate_of_short_documents(spark):
-    """With fewer shingles than registers the finer sketch nearly is the set."""
-    draw = random.Random(8)
-    hashes = neardup._Hashes()
-    a = [f"x{draw.randrange(10**6)}".encode() for _ in range(150)]
+def template_family(draw, size, choices):
+    """Documents of one template, 0.7 to 0.8 alike: a few of its words are drawn from few ``choices``, if any."""
+    base = [f"t{draw.randrange(10**6)}" for _ in range(200)]
+    slots = draw.sample(range(4, 196), 6)
     rows = []
-    for n in range(12):
-        b = list(a)
-        for at in draw.sample(range(150), n):
-            b[at] = b"other"
-        fine = [neardup.tagged(neardup.registers_of(neardup.shingle_hashes(w, hashes), neardup.FINE_REGISTERS)) for w in (a, b)]
-        exact = len(set(zip(a, a[1:], a[2:], a[3:], a[4:], strict=False)) & set(zip(b, b[1:], b[2:], b[3:], b[4:], strict=False)))
-        rows.append((exact / (292 - exact), *[f.tolist() for f in fine], *[(f >> 16).tolist() for f in fine]))
-    df = spark.createDataFrame(rows, "exact double, a array<int>, b array<int>, pa array<int>, pb array<int>")
-    filled = F.size(F.array_union("pa", "pb"))
-    for r in df.withColumn("e", neardup.estimated_similarity(df["a"], df["b"], filled)).collect():
-        assert abs(r["e"] - r["exact"]) < neardup.FINE_SLACK
+    for i in range(size):
+        out = list(base)
+        for at in draw.sample(slots, 5):
+            out[at] = f"v{at}x{draw.randrange(choices) if choices else f'{i}u'}"
+        rows.append(out)
+    return rows
+
+
+@pytest.mark.parametrize("choices", [0, 4])
+@pytest.mark.parametrize("meeting", [neardup.MEETING, 7])
+def test_template_families(spark, monkeypatch, choices, meeting):
+    """Links equal brute force where most documents of a family resemble each other without reaching the threshold."""
+    monkeypatch.setattr(neardup, "MEETING", meeting)
+    draw = random.Random(choices)
+    rows = [r for _ in range(2) for r in template_family(draw, 60, choices)]
+    check(spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string"))
+
+
+def test_unlike_members_of_a_bucket_make_no_pairs(spark):
+    """One large bucket of documents 0.7 to 0.8 alike: the prefix filter makes hardly any of its pairs."""
+    rows = template_family(random.Random(3), 150, 0)
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    shared = docs.select("doc_id", F.lit(1).cast("long").alias("band"), F.lit(150).cast("long").alias("members"))
+    alone = spark.createDataFrame([], "node long, component long")
+    assert neardup._rest_pairs(shared, alone, docs, 85).count() < 150
+
+
+def test_first_shingles_meet_in_every_similar_pair(spark):
+    draw = random.Random(5)
+    sets = []
+    for _ in range(30):
+        base = [draw.randrange(400) for _ in range(draw.randrange(1, 90))]
+        sets += [sorted({x if draw.random() > 0.06 else draw.randrange(400) for x in base}) for _ in range(6)]
+    details = spark.createDataFrame(list(enumerate(sets)), "doc_id long, shingles array<long>")
+    for percent in (80, 85):
+        firsts = {}
+        for r in neardup._first_shingles(details, percent).collect():
+            firsts.setdefault(r["doc_id"], {})[r["shingle"]] = r["short"]
+        similar = 0
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                common = len(set(x) & set(y))
+                if (len(x), a) < (len(y), b) and 100 * common >= percent * (len(x) + len(y) - common):
+                    similar += 1
+                    assert any(s and k in firsts.get(b, {}) for k, s in firsts.get(a, {}).items())
+        assert similar > 50
 
 
 def test_components_of_a_long_path(spark):
