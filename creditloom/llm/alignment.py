@@ -39,11 +39,13 @@ from creditloom.llm.batches import small_batches
 from creditloom.session import materialise
 
 #: Characters of text from which a chunk is full, and characters that are tokenized at once. Longer ones stay whole.
-CHUNK, AT_ONCE = 4 << 20, 1 << 18
+CHUNK, AT_ONCE = 1 << 20, 1 << 16
 #: Words whose tokens a worker remembers, and their longest.
-_REMEMBERED, _LONGEST = 1 << 18, 64
+_REMEMBERED, _LONGEST = 1 << 17, 64
 #: The spaces in front of words that a text is cut at. U+2581 stands for a space in sentencepiece models.
 _BORDER = re.compile(r"(?<![ \u2581]) (?=[^\s\u2581])")
+#: Words that are letters in every version of Unicode's tables.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class Side(NamedTuple):
@@ -88,10 +90,21 @@ def byte_level_side(path: str) -> Side:
     steps = spec["pre_tokenizer"] or {}
     usual = steps.get("type") == "ByteLevel" and not steps["add_prefix_space"] and steps.get("use_regex", True)
 
+    plain = usual and spec["normalizer"] is None
+    spelled = {byte: letter for letter, byte in letters.items()}
+
     def encode(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        # A space and letters are one pre-token, which the merges can be asked for directly.
+        alone = [plain and _LETTERS.fullmatch(t) is not None for t in texts]
+        others = [" " + t for t, one in zip(texts, alone, strict=True) if not one]
+        rest = iter(library.encode_batch_fast(others, add_special_tokens=False))
+        return [
+            [x.id for x in model.tokenize((b" " + t.encode()).decode("latin-1").translate(spelled))] if one else next(rest).ids
+            for t, one in zip(texts, alone, strict=True)
+        ]
 
-    return _side(pieces, encode, usual and spec["normalizer"] is None)
+    model = library.model
+    return _side(pieces, encode, plain)
 
 
 def sentence_piece_side(path: str) -> Side:
@@ -224,7 +237,7 @@ def align(known: Encodings, words: list[str]) -> Words:
     return Words(good, n_a, n_b, n_groups, n_links, groups, pairs, links.astype(np.int32))
 
 
-@functools.lru_cache(maxsize=1 << 18)
+@functools.lru_cache(maxsize=1 << 16)
 def _spelling(code: int) -> str:
     return f"{code >> 8}{chr(code & 255)}"
 
