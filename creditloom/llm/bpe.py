@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from creditloom.llm.batches import small_batches
 from creditloom.llm.wordbpe import WordBpe, word_bpe
+from creditloom.session import materialise
 
 #: Letters of a pre-token from which it is encoded in pieces, and letters of a piece.
 LONGEST, PIECE = 1 << 14, 1 << 12
@@ -234,12 +235,13 @@ def encode(docs: DataFrame, path: str, longest: int = LONGEST, piece: int = PIEC
     small_batches(docs.sparkSession)
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Composing characters may shorten a text but never makes a run longer than three times.
-    unsplit = F.coalesce(F.col("text").rlike(rf"\S{{{max(1, longest // 3)}}}"), F.lit(False))
+    # A run is looked at from its start only, so that a text costs one pass whatever its runs are.
+    unsplit = F.coalesce(F.col("text").rlike(rf"(?<!\S)\S{{{max(1, longest // 3)}}}"), F.lit(False))
     whole = thin.filter(~unsplit).mapInArrow(_encode_whole(path), _OUT)
+    # Numbered and written once: a recomputed task must not number the rows anew.
+    numbered = materialise(thin.filter(unsplit).withColumn("row", F.monotonically_increasing_id()), "bpe-unsplit")
     pieces = (
-        thin.filter(unsplit)
-        .withColumn("row", F.monotonically_increasing_id())
-        .mapInArrow(_cut(path, longest, piece), _CUT)
+        numbered.mapInArrow(_cut(path, longest, piece), _CUT)
         .repartition("row", "place")
         .mapInArrow(
             _encode_pieces(path),

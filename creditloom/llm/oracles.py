@@ -69,7 +69,9 @@ _RUNGS = ", ".join(
     for rule, (sign, ladder) in RULES.items()
     for i, c in enumerate(ladder)
 )
-_VALUE = "CASE rule " + " ".join(f"WHEN '{rule}' THEN {_ratio(rule)}" for rule in RULES) + " END"
+_WORST = "CASE rule " + " ".join(f"WHEN '{rule}' THEN {rule}" for rule in RULES) + " END"
+#: The share of the risk that each rule has.
+_EACH = f"{RISK / len(RULES)}::DOUBLE"
 
 OP2 = f"""
 WITH raw AS (SELECT doc_id, lang, coalesce('l' || lang, 'n') AS stratum, coalesce(text, '') AS t,
@@ -87,12 +89,13 @@ counted AS (SELECT r, doc_id, lang, stratum, len(w)::BIGINT AS n_words,
   FROM parts LEFT JOIN marks USING (r)),
 measured AS (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed FROM counted),
 rungs AS (SELECT * FROM (VALUES {_RUNGS}) AS v(rule, i, side, cutoff)),
-good AS (SELECT measured.* FROM measured JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed),
+good AS (SELECT stratum, doc_id, {", ".join(f"max({sign} * ({_ratio(rule)})) AS {rule}" for rule, (sign, _) in RULES.items())}
+  FROM measured WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY stratum, doc_id),
 counts AS (SELECT stratum, rule, i, any_value(cutoff) AS cutoff, count(*) AS n,
-  count(*) FILTER (WHERE side * ({_VALUE}) > side * cutoff) AS k FROM good, rungs GROUP BY stratum, rule, i),
+  count(*) FILTER (WHERE {_WORST} > side * cutoff) AS k FROM good, rungs GROUP BY stratum, rule, i),
 tails AS (SELECT *, (SELECT count(DISTINCT stratum) FROM good) AS strata,
-  CASE WHEN k > n * {RISK}::DOUBLE THEN 1 ELSE list_sum(list_transform(range(k + 1), lambda j:
-    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}::DOUBLE) + (n - j) * ln(1 - {RISK}::DOUBLE)))) END AS p
+  CASE WHEN k > n * {_EACH} THEN 1 ELSE list_sum(list_transform(range(k + 1), lambda j:
+    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_EACH}) + (n - j) * ln(1 - {_EACH})))) END AS p
   FROM counts),
 climbed AS (SELECT *, bool_and(p <= {LEVEL}::DOUBLE / (strata * {len(RULES)}))
   OVER (PARTITION BY stratum, rule ORDER BY i) AS ok FROM tails),

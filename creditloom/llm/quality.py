@@ -3,10 +3,11 @@
 Each rule is a ratio of a document (symbols a word, repeated lines a word,
 repeated words a word, characters a word) and a ladder of cutoffs from lenient to
 strict. In every stratum (language) the good labelled documents tell how many a
-cutoff would wrongly reject. A cutoff is certified if that count is so low that a
-false rejection rate of ``risk`` would have given it with a probability of at
-most ``level / (rules * strata)`` (exact binomial tail; Bonferroni over rules and
-strata). The ladder is tested from its lenient end and stops at the first cutoff
+cutoff would wrongly reject. The rules share the stratum's ``risk`` evenly, so
+that their joint verdict stays within it however the rules overlap. A cutoff is
+certified if the count is so low that a false rejection rate of ``risk / rules``
+would have given it with a probability of at most ``level / (rules * strata)``
+(exact binomial tail; Bonferroni over rules and strata). The ladder is tested from its lenient end and stops at the first cutoff
 that fails, so its length costs nothing (fixed sequence). The strictest certified
 cutoff is used; a rule without one rejects nothing in that stratum.
 
@@ -32,8 +33,8 @@ RULES: Mapping[str, tuple[int, Sequence[float]]] = {
     "repeats_per_word": (1, (0.45, 0.4, 0.35, 0.3)),
     "chars_per_word": (1, (12.0, 10.0, 9.0, 8.0, 7.5, 7.0)),
 }
-#: Bound on the rate of good documents that one rule may reject, and the chance that any bound fails.
-RISK, LEVEL = 0.005, 0.05
+#: Bound on the rate of good documents that the rules may reject together in a stratum, and the chance that any bound fails.
+RISK, LEVEL = 0.02, 0.05
 
 
 def _let(value: Column, body) -> Column:
@@ -140,20 +141,22 @@ def certified_cutoffs(
 
     ``measures`` has doc_id, stratum, the base measures and base_failed;
     ``labels`` has doc_id and quality. Good documents are those of quality 1
-    that pass the base. Counting is one grouped aggregation; a document that is
-    labelled twice counts twice.
+    that pass the base. Every document is one trial, whether its row or its label
+    is repeated; of several rows in a stratum the worst one counts.
     """
     good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").alias("_labelled"))
-    rows = measures.filter(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("_labelled"))
+    rows = measures.filter(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("_labelled"), "left_semi")
     ratio = ratios()
+    worst = [F.max(F.lit(sign) * ratio[rule]).alias(f"_{rule}") for rule, (sign, _) in rules.items()]
+    rows = rows.groupBy("stratum", "doc_id").agg(*worst)
     sums = [
-        F.sum((F.lit(sign) * ratio[rule] > F.lit(sign * cutoff)).cast("long")).alias(f"{rule}_{i}")
+        F.sum((F.col(f"_{rule}") > F.lit(sign * cutoff)).cast("long")).alias(f"{rule}_{i}")
         for rule, (sign, ladder) in rules.items()
         for i, cutoff in enumerate(ladder)
     ]
     counts = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("_good"), *sums)
     counts = counts.withColumn("_strata", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
-    share = F.lit(level) / (F.col("_strata") * len(rules))
+    share, risk = F.lit(level) / (F.col("_strata") * len(rules)), risk / len(rules)
 
     def passes(name: str) -> Column:
         enough = F.col(name) <= F.col("_good") * F.lit(risk)

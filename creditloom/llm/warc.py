@@ -29,7 +29,6 @@ from creditloom.session import materialise, scratch_path
 SMALLEST_REVISIT = 100
 RANGE_BYTES = 4 << 20
 _READ = 1 << 18
-_HEADER_LIMIT = 1 << 20
 _MAGIC = b"\x1f\x8b\x08"
 _PAGE = "urn:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -144,26 +143,23 @@ def _magics(archive: _Archive, start: int, end: int) -> Iterator[int]:
 
 def _inflate(archive: _Archive, at: int) -> tuple[bytes, int] | None:
     """The content of the member at ``at`` and the place behind it, if it is a whole WARC record."""
-    unpacker, parts, size, read, known = zlib.decompressobj(31), [], 0, at, False
+    unpacker, content, read, ended = zlib.decompressobj(31), bytearray(), at, -1
     while not unpacker.eof:
         block = archive.read(read, _READ)
         if not block:
             return None
         read += len(block)
+        seen = max(0, len(content) - 3)
         try:
-            parts.append(unpacker.decompress(block))
+            content += unpacker.decompress(block)
         except zlib.error:
             return None
-        size += len(parts[-1])
-        if not known:
-            head = b"".join(parts)
-            if not b"WARC/1.".startswith(head[:7]):
-                return None
-            known = b"\r\n\r\n" in head
-            if not known and size > _HEADER_LIMIT:
-                return None
-            parts = [head]
-    return (b"".join(parts), read - len(unpacker.unused_data)) if known else None
+        if not b"WARC/1.".startswith(content[:7]):
+            return None
+        # Headers may be of any length: the member's end bounds them.
+        if ended < 0:
+            ended = content.find(b"\r\n\r\n", seen)
+    return (bytes(content), read - len(unpacker.unused_data)) if ended >= 0 else None
 
 
 def parse(content: bytes) -> dict | None:
@@ -254,7 +250,8 @@ def archived_pages(pages: DataFrame, folder: str | None = None, range_bytes: int
     Returns page_id, payload_bytes and payload_digest (SHA-256) of the full
     payload, record_type and refers_to (page_id of the response that a revisit
     names, else null). What a revisit leaves out comes from the response with
-    its digest. Rules for nulls, repeated rows and empty tables are those of
+    its digest. Reading another number of records than were written is an error.
+    URLs and payloads may be of any length. Rules for nulls, repeated rows and empty tables are those of
     ``write_archives``; a null page_id comes back as null.
     """
     spark = pages.sparkSession
@@ -262,7 +259,8 @@ def archived_pages(pages: DataFrame, folder: str | None = None, range_bytes: int
     folder = folder or scratch_path(spark, "warc")
     if "://" not in folder and folder.startswith("file:"):
         folder = folder.replace("file:", "file://", 1)
-    records = read_archives(write_archives(pages, folder), folder, range_bytes)
+    archives = write_archives(pages, folder)
+    records = read_archives(archives, folder, range_bytes)
     page = F.regexp_extract("record_id", rf"^{_PAGE}(-?\d+)$", 1)
     seen = materialise(
         records.select(
@@ -275,6 +273,9 @@ def archived_pages(pages: DataFrame, folder: str | None = None, range_bytes: int
         ),
         "warc-records",
     )
+    written, read = archives.agg(F.sum("records")).first()[0] or 0, seen.count()
+    if read != written:
+        raise RuntimeError(f"{written} records were written and {read} read back")
     full = seen.filter("record_type = 'response'")
     known = full.groupBy("digest").agg(F.max("size").alias("size"))
     revisits = seen.filter("record_type = 'revisit'").drop("digest", "size")

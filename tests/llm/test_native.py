@@ -66,6 +66,45 @@ def test_certified_cutoffs_bound_false_rejection(spark):
     assert judged.filter("NOT kept").groupBy("stratum").count().collect() == [("len", 4)]
 
 
+RATED = (
+    "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "n_repeat_words long, base_failed boolean"
+)
+
+
+def test_repeated_rows_and_labels_are_one_trial(spark):
+    """Copies add no evidence: five labels and rows of each document certify what one does."""
+    rules = {"symbols_per_word": (1, (1.0, 0.5, 0.05))}
+    rows = [(i, "len", 100, 500, 10 if i < 6 else 0, 0, 0, False) for i in range(2000)]
+    once = spark.createDataFrame(rows, RATED)
+    five = once.unionAll(once).unionAll(once).unionAll(once).unionAll(once)
+    cutoffs = [
+        quality.certified_cutoffs(df, df.select("doc_id", F.lit(1).alias("quality")), rules, 0.005, 0.0125).first()
+        for df in (once, five)
+    ]
+    assert cutoffs[0] == cutoffs[1] and cutoffs[0]["good"] == 2000 and cutoffs[0]["symbols_per_word_cutoff"] == 0.5
+
+
+@pytest.mark.parametrize("overlap", [True, False])
+def test_rules_together_stay_within_the_risk(spark, overlap):
+    """Two rules that reject the same documents, or different ones, never reject more than the stratum's risk."""
+    rules = {"symbols_per_word": (1, (0.5, 0.3, 0.1)), "dup_lines_per_word": (1, (0.5, 0.3, 0.1))}
+    n, risk = 6000, 0.01
+
+    def level(i, start):
+        """Of the documents from ``start`` on 0.1 % are beyond 0.5, 0.3 % beyond 0.3 and 0.8 % beyond 0.1."""
+        place = (i - start) % n
+        return 60 if place < 6 else 40 if place < 18 else 20 if place < 48 else 0
+
+    rows = [(i, "len", 100, 500, level(i, 0), level(i, 0 if overlap else 100), 0, False) for i in range(n)]
+    df = spark.createDataFrame(rows, RATED)
+    cutoffs = quality.certified_cutoffs(df, df.select("doc_id", F.lit(1).alias("quality")), rules, risk, 0.05)
+    found = cutoffs.first()
+    # A rule may use half of the risk, and 0.8 % is beyond that even where both reject the same documents.
+    assert [found[f"{r}_cutoff"] for r in rules] == [0.3, 0.3]
+    assert 0 < quality.judge(df, cutoffs, rules).filter("NOT kept").count() <= risk * n
+
+
 def test_quality_without_labels_or_rows(edges, nothing, no_labels):
     rows = quality.score_quality(edges, no_labels).collect()
     assert all(r["kept"] != r["base_failed"] for r in rows)

@@ -99,5 +99,22 @@ def test_misleading_bytes(tmp_path):
         assert found == [*real, b"plain"]  # the truncated last member is none
 
 
+@pytest.mark.parametrize("range_bytes", [5000, 300_000, 4 << 20])
+def test_long_headers(spark, range_bytes):
+    """Headers of megabytes, as of a data: address, come back like any other."""
+    hexadecimal = os.urandom(1_500_000).hex()
+    rows = [(1, "data:text/plain;base16," + hexadecimal, "first " * 30), (2, "data:," + "a" * 5_000_000, "first " * 30), (3, "u", "x")]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    got = warc.archived_pages(df, range_bytes=range_bytes).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == described(rows)
+
+
+def test_lost_records_are_an_error(spark, monkeypatch):
+    read = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a: read(*a).filter("record_id != 'urn:page:1'"))
+    with pytest.raises(RuntimeError, match="11 records were written and 10 read back"):
+        warc.archived_pages(spark.createDataFrame(PAGES, SCHEMA))
+
+
 def test_empty_table(spark):
     assert warc.archived_pages(spark.createDataFrame([], SCHEMA)).count() == 0
