@@ -9,11 +9,12 @@ leaf of every word one edit away, and the words of the leaves it reaches are
 verified letter by letter.
 
 The first levels decide in which task a subtree lives; how many they are follows
-from the counts, so that a subtree has ``SUBTREE`` words or few more. A word goes
-to its own subtree and asks in all that its budget can reach, at most
-``3 + 4 depth + depth (depth - 1)`` of them; in a task all words descend together.
-Where the whole vector is not enough, the words of a leaf are cut by a hash, and
-so are those that ask there.
+from the counts, so that a subtree has ``SUBTREE`` words at most. A word goes to
+its own subtree, and asks in those that its budget can reach and that come behind
+its own in the order of their names, at most ``1 + 2 depth + depth (depth - 1) / 2``
+others; what it finds there counts for both words. In a task all words descend
+together. Where the whole vector is not enough, the words of a leaf are cut by a
+hash, and so are those that ask there.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ TIMES = 10
 _DOUBLINGS = 5
 GROUPS = 10
 #: Words of a task's subtree, and words that ask in it at once.
-SUBTREE = 1 << 13
+SUBTREE = 1 << 15
 #: Distinct words whose counts a task holds before it passes them on.
 _COUNTED = 1 << 18
 
@@ -109,21 +110,26 @@ def vectors_of(words: list[str]) -> np.ndarray:
 
 
 def reachable(vector: list[int], depth: int) -> list[list[int]]:
-    """The subtrees, named by a length and ``depth`` counts, that hold words one edit away."""
+    """The subtrees, named by a length and ``depth`` counts, that may hold words one edit away.
+
+    The word's own comes first; of the others only those behind it, for a near
+    word in front of it reaches the word itself.
+    """
     length, counts = vector[0], vector[1 : depth + 1]
 
-    def moved(*steps: tuple[int, int]) -> list[int] | None:
+    def moved(*steps: tuple[int, int]) -> list[int]:
         new = list(counts)
         for place, step in steps:
             new[place] += step
-        return new if min(new, default=0) >= 0 else None
+        return new
 
     places = range(depth)
-    up = [moved(), *(moved((i, 1)) for i in places)]
-    down = [moved(), *(moved((i, -1)) for i in places)]
-    level = [*up, *down[1:], *(moved((i, 1), (j, -1)) for i in places for j in places if i != j)]
-    found = [(length, level), (length + 1, up), (length - 1, down)]
-    return [[n, *x] for n, some in found for x in some if x is not None]
+    up = [moved((i, 1)) for i in places]
+    # Of the replacements that change two counts, those that raise the first of the two.
+    both = [moved((i, 1), (j, -1)) for i in places for j in places if i < j]
+    return [[length, *counts]] + [
+        [n, *x] for n, some in ((length, up + both), (length + 1, [counts, *up])) for x in some if min(x, default=0) >= 0
+    ]
 
 
 def _placed(depth: int):
@@ -137,22 +143,17 @@ def _placed(depth: int):
             sizes = [len(x) for x in where]
             rows = np.repeat(np.arange(len(words)), sizes)
             flat = [x for some in where for x in some]
-            # A word's own subtree comes first; there it is asked for, too.
             own = np.zeros(len(rows), bool)
             own[np.cumsum([0, *sizes[:-1]])] = True
             kept = batch.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([bytes_of(x) for x in flat], pa.binary()), pa.array(own), kept.column("word"), kept.column("n")],
+                [pa.array([".".join(map(str, x)) for x in flat], pa.string()), pa.array(own), kept.column("word"), kept.column("n")],
                 names=["subtree", "own", "word", "n"],
             )
 
     return placed
 
 
-def bytes_of(numbers: list[int]) -> bytes:
-    return np.array(numbers, "<u4").tobytes()
-
-
 def letters_of(words: list[str], length: int) -> np.ndarray:
     """Words of one length as rows of code points."""
     return np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(len(words), length)
@@ -229,7 +230,11 @@ _NEAR = "word string, n_near long, form_n long, form string"
 
 
 def _searched(key: tuple, rows: pa.Table) -> pa.Table:
-    """The words that ask in one subtree: how many near ones it holds, and the most frequent of them."""
+    """The words that meet in one subtree: how many near ones each has there, and the most frequent of them.
+
+    A word that asks at home is found by the others there in turn; one that asks
+    elsewhere is told to those it finds.
+    """
     words, counts = rows.column("word").to_pylist(), rows.column("n").to_numpy()
     own = np.flatnonzero(rows.column("own").to_numpy(zero_copy_only=False))
     asks = np.flatnonzero(rows.column("asks").to_numpy(zero_copy_only=False))
@@ -237,6 +242,8 @@ def _searched(key: tuple, rows: pa.Table) -> pa.Table:
     found = [(asks[a], own[b]) for a, b in trie.search([words[i] for i in asks])]
     none = np.empty(0, np.int64)
     a, b = np.concatenate([none, *(x for x, _ in found)]), np.concatenate([none, *(x for _, x in found)])
+    away = ~rows.column("home").to_numpy(zero_copy_only=False)[a]
+    a, b = np.concatenate([a, b[away]]), np.concatenate([b, a[away]])
     # The first row of each word that asks is its most frequent near word, the smallest of equals.
     rank = np.empty(len(words), np.int64)
     rank[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
@@ -286,16 +293,20 @@ def near_words(words: DataFrame, subtree: int = SUBTREE, depth: int | None = Non
     def slot(parts: str) -> Column:
         return F.pmod(F.xxhash64("word"), F.col(parts).cast("long")).cast("int")
 
-    def meeting(own: Column, ask: Column, is_own: bool) -> Column:
-        return F.struct(own.alias("owner"), ask.alias("asker"), F.lit(is_own).alias("own"), F.lit(not is_own).alias("asks"))
+    def meeting(owner: Column, asker: Column, asks: bool) -> Column:
+        return F.struct(owner.alias("owner"), asker.alias("asker"), F.lit(asks).alias("asks"))
 
     def upto(parts: str) -> Column:
         return F.sequence(F.lit(0), F.col(parts) - 1)
 
-    asking = F.transform(upto("owners"), lambda x: meeting(x, slot("askers"), False))
-    owning = F.transform(upto("askers"), lambda x: meeting(slot("owners"), x, True))
-    met = F.explode(F.when(F.col("own"), F.concat(owning, asking)).otherwise(asking)).alias("at")
-    met = rows.select("subtree", "word", "n", met).select("subtree", "word", "n", "at.*")
+    asking = F.transform(upto("owners"), lambda x: meeting(x, slot("askers"), True))
+    owning = F.transform(upto("askers"), lambda x: meeting(slot("owners"), x, False))
+    # A subtree that is not cut gets one row of a word that owns and asks there.
+    whole = (F.col("owners") == 1) & (F.col("askers") == 1)
+    at_home = F.when(whole, asking).otherwise(F.concat(owning, asking))
+    met = F.explode(F.when(F.col("own"), at_home).otherwise(asking)).alias("at")
+    met = rows.select("subtree", "word", "n", F.col("own").alias("home"), whole.alias("whole"), met)
+    met = met.select("subtree", "word", "n", "home", "at.*", (F.col("home") & (F.col("whole") | ~F.col("at.asks"))).alias("own"))
     found = met.groupBy("subtree", "owner", "asker").applyInArrow(_searched, _NEAR)
     # Strings are ordered by their UTF-8 bytes, which is the order of code points.
     best = F.min_by(F.struct("form", "form_n"), F.struct((-F.col("form_n")).alias("n"), "form"))
@@ -305,7 +316,7 @@ def near_words(words: DataFrame, subtree: int = SUBTREE, depth: int | None = Non
     return found
 
 
-_PLACED = "subtree binary, own boolean, word string, n long"
+_PLACED = "subtree string, own boolean, word string, n long"
 
 
 def spelling_variants(

@@ -111,9 +111,11 @@ def test_budget_reaches_every_near_word(depth):
         at = random.randrange(len(a))
         for b in (a[:at] + a[at + 1 :], a[:at] + "z" + a[at:], a[:at] + "q" + a[at + 1 :]):
             x, y = variants.vectors_of([a, b]).tolist()
-            assert y[: depth + 1] in variants.reachable(x, depth)
+            assert (y[: depth + 1] in variants.reachable(x, depth)) + (x[: depth + 1] in variants.reachable(y, depth)) == (
+                2 if x[: depth + 1] == y[: depth + 1] else 1
+            )
     some = variants.reachable(x, depth)
-    assert len(some) == len({tuple(s) for s in some}) <= 3 + 4 * depth + depth * (depth - 1)
+    assert some[0] == x[: depth + 1] and len(some) == len({tuple(s) for s in some}) <= 2 + 2 * depth + depth * (depth - 1) / 2
 
 
 def test_depth_follows_the_counts(spark):
