@@ -42,7 +42,12 @@ SHORTEST, RAREST = 7, 2
 #: A form is this many times as frequent as its variant, so a chain of forms has fewer steps than a long has digits.
 TIMES = 10
 _DOUBLINGS = 5
-GROUPS = 10
+#: Letter groups: code points modulo ``GROUPS``, those with frequent letters (e n t a i s r o l h m) first.
+GROUPS = 16
+_FREQUENT = [ord(c) % GROUPS for c in "entaisrolhm"]
+ORDER = [*_FREQUENT, *(g for g in range(GROUPS) if g not in _FREQUENT)]
+#: A node with so few pairs of words left is verified at once.
+FEW = 1 << 11
 #: Words of a task's subtree, and words that ask in it at once.
 SUBTREE = 1 << 15
 #: Distinct words whose counts a task holds before it passes them on.
@@ -97,7 +102,7 @@ def word_counts(docs: DataFrame, shortest: int = SHORTEST, rarest: int = RAREST)
 
 def group_of(letters: np.ndarray) -> np.ndarray:
     """The group of each letter, by its code point."""
-    return letters % GROUPS
+    return np.argsort(ORDER)[letters % GROUPS]
 
 
 def vectors_of(words: list[str]) -> np.ndarray:
@@ -192,7 +197,7 @@ class Trie:
         stack = [(0, len(self.words), 0, every, spent)]
         while stack:
             low, high, level, who, spent = stack.pop()
-            if level == wanted.shape[1]:
+            if level == wanted.shape[1] or (level and (high - low) * len(who) <= FEW):
                 yield from self._verified(asking, low, high, who)
                 continue
             column = self.vectors[low:high, level]
@@ -264,7 +269,7 @@ def _searched(key: tuple, rows: pa.Table) -> pa.Table:
 def _vector_columns() -> list[Column]:
     """The numbers of a word's vector as columns, for counting only."""
     codes = F.transform(F.split("word", ""), lambda c: F.pmod(F.ascii(c), F.lit(GROUPS)))
-    counts = [F.size(F.filter(codes, lambda x, g=g: x == g)).alias(f"c{g}") for g in range(GROUPS)]
+    counts = [F.size(F.filter(codes, lambda x, g=g: x == g)).alias(f"c{i}") for i, g in enumerate(ORDER)]
     return [F.length("word").alias("length"), *counts]
 
 
