@@ -261,3 +261,88 @@ def test_analyses(tables):
     assert overview["income"].agg({"count": "sum"}).first()[0] > 0
     parts = analyses.default_drivers(tables.applications)
     assert parts["correlation"].count() == 15 and parts["matrix"].count() == 81
+
+
+CALLS = [
+    "SELECT `java_method`('java.lang.System','getProperty','java.version')",
+    "SELECT `reflect`('java.util.UUID', 'randomUUID')",
+    "SELECT k FROM VALUES (1) AS t(k) WHERE `try_reflect`('java.lang.System','getenv','HOME') IS NOT NULL",
+    "WITH a AS (SELECT `REFLECT`('java.lang.System','lineSeparator') AS x) SELECT (SELECT max(x) FROM a)",
+    "SELECT transform(array(1), x -> `java_method`('java.lang.Math','abs',x)) AS y",
+    "SELECT upper(coalesce(NULL, `java_method`('java.lang.System','getProperty','user.dir')))",
+    "SELECT 1 AS a ORDER BY `java_method`('java.lang.System','getProperty','java.version')",
+]
+COMPUTED = [
+    "SELECT IDENTIFIER('reflect')('java.lang.System','getProperty','java.version')",
+    "SELECT IDENTIFIER('java_' || 'method')('java.lang.System','getProperty','java.version')",
+    "SELECT count(*) FROM IDENTIFIER('applications')",
+    "SELECT * FROM (SELECT 1 AS a) WHERE a IN (SELECT count(*) FROM IDENTIFIER('x' || 'y'))",
+]
+
+
+@pytest.mark.parametrize("text", CALLS)
+def test_functions_that_call_java_are_refused_by_what_they_are(spark, tables, text):
+    assert adhoc.run_query(spark, text) == (None, "Blocked: functions that call Java not allowed")
+
+
+@pytest.mark.parametrize("text", COMPUTED)
+def test_computed_names_are_refused(spark, text):
+    assert adhoc.run_query(spark, text) == (None, "Blocked: computed names not allowed")
+
+
+def test_files_are_refused_however_they_are_named(spark, tables, tmp_path):
+    path = f"{tmp_path}/file"
+    spark.range(3).write.parquet(path)
+    for text in (
+        f"SELECT count(*) FROM IDENTIFIER('parquet.`{path}`')",
+        f"SELECT count(*) FROM parquet.`{path}`",
+        f"SELECT 1 WHERE EXISTS (SELECT * FROM `parquet`.`{path}`)",
+        f"WITH a AS (SELECT * FROM parquet.`{path}`) SELECT count(*) FROM a",
+    ):
+        df, error = adhoc.run_query(spark, text)
+        assert df is None and error.startswith("Blocked: "), text
+    # Even where a database is called like a file format, the relation itself gives it away.
+    spark.sql("CREATE DATABASE IF NOT EXISTS parquet")
+    try:
+        df, error = adhoc.run_query(spark, f"SELECT count(*) FROM parquet.`{path}`")
+        assert df is None and "Blocked: only registered tables" in error
+    finally:
+        spark.sql("DROP DATABASE parquet")
+
+
+def test_what_reads_is_allowed(spark, tables, tmp_path):
+    """Views, catalog tables, CTEs, subqueries, generated rows and functions with harmless internals."""
+    spark.range(4).write.parquet(f"{tmp_path}/plain")
+    spark.read.parquet(f"{tmp_path}/plain").createOrReplaceTempView("plain_files")
+    spark.sql("CREATE OR REPLACE TEMPORARY VIEW nested AS SELECT id * 2 AS id FROM plain_files")
+    spark.sql(f"CREATE TABLE kept_rows USING parquet LOCATION '{tmp_path}/kept' AS SELECT 7L AS id")
+    allowed = {
+        "SELECT count(*) FROM plain_files": 4,
+        "SELECT sum(id) FROM nested": 12,
+        "SELECT id FROM kept_rows": 7,
+        "SELECT id FROM default.kept_rows": 7,
+        "WITH a AS (SELECT 1 AS x UNION ALL SELECT 2) SELECT (SELECT max(x) FROM a) + (SELECT min(x) FROM a)": 3,
+        "SELECT count(*) FROM range(5) JOIN VALUES (1), (2) AS t(k) ON id = k": 2,
+        "SELECT length(aes_encrypt('a', '0000111122223333')) + url_decode('1') - 1": 29,
+        "SELECT count(*) FROM explode(array(1, 2, 3))": 3,
+        "SELECT max(y) FROM nested LATERAL VIEW explode(array(id, 9)) AS y": 9,
+        "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 5) SELECT max(n) FROM r": 5,
+        "SELECT 'java_method reflect IDENTIFIER(x)' IS NOT NULL": True,
+        "SELECT x.reflects FROM (SELECT 1 AS reflects) x": 1,
+    }
+    try:
+        for text, want in allowed.items():
+            df, error = adhoc.run_query(spark, text)
+            assert error is None, (text, error)
+            assert df.first()[0] == want, text
+    finally:
+        spark.sql("DROP TABLE kept_rows")
+        for name in ("plain_files", "nested"):
+            spark.catalog.dropTempView(name)
+
+
+def test_analysis_writes_nothing(spark, tmp_path):
+    """Statements are analysed only: neither the refused nor the allowed ones execute before they are read."""
+    for text in (f"CREATE TABLE made USING parquet LOCATION '{tmp_path}/made' AS SELECT 1", "DROP TABLE applications"):
+        assert adhoc.check_plan(spark, text) == "Blocked: only statements that read are allowed"
+    assert not (tmp_path / "made").exists()
