@@ -19,8 +19,10 @@ with an equal band are candidates.
    paired by an exact prefix filter. Shingles are ordered by the number of these
    documents that hold them, the rarest first. A pair at the threshold has a
    shingle in common among the first few of both: few enough that the shingles
-   that nobody else has, which come first and make no rows, use them up in
-   documents that resemble others without reaching the threshold. Pairs inside a
+   that nobody else has, which come first and make no rows, use them up in most
+   documents that resemble others without reaching the threshold. Where documents
+   meet at a shingle, a task compares finer sketches, which hold short documents
+   almost whole, and only pairs that these allow become rows. Pairs inside a
    component can't change the result, so no link between components is left out.
 
 With 25 bands of 5 registers a pair at similarity 0.85 shares no band with a
@@ -41,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm.batches import small_batches
-from creditloom.session import discard, materialise
+from creditloom.session import materialise
 
 #: Fewest bands, and registers of a band.
 BANDS, BAND_WIDTH = 25, 5
@@ -58,7 +60,9 @@ SLACK = 0.17
 COLLISION = 0.169919487159739 / 2**MANTISSA
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Documents with one shingle among their first that meet in a task at most; more are cut by a hash.
+#: Registers of the finer sketch, which only members of mixed buckets get, and how far under the threshold it may be.
+FINE_REGISTERS, FINE_SLACK = 512, 0.08
+#: About as many documents with one shingle among their first meet in a task; more are cut by a hash.
 MEETING = 1 << 10
 #: Slots of the filter that keeps most other texts out of a shuffle; never more rows than that are broadcast.
 FILTER_SLOTS = 1 << 20
@@ -75,6 +79,12 @@ def bands_for(percent: int) -> int:
     return max(BANDS, math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** BAND_WIDTH))))
 
 
+def fine_slack(percent: int) -> float:
+    """``FINE_SLACK`` in the standard deviations that it has at ``PERCENT``."""
+    share, known = percent / 100, PERCENT / 100
+    return FINE_SLACK * max(1.0, math.sqrt(share * (1 - share) / (known * (1 - known))))
+
+
 @lru_cache(maxsize=8)
 def _edges(count: int) -> np.ndarray:
     return np.array([(i << 64) // count for i in range(count)], dtype=np.uint64)
@@ -294,8 +304,12 @@ def _details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [shingle_hashes(words_of(x.as_py()), hashes) for x in batch.column("text")]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))],
-            names=["doc_id", "shingles"],
+            [
+                batch.column("doc_id"),
+                pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())),
+                pa.array([registers_of(x, FINE_REGISTERS).astype(np.uint16).tobytes() for x in found], pa.binary()),
+            ],
+            names=["doc_id", "shingles", "fine"],
         )
 
 
@@ -345,6 +359,40 @@ def _first_shingles(details: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Estimated similarity of one row of registers to each row of ``right``, of the registers that either fills."""
+    filled = ((left > 0) | (right > 0)).sum(axis=1)
+    share = ((left == right) & (left > 0)).sum(axis=1) / np.maximum(filled, 1)
+    return (share - COLLISION) / (1 - COLLISION)
+
+
+def _meet(percent: int):
+    floor = percent / 100 - fine_slack(percent)
+
+    def met(rows: pa.Table) -> pa.Table:
+        """Pairs of one group: a shorter and a longer document of different components that may reach the threshold."""
+        n, place, doc_id, component = (rows.column(c).to_numpy() for c in ("n", "place", "doc_id", "component"))
+        fine = np.frombuffer(b"".join(rows.column("fine").to_pylist()), np.uint16).reshape(-1, FINE_REGISTERS)
+        longs = np.flatnonzero(rows.column("as_long").to_numpy(zero_copy_only=False))
+        left, right = [], []
+        for a in np.flatnonzero(rows.column("as_short").to_numpy(zero_copy_only=False)):
+            b = longs
+            # Shorter first, by doc_id among equals; not too short; and what lies before the shingle on either side,
+            # itself, and what lies behind it must be able to suffice.
+            common = np.minimum(place[a], place[b]) + np.minimum(n[a] - place[a], n[b] - place[b])
+            able = (n[a] < n[b]) | ((n[a] == n[b]) & (doc_id[a] < doc_id[b]))
+            able &= (component[a] != component[b]) & (n[a] * 100 >= n[b] * percent)
+            able &= common * (100 + percent) >= (n[a] + n[b]) * percent
+            b = b[able]
+            b = b[alike(fine[a], fine[b]) >= floor]
+            left.append(np.minimum(doc_id[a], doc_id[b]))
+            right.append(np.maximum(doc_id[a], doc_id[b]))
+        none = np.empty(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *left]), "b": np.concatenate([none, *right])})
+
+    return met
+
+
 def _rest_pairs(shared: DataFrame, first: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs of documents of different components that may be similar enough, among members of mixed buckets."""
     placed = shared.filter("members > 2").join(first, shared["doc_id"] == first["node"], "left")
@@ -353,39 +401,42 @@ def _rest_pairs(shared: DataFrame, first: DataFrame, texts: DataFrame, percent:
     mixed = placed.join(ends.filter("low < high"), "band")
     rest = materialise(mixed.select("doc_id", "component").distinct(), "dedup-rest")
     chosen = texts.join(rest, "doc_id", "left_semi")
-    details = materialise(chosen.mapInArrow(_details, "doc_id long, shingles array<long>"), "dedup-details")
+    details = materialise(
+        chosen.mapInArrow(_details, "doc_id long, shingles array<long>, fine binary"), "dedup-details"
+    )
     firsts = materialise(_first_shingles(details, percent).join(rest, "doc_id"), "dedup-firsts")
-    discard(details)
 
-    # Shingles that meet nobody of another component make no pair; hot ones are cut.
+    # Shingles that meet nobody of another component make no pair; hot ones are cut in blocks.
     sizes = firsts.groupBy("shingle").agg(
-        F.count_if("short").alias("n_short"), F.min("component").alias("low"), F.max("component").alias("high")
+        F.count_if("short").alias("n_short"),
+        F.count(F.lit(1)).alias("n_long"),
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
     )
     sizes = sizes.filter("n_short > 0 AND low < high")
-    sizes = materialise(
-        sizes.select("shingle", F.ceil(F.col("n_short") / MEETING).cast("int").alias("slots")), "dedup-met"
-    )
-    met = firsts.join(sizes, "shingle")
-    short = met.filter("short").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.col("slots").cast("long")).cast("int"))
-    long = met.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-
-    def side(rows: DataFrame, mark: str) -> DataFrame:
-        names = ["doc_id", "n", "place", "component"]
-        return rows.select("shingle", "slot", *[F.col(c).alias(f"{c}_{mark}") for c in names])
-
-    n_a, n_b, at_a, at_b = (F.col(c) for c in ("n_a", "n_b", "place_a", "place_b"))
-    # At most what lies before the shingle on either side, itself, and what lies behind it.
-    common = F.least(at_a, at_b) + 1 + F.least(n_a - at_a, n_b - at_b) - 1
-    able = (
-        (F.struct(n_a, "doc_id_a") < F.struct(n_b, "doc_id_b"))
-        & (F.col("component_a") != F.col("component_b"))
-        & (n_a * 100 >= n_b * percent)
-        & (common * (100 + percent) >= (n_a + n_b) * percent)
+    blocks = [F.ceil(F.col(f"n_{c}") / MEETING).cast("int").alias(f"{c}s") for c in ("short", "long")]
+    met = firsts.join(sizes.select("shingle", *blocks), "shingle")
+
+    def block(parts: str) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.col(parts).cast("long")).cast("int")
+
+    def upto(parts: str) -> Column:
+        return F.sequence(F.lit(0), F.col(parts) - 1)
+
+    def part(low: Column, high: Column, as_short: Column, as_long: bool) -> Column:
+        return F.struct(low.alias("low"), high.alias("high"), as_short.alias("as_short"), F.lit(as_long).alias("as_long"))
+
+    shorter = F.transform(upto("longs"), lambda x: part(block("shorts"), x, F.lit(True), False))
+    longer = F.transform(upto("shorts"), lambda x: part(x, block("longs"), F.lit(False), True))
+    parts = (
+        F.when(F.col("longs") == 1, F.array(part(F.lit(0), F.lit(0), F.col("short"), True)))
+        .when(F.col("short"), F.concat(shorter, longer))
+        .otherwise(longer)
     )
-    pairs = side(short, "a").join(side(long, "b"), ["shingle", "slot"]).filter(able)
-    return pairs.select(
-        F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")
-    ).distinct()
+    met = met.withColumn("part", F.explode(parts)).join(details.select("doc_id", "fine"), "doc_id")
+    met = met.select("shingle", "part.*", "doc_id", "n", "place", "component", "fine")
+    pairs = met.groupBy("shingle", "low", "high").applyInArrow(_meet(percent), "a long, b long")
+    return pairs.distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -423,7 +474,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     asked = materialise(asked.distinct(), "dedup-asked")
     texts = materialise(_texts_of(docs, asked), "dedup-texts")
     first = components(confirmed_links(likely, texts, percent))
-    rest = materialise(_likely(_rest_pairs(shared, first, texts, percent), reps, percent), "dedup-rest-pairs")
+    rest = materialise(_rest_pairs(shared, first, texts, percent), "dedup-rest-pairs")
     more = materialise(confirmed_links(rest, texts, percent), "dedup-more-links")
     tied = first.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)
     final = components(tied) if not more.isEmpty() else first

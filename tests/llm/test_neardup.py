@@ -148,6 +148,22 @@ def test_unlike_members_of_a_bucket_make_no_pairs(spark):
     assert neardup._rest_pairs(shared, alone, docs, 85).count() < 150
 
 
+def test_finer_estimate_of_short_documents():
+    """With fewer shingles than registers the finer sketch nearly is the set."""
+    draw = random.Random(8)
+    hashes = neardup._Hashes()
+    a = [f"x{draw.randrange(10**6)}".encode() for _ in range(150)]
+    for n in range(12):
+        b = list(a)
+        for at in draw.sample(range(150), n):
+            b[at] = b"other"
+        found = [neardup.shingle_hashes(w, hashes) for w in (a, b)]
+        fine = [neardup.registers_of(x, neardup.FINE_REGISTERS).astype(np.uint16) for x in found]
+        common = len(np.intersect1d(*found))
+        exact = common / (sum(map(len, found)) - common)
+        assert abs(neardup.alike(fine[0], fine[1][None, :])[0] - exact) < neardup.FINE_SLACK
+
+
 def test_first_shingles_meet_in_every_similar_pair(spark):
     draw = random.Random(5)
     sets = []
