@@ -26,7 +26,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -40,12 +40,12 @@ from creditloom.session import materialise
 
 #: Characters of text from which a chunk is full, and characters that are tokenized at once. Longer ones stay whole.
 CHUNK, AT_ONCE = 1 << 20, 1 << 16
-#: Words whose tokens a worker remembers, and their longest.
-_REMEMBERED, _LONGEST = 1 << 17, 64
+#: Words that a worker remembers before it forgets them all, and letters of them.
+_REMEMBERED, _LETTERS_HELD = 1 << 18, 1 << 23
 #: The spaces in front of words that a text is cut at. U+2581 stands for a space in sentencepiece models.
 _BORDER = re.compile(r"(?<![ \u2581]) (?=[^\s\u2581])")
-#: Words that are letters in every version of Unicode's tables.
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Words that are letters, with signs behind them, in every version of Unicode's tables.
+_LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]*)")
 
 
 class Side(NamedTuple):
@@ -93,14 +93,17 @@ def byte_level_side(path: str) -> Side:
     plain = usual and spec["normalizer"] is None
     spelled = {byte: letter for letter, byte in letters.items()}
 
+    def merged(pre_token: str) -> list[int]:
+        return [x.id for x in model.tokenize(pre_token.encode().decode("latin-1").translate(spelled))]
+
     def encode(texts: list[str]) -> list[list[int]]:
-        # A space and letters are one pre-token, which the merges can be asked for directly.
-        alone = [plain and _LETTERS.fullmatch(t) is not None for t in texts]
-        others = [" " + t for t, one in zip(texts, alone, strict=True) if not one]
+        # A space and letters are one pre-token and signs behind them another; the merges can be asked directly.
+        found = [_LETTERS.fullmatch(t) if plain else None for t in texts]
+        others = [" " + t for t, x in zip(texts, found, strict=True) if x is None]
         rest = iter(library.encode_batch_fast(others, add_special_tokens=False))
         return [
-            [x.id for x in model.tokenize((b" " + t.encode()).decode("latin-1").translate(spelled))] if one else next(rest).ids
-            for t, one in zip(texts, alone, strict=True)
+            next(rest).ids if x is None else merged(" " + x[1]) + merged(x[2]) if x[2] else merged(" " + x[1])
+            for x in found
         ]
 
     model = library.model
@@ -145,82 +148,104 @@ def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
         ahead = further
 
 
-class Words(NamedTuple):
-    """Aligned words: figures of each, and their links as places in the sorted distinct ``pairs``."""
+def _per_word(ends: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """How many of the rising ``ends`` lie in each of the ranges between ``edges``."""
+    return np.diff(np.searchsorted(ends, edges, side="right"))
 
-    good: np.ndarray
-    n_a: np.ndarray
-    n_b: np.ndarray
-    n_groups: np.ndarray
-    n_links: np.ndarray
-    groups: list[str]
-    pairs: np.ndarray
-    links: np.ndarray
 
+class _Numbers(dict):
+    """Distinct words in the order of their first use."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
 
-class Encodings(dict):
-    """Tokens of words on both sides; None where a side does not spell the word byte for byte."""
+
+class Words:
+    """The aligned words that a worker knows: figures of each, its groups, and the id pairs of its links."""
 
     def __init__(self, first: Side, second: Side) -> None:
-        super().__init__()
         self.both = first, second
-
-    def of(self, words: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        found, part, size = {}, [], 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.letters = _Numbers(), 0
+        self.good = np.empty(0, bool)
+        self.figures = np.empty((4, 0), np.int64)
+        self.groups: list[str] = []
+        self.linked = np.empty(0, np.int64)
+
+    @property
+    def n_links(self) -> np.ndarray:
+        return self.figures[3]
+
+    def catch_up(self) -> None:
+        """Align the words that were numbered since the last call."""
+        words, part, size = islice(self.numbers, len(self.good), None), [], 0
+        found = []
         for word in words:
-            if word not in self:
-                part.append(word)
-                size += len(word)
+            part.append(word)
+            size += len(word)
             if size >= AT_ONCE:
-                found |= self._encoded(part)
+                found.append(align(*self.both, part))
+                self.letters += size
                 part, size = [], 0
-        found |= self._encoded(part)
-        out = [self[w] if w in self else found[w] for w in words]
-        self.update((w, x) for w, x in found.items() if len(w) <= _LONGEST)
-        return out
-
-    def _encoded(self, words: list[str]) -> dict:
-        ids = [s.encode(words) for s in self.both] if words else [[], []]
-        want = [b" " + w.encode() for w in words]
-        same = [self._same(s, x, want) for s, x in zip(self.both, ids, strict=True)]
-        return {w: (a, b) if ok else None for w, a, b, ok in zip(words, *ids, np.logical_and(*same), strict=True)}
-
-    @staticmethod
-    def _same(side: Side, ids: list[list[int]], want: list[bytes]) -> np.ndarray:
-        """Whether each word is spelled byte for byte; words that are all right are compared at once."""
-        flat = np.fromiter(chain.from_iterable(ids), np.int64)
-        ends = np.cumsum(np.append(0, side.lengths[flat]))[np.cumsum([len(x) for x in ids], dtype=np.int64)]
-        spelled = b"".join(map(side.pieces.__getitem__, flat.tolist()))
-        if np.array_equal(ends, np.cumsum([len(w) for w in want])) and spelled == b"".join(want):
-            return np.ones(len(want), bool)
-        starts = np.append(0, ends).tolist()
-        return np.array([spelled[i:j] == w for i, j, w in zip(starts, starts[1:], want, strict=False)], bool)
-
-
-def _per_word(ends: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """How many of the rising ``ends`` lie in each of the ranges between ``edges``."""
-    return np.diff(np.searchsorted(ends, edges, side="right"))
-
+        if part:
+            found.append(align(*self.both, part))
+            self.letters += size
+        self.good = np.concatenate([self.good, *(x.good for x in found)])
+        self.figures = np.concatenate([self.figures, *(x.figures for x in found)], axis=1)
+        self.linked = np.concatenate([self.linked, *(x.linked for x in found)])
+        for x in found:
+            self.groups += x.groups
+
+    def links_of(self, numbers: np.ndarray) -> np.ndarray:
+        """The id pairs of the links of words, one word's behind another's."""
+        sizes = self.n_links[numbers]
+        starts = np.cumsum(self.n_links) - self.n_links
+        before = np.cumsum(sizes) - sizes
+        return self.linked[np.repeat(starts[numbers] - before, sizes) + np.arange(sizes.sum())]
+
+
+class Aligned(NamedTuple):
+    """Words that were aligned together; ``figures`` are the rows n_a, n_b, n_groups and n_links."""
 
-def align(known: Encodings, words: list[str]) -> Words:
-    """Align words that a space goes before each."""
-    first, second = known.both
-    found = known.of(words)
-    a, b = (np.fromiter(chain.from_iterable(x[i] for x in found if x), np.int32) for i in (0, 1))
+    good: np.ndarray
+    figures: np.ndarray
+    groups: list[str]
+    linked: np.ndarray
+
+
+def _spelled(side: Side, ids: np.ndarray, counts: np.ndarray, want: list[bytes]) -> np.ndarray:
+    """Whether each word is spelled byte for byte; words that are all right are compared at once."""
+    ends = np.append(0, np.cumsum(side.lengths[ids]))[np.cumsum(counts)]
+    spelled = b"".join(map(side.pieces.__getitem__, ids.tolist()))
+    if np.array_equal(ends, np.cumsum([len(w) for w in want])) and spelled == b"".join(want):
+        return np.ones(len(want), bool)
+    starts = np.append(0, ends).tolist()
+    return np.array([spelled[i:j] == w for i, j, w in zip(starts, starts[1:], want, strict=False)], bool)
+
+
+def align(first: Side, second: Side, words: list[str]) -> Aligned:
+    """Align words that a space goes before each; those that a side does not spell have no tokens."""
+    want = [b" " + w.encode() for w in words]
+    good, found = np.ones(len(words), bool), []
+    for side in (first, second):
+        ids = side.encode(words)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum()))
+        good &= _spelled(side, flat, counts, want)
+        found.append((flat, counts))
+    a, b = (flat[np.repeat(good, counts)] for flat, counts in found)
     ends_a, ends_b = np.cumsum(first.lengths[a]), np.cumsum(second.lengths[b])
-    good = np.array([x is not None for x in found], bool)
-    sizes = [len(w.encode()) + 1 if ok else 0 for w, ok in zip(words, good, strict=True)]
-    edges = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
+    edges = np.append(0, np.cumsum(np.where(good, [len(w) for w in want], 0)))
     label = terminals(ends_a, ends_b)
     last = label[: len(a)] == np.arange(len(a))
     group = (np.cumsum(last) - last)[label]
     group_a, group_b = group[: len(a)], group[len(a) :]
     pieces = np.union1d(ends_a, ends_b)
-    linked = (a[np.searchsorted(ends_a, pieces)].astype(np.int64) << 32) | b[np.searchsorted(ends_b, pieces)]
-    pairs, links = np.unique(linked, return_inverse=True)
-    n_a, n_b = _per_word(ends_a, edges), _per_word(ends_b, edges)
+    linked = (a[np.searchsorted(ends_a, pieces)] << 32) | b[np.searchsorted(ends_b, pieces)]
+    n_a, n_b = (np.where(good, counts, 0) for _, counts in found)
 
     # Every token's place when groups follow each other, the first side's tokens before the second's.
     place_a = np.arange(len(a)) + np.searchsorted(group_b, group_a, side="left")
@@ -231,10 +256,10 @@ def align(known: Encodings, words: list[str]) -> Words:
     mark[place_a[np.append(group_a[1:] != group_a[:-1], True)[: len(a)]]] = ord("|")
     mark[place_b[np.append(group_b[1:] != group_b[:-1], True)[: len(b)]]] = ord(";")
     spelled = list(map(_spelling, ((codes << 8) | mark).tolist()))
-    stops = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+    stops = np.append(0, np.cumsum(n_a + n_b)).tolist()
     groups = ["".join(spelled[i:j])[:-1] for i, j in zip(stops, stops[1:], strict=False)]
-    n_groups, n_links = _per_word(ends_a[last], edges), _per_word(pieces, edges)
-    return Words(good, n_a, n_b, n_groups, n_links, groups, pairs, links.astype(np.int32))
+    figures = np.array([n_a, n_b, _per_word(ends_a[last], edges), _per_word(pieces, edges)])
+    return Aligned(good, figures, groups, linked)
 
 
 @functools.lru_cache(maxsize=1 << 16)
@@ -242,78 +267,85 @@ def _spelling(code: int) -> str:
     return f"{code >> 8}{chr(code & 255)}"
 
 
-class _Numbers(dict):
-    """Distinct words in the order of their first use."""
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        return number
-
-
 def cut(text: str) -> list[str]:
     """The words of a text behind a space; they and the spaces before them make up the text again."""
     head, *rest = _BORDER.split(" " + text)
     return [head[1:], *rest] if head else rest
 
 
-def aligned_texts(known: Encodings, texts: list[str | None]) -> tuple[dict[str, np.ndarray | list], Words]:
-    """Figures of whole texts, and the words they consist of.
+def smallest(values: np.ndarray) -> bytes:
+    """Numbers from 0 on, in as few bytes each as the largest needs."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
+
+
+def unpacked(packed: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(packed, f"u{len(packed) // count}").astype(np.int64) if count else np.empty(0, np.int64)
+
+
+def aligned_texts(known: Words, texts: list[str | None]) -> dict[str, np.ndarray | list | bytes]:
+    """Figures of whole texts, and the links of the words that they consist of.
 
     Null and empty texts, and those with a word that a side does not spell byte
-    for byte, have no words.
+    for byte, have no words. ``words`` names the words by their places among the
+    distinct ones, and ``links`` id pairs by theirs in ``pairs``.
     """
-    numbers, runs = _Numbers(), []
+    if len(known.numbers) > _REMEMBERED or known.letters > _LETTERS_HELD:
+        known.forget()
+    runs, whole = [], not all(s.cuts for s in known.both)
     for text in texts:
-        words = [] if not text else cut(text) if all(s.cuts for s in known.both) else [text]
-        runs.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-    words = align(known, list(numbers))
-    runs = [run if words.good[run].all() else run[:0] for run in runs]
-    run = np.concatenate([np.empty(0, np.int32), *runs])
-    stops = np.concatenate([[0], np.cumsum([len(x) for x in runs], dtype=np.int64)])
-
-    def summed(values: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(values[run], dtype=np.int64)])
-        return total[stops[1:]] - total[stops[:-1]]
-
-    uses = np.bincount(run, minlength=len(numbers))
-    times = np.bincount(words.links, np.repeat(uses, words.n_links), len(words.pairs)).astype(np.int64)
+        words = [] if not text else [text] if whole else cut(text)
+        runs.append(np.fromiter(map(known.numbers.__getitem__, words), np.int64, len(words)))
+    known.catch_up()
+    runs = [run if known.good[run].all() else run[:0] for run in runs]
+    run = np.concatenate([np.empty(0, np.int64), *runs])
+    stops = np.append(0, np.cumsum([len(x) for x in runs], dtype=np.int64))
+    distinct, places, uses = np.unique(run, return_inverse=True, return_counts=True)
+    pairs, links = np.unique(known.links_of(distinct), return_inverse=True)
+    word_links = known.n_links[distinct]
+    totals = np.cumsum(known.figures[:, run], axis=1)
+    totals = np.concatenate([np.zeros((4, 1), np.int64), totals], axis=1)
+    n_a, n_b, n_groups, n_links = totals[:, stops[1:]] - totals[:, stops[:-1]]
     return {
         "n_words": np.diff(stops),
-        "n_a": summed(words.n_a),
-        "n_b": summed(words.n_b),
-        "n_groups": summed(words.n_groups),
-        "n_links": summed(words.n_links),
+        "n_a": n_a,
+        "n_b": n_b,
+        "n_groups": n_groups,
+        "n_links": n_links,
         "groups": [
-            hashlib.sha256(";".join(map(words.groups.__getitem__, x.tolist())).encode()).hexdigest() if len(x) else ""
+            hashlib.sha256(";".join(map(known.groups.__getitem__, x.tolist())).encode()).hexdigest() if len(x) else ""
             for x in runs
         ],
-        "words": run,
-        "word_links": words.n_links,
-        "links": words.links,
-        "pairs": words.pairs,
-        "times": times,
-    }, words
+        "n_distinct": len(distinct),
+        "words": smallest(places),
+        "word_links": smallest(word_links),
+        "links": smallest(links),
+        "pairs": pairs,
+        "times": np.bincount(links, np.repeat(uses, word_links), len(pairs)).astype(np.int64),
+    }
 
 
+_LISTED = ("n_words", "n_a", "n_b", "n_groups", "n_links", "groups")
+_PACKED = ("words", "word_links", "links")
 _CHUNKS = (
     "chunk long, doc_ids array<long>, n_words array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
-    "n_links array<long>, groups array<string>, words array<int>, word_links array<long>, links array<int>, "
+    "n_links array<long>, groups array<string>, n_distinct long, words binary, word_links binary, links binary, "
     "pairs array<long>, times array<long>"
 )
 _NAMES = [c.split()[0] for c in _CHUNKS.split(", ")]
-_ARROW = {"groups": pa.string(), "words": pa.int32(), "links": pa.int32()}
 
 
 def _aligned(first: str, second: str):
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, count = TaskContext.get().partitionId() << 32, 0
-        known = Encodings(*sides(first, second))
+        known = Words(*sides(first, second))
         doc_ids, texts, size = [], [], 0
 
         def chunk() -> pa.RecordBatch:
-            found, _ = aligned_texts(known, texts)
+            found = aligned_texts(known, texts)
             columns = {"chunk": pa.array([base + count], pa.int64()), "doc_ids": _list(doc_ids, pa.int64())}
-            columns |= {c: _list(found[c], _ARROW.get(c, pa.int64())) for c in _NAMES[2:]}
+            columns |= {c: _list(found[c], pa.string() if c == "groups" else pa.int64()) for c in (*_LISTED, "pairs", "times")}
+            columns |= {c: pa.array([found[c]], pa.binary()) for c in _PACKED}
+            columns["n_distinct"] = pa.array([found["n_distinct"]], pa.int64())
             return pa.RecordBatch.from_arrays([columns[c] for c in _NAMES], names=_NAMES)
 
         for batch in batches:
@@ -344,26 +376,27 @@ _RESULT = (
 
 def _sums(chunks: pa.Table, counts: pa.Table) -> pa.Table:
     """The documents of one chunk with the sums over their links."""
-    row = {c: chunks.column(c).combine_chunks()[0].values for c in _NAMES[1:]}
+    row = {c: chunks.column(c).combine_chunks()[0] for c in chunks.column_names}
+    listed = {c: row[c].values for c in ("doc_ids", *_LISTED)}
+    n_words = listed["n_words"].to_numpy()
+    words = unpacked(row["words"].as_py(), int(n_words.sum()))
+    word_links = unpacked(row["word_links"].as_py(), row["n_distinct"].as_py())
+    links = unpacked(row["links"].as_py(), int(word_links.sum()))
     place = counts.column("place").to_numpy()
-    # Pairs of words that no aligned text holds have no count.
-    count, best = np.zeros((2, len(row["pairs"])), np.int64)
+    count, best = np.zeros((2, len(place)), np.int64)
     count[place] = counts.column("count").to_numpy()
     best[place] = counts.column("best").to_numpy(zero_copy_only=False)
-    links, run = row["links"].to_numpy(), row["words"].to_numpy()
 
     def added(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-        stops = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        total = np.append(0, np.cumsum(values, dtype=np.int64))
+        stops = np.append(0, np.cumsum(sizes, dtype=np.int64))
         return total[stops[1:]] - total[stops[:-1]]
 
     def summed(values: np.ndarray) -> pa.Array:
-        words = added(values[links], row["word_links"].to_numpy())
-        return pa.array(added(words[run], row["n_words"].to_numpy()), pa.int64())
+        return pa.array(added(added(values[links], word_links)[words], n_words), pa.int64())
 
-    figures = [row[c] for c in ("n_a", "n_b", "n_groups", "n_links")]
     return pa.table(
-        [row["doc_ids"], *figures, summed(best), summed(count), row["groups"]],
+        [listed["doc_ids"], *(listed[c] for c in _LISTED[1:5]), summed(best), summed(count), listed["groups"]],
         names=[c.split()[0] for c in _RESULT.split(", ")],
     )
 
@@ -377,7 +410,7 @@ def align_documents(docs: DataFrame, first: str, second: str) -> tuple[DataFrame
     small_batches(docs.sparkSession)
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = materialise(thin.mapInArrow(_aligned(first, second), _CHUNKS), "alignment-chunks")
-    each = chunks.select(F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("x.*").filter("times > 0")
+    each = chunks.select(F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("x.*")
     counts = materialise(each.groupBy("pairs").agg(F.sum("times").alias("count")), "alignment-counts")
     # One row for each id of the second vocabulary.
     highest = counts.groupBy(F.col("pairs").bitwiseAND(0xFFFFFFFF).alias("b")).agg(F.max("count").alias("highest"))
@@ -404,4 +437,4 @@ def token_alignment(docs: DataFrame, first: str, second: str) -> DataFrame:
     chunks, counts = align_documents(docs, first, second)
     asked = chunks.select("chunk", F.posexplode("pairs").alias("place", "pair"))
     told = asked.join(counts, "pair").select(F.col("chunk").alias("part"), "place", "count", "best")
-    return chunks.groupBy("chunk").cogroup(told.groupBy("part")).applyInArrow(_sums, _RESULT)
+    return chunks.drop("pairs", "times").groupBy("chunk").cogroup(told.groupBy("part")).applyInArrow(_sums, _RESULT)

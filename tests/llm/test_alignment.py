@@ -125,11 +125,12 @@ def test_random_texts(spark):
 def test_chunks_do_not_matter(spark, small_dir):
     rows = spark.read.parquet(f"{small_dir}/documents.parquet").select("text").limit(60).collect()
     texts = [r["text"] for r in rows] + ODD
-    known = alignment.Encodings(*alignment.sides(FIRST, SECOND))
-    whole, _ = alignment.aligned_texts(known, texts)
-    parts = [alignment.aligned_texts(alignment.Encodings(*known.both), [t])[0] for t in texts]
+    known = alignment.Words(*alignment.sides(FIRST, SECOND))
+    whole = alignment.aligned_texts(known, texts)
+    parts = [alignment.aligned_texts(alignment.Words(*known.both), [t]) for t in texts]
+    again = [alignment.aligned_texts(known, [t]) for t in texts]
     for name in ("groups", "n_links", "n_a", "n_words"):
-        assert list(whole[name]) == [p[name][0] for p in parts]
+        assert list(whole[name]) == [p[name][0] for p in parts] == [p[name][0] for p in again]
     assert whole["times"].sum() == whole["n_links"].sum()
 
 
@@ -142,11 +143,25 @@ def test_words_make_up_the_text():
 
 def test_without_cuts(spark):
     """Files whose tokens may span spaces are aligned text by text."""
-    known = alignment.Encodings(*(s._replace(cuts=False) for s in alignment.sides(FIRST, SECOND)))
-    cut = alignment.Encodings(*alignment.sides(FIRST, SECOND))
+    known = alignment.Words(*(s._replace(cuts=False) for s in alignment.sides(FIRST, SECOND)))
+    cut = alignment.Words(*alignment.sides(FIRST, SECOND))
     texts = ["some text  with spaces", "and\n more", None]
     for name in ("groups", "n_links", "n_groups"):
-        assert list(alignment.aligned_texts(known, texts)[0][name]) == list(alignment.aligned_texts(cut, texts)[0][name])
+        assert list(alignment.aligned_texts(known, texts)[name]) == list(alignment.aligned_texts(cut, texts)[name])
+
+
+def test_packed_numbers():
+    for values in ([], [0], [3, 255], [256, 0], [70000, 1]):
+        values = np.array(values, np.int64)
+        assert alignment.unpacked(alignment.smallest(values), len(values)).tolist() == values.tolist()
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    texts = [t for t in ODD if t]
+    known = alignment.Words(*alignment.sides(FIRST, SECOND))
+    first = [alignment.aligned_texts(known, [t])["groups"] for t in texts]
+    monkeypatch.setattr(alignment, "_REMEMBERED", 2)
+    assert [alignment.aligned_texts(known, [t])["groups"] for t in texts] == first
 
 
 def test_table(spark, small_dir):
