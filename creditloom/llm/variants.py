@@ -268,8 +268,13 @@ def _searched(key: tuple, rows: pa.Table) -> pa.Table:
 
 def _vector_columns() -> list[Column]:
     """The numbers of a word's vector as columns, for counting only."""
-    codes = F.transform(F.split("word", ""), lambda c: F.pmod(F.ascii(c), F.lit(GROUPS)))
-    counts = [F.size(F.filter(codes, lambda x, g=g: x == g)).alias(f"c{i}") for i, g in enumerate(ORDER)]
+    letters = F.filter(F.split("word", ""), lambda c: c != "")
+    codes = F.transform(letters, lambda c: F.pmod(F.ascii(c), F.lit(GROUPS)))
+
+    def held(group: int) -> Column:
+        return F.size(F.filter(codes, lambda x: x == group))
+
+    counts = [held(g).alias(f"c{i}") for i, g in enumerate(ORDER)]
     return [F.length("word").alias("length"), *counts]
 
 

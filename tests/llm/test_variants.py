@@ -118,6 +118,13 @@ def test_budget_reaches_every_near_word(depth):
     assert some[0] == x[: depth + 1] and len(some) == len({tuple(s) for s in some}) <= 2 + 2 * depth + depth * (depth - 1) / 2
 
 
+def test_counted_vectors_are_those_of_the_trie(spark):
+    words = ["spelling", "über", "ÀÿéÖ", "zzz", "entaisrolhm"]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    rows = {r["word"]: list(r)[1:] for r in df.select("word", *variants._vector_columns()).collect()}
+    assert [rows[w] for w in words] == variants.vectors_of(words).tolist()
+
+
 def test_depth_follows_the_counts(spark):
     words = spark.createDataFrame([(a + b + "word", 2) for a in "abcdefghij" for b in "klmnopqrst"], "word string, n long")
     assert variants.subtree_depth(words, 100) == 0
