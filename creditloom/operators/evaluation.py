@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from creditloom.fixed import TARGET
 from creditloom.functions.scoring import hard_label
 from creditloom.operators.ranking import running_totals
+from creditloom.session import materialise
 
 
 def _shares() -> dict[str, Column]:
@@ -59,8 +60,12 @@ def score_counts(
 def ordered_scores(
     df: DataFrame, label: str = TARGET, score: str = "p", by: Sequence[str] = ()
 ) -> DataFrame:
-    """Score counts with running totals: what the AUC, the curve and the threshold metrics rest on."""
-    return running_totals(score_counts(df, label, score, by), "score", ["pos", "neg"], by)
+    """Score counts with running totals: what the AUC, the curve and the threshold metrics rest on.
+
+    The counts are written to the shared folder, so that rows are read and scored
+    once however often the result is used.
+    """
+    return running_totals(materialise(score_counts(df, label, score, by), "score-counts"), "score", ["pos", "neg"], by)
 
 
 def _wins() -> Column:

@@ -27,8 +27,9 @@ CELLS_PER_E = 512.0
 FINE_CELLS = 65536.0
 # Selections look at their order in digits of so many bits.
 DIGIT_BITS = 16
-# Slices that running totals are added up in.
-SLICES = 256
+# Running totals are added up in slices of about so many rows of a group, and in at most so many slices a group.
+SLICE_ROWS = 1 << 14
+SLICES = 1 << 12
 
 
 def _coarse_cell(x: Column) -> Column:
@@ -198,16 +199,21 @@ def quantile_values(
 def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Add ``<name>_upto``: the sum of each column over all rows up to this one.
 
-    ``order`` must be a number, unique within ``by``: aggregate first. Sketched
-    quantiles, taken when this is called, cut it into slices; the slice of a row
-    depends on its value alone. Slice totals, at most SLICES rows for each group,
-    are the offsets of the running sums inside the slices. A missing order
-    comes first, NaN last.
+    ``order`` must be a number, unique within ``by``: aggregate first, and write
+    what is costly, for this reads ``df`` when called and again in the result.
+    Sketched quantiles of every group, as many as its rows need slices, cut the
+    order; the slice of a row depends on its value alone, so that all branches of
+    the plan agree. Slice totals are the offsets of the running sums inside the
+    slices. ``by`` tells few groups apart: their quantiles reach the driver. A
+    missing order comes first, NaN last.
     """
     by = list(by)
     value = F.col(order).cast("double")
-    cuts = df.agg(F.percentile_approx(value, [i / SLICES for i in range(1, SLICES)], 20 * SLICES)).first()[0] or []
-    edges = sorted({c for c in cuts if c == c and abs(c) < float("inf")})
+    rows = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    slices = min(SLICES, -(-rows // SLICE_ROWS))
+    shares = [i / slices for i in range(1, slices)]
+    cuts = df.groupBy(*by).agg(F.percentile_approx(value, shares, 20 * slices).alias("cuts")).collect() if shares else []
+    edges = sorted({c for r in cuts for c in r["cuts"] or [] if c == c and abs(c) < float("inf")})
     splits = [float("-inf"), *(edges or [0.0]), float("inf")]
     named = Bucketizer(splits=splits, inputCol="_order", outputCol="_slice", handleInvalid="keep").transform(
         df.withColumn("_order", value)

@@ -149,9 +149,9 @@ def test_proportional_sizes_and_children(spark):
     assert kept.join(sampled, "SK_ID_CURR", "left_anti").count() == 0
 
 
-@pytest.mark.parametrize("slices", [2, 256])
-def test_running_totals_of_awkward_orders(spark, monkeypatch, slices):
-    monkeypatch.setattr(ranking, "SLICES", slices)
+@pytest.mark.parametrize("rows", [1, 3, 4096])
+def test_running_totals_of_awkward_orders(spark, monkeypatch, rows):
+    monkeypatch.setattr(ranking, "SLICE_ROWS", rows)
     values = [float("-inf"), -1e300, -2.0, 0.0, 5e-324, 1.0, 1e300, float("inf"), float("nan")]
     df = spark.createDataFrame([(x, 1) for x in [None, *values]], "x double, n int").repartition(4)
     got = {str(r["x"]): r["n_upto"] for r in ranking.running_totals(df, "x", ["n"]).collect()}
@@ -159,12 +159,28 @@ def test_running_totals_of_awkward_orders(spark, monkeypatch, slices):
     assert ranking.running_totals(df.limit(0), "x", ["n"]).count() == 0
 
 
-def test_running_totals_write_nothing(spark, monkeypatch):
+def test_scores_are_read_once(spark, tmp_path):
+    """The input is scanned by the job that writes the counts, and not again."""
     from creditloom.operators import evaluation
 
     df = spark.createDataFrame([(1, 0.3), (0, 0.2), (1, 0.2)], "TARGET int, p double")
-    plan = evaluation.roc_auc(df)._jdf.queryExecution().executedPlan().toString()
-    assert "FileScan" not in plan and not hasattr(ranking, "materialise")
+    df.write.parquet(str(tmp_path / "scored"))
+    auc = evaluation.roc_auc(spark.read.parquet(str(tmp_path / "scored")))
+    plan = auc._jdf.queryExecution().executedPlan().toString()
+    assert str(tmp_path) not in plan and "score-counts" in plan
+    assert auc.first()["auc"] == 0.75
+
+
+@pytest.mark.parametrize("rows", [7, 100, 1 << 14])
+def test_running_totals_of_unlike_groups(spark, monkeypatch, rows):
+    """One group's values lie within a millionth of the other's range: each has slices of its own."""
+    monkeypatch.setattr(ranking, "SLICE_ROWS", rows)
+    x = F.when(F.col("id") % 2 == 0, F.col("id") * 1.0).otherwise(0.5 + F.col("id") / 1e9)
+    df = spark.range(1000).select((F.col("id") % 2).alias("g"), x.alias("x"), (F.col("id") % 7).alias("n")).repartition(6)
+    got = sorted(ranking.running_totals(df, "x", ["n"], ["g"]).collect(), key=lambda r: (r["g"], r["x"]))
+    for g in (0, 1):
+        part = [r for r in got if r["g"] == g]
+        assert [r["n_upto"] for r in part] == list(np.cumsum([r["n"] for r in part]))
 
 
 def test_running_totals(spark):
