@@ -312,13 +312,19 @@ def _(t):
 @query(
     "kmeans_segment",
     """SELECT (SELECT count(*) FROM applications WHERE EXT_SOURCE_2 IS NOT NULL) AS rows_kept, CAST(3 AS BIGINT) AS tiers,
-  true AS ordered_by_score, true AS no_dearer_than_one_seed""",
+  true AS ordered_by_score, true AS no_dearer_than_one_seed, true AS centres_are_means""",
 )
 def _(t):
-    """All rows kept, tiers in the order of their scores, and restarts that only help."""
+    """All rows kept, tiers in the order of their scores, restarts that only help, and a fixed point.
+
+    Every centre is the mean of the rows that are nearest to it, up to the tolerance of the fit.
+    """
     tiers, fitted = segmentation.segment(t.applications)
     prepared, features = feats.prepare_clustering_data(frames.clustering_frame(t.applications))
     single = segmentation.fit_kmeans(prepared, features, restarts=1)
+    scaled = feats.scale(segmentation.assign_clusters(prepared, fitted), fitted.moments)
+    means = scaled.groupBy("cluster").agg(*[F.avg(f"z_{f}").alias(f) for f in features]).collect()
+    gap = max(abs(r[f] - fitted.centres[r["cluster"]][i]) for r in means for i, f in enumerate(features))
     score = {name: F.avg(F.when(F.col("RISK_TIER") == name, F.col("EXT_SOURCE_AVG"))) for name in X.RISK_TIERS}
     low, medium, high = (score[name] for name in X.RISK_TIERS)
     return tiers.agg(
@@ -326,6 +332,7 @@ def _(t):
         F.count_distinct("RISK_TIER").alias("tiers"),
         ((low > medium) & (medium > high)).alias("ordered_by_score"),
         F.lit(fitted.cost <= single.cost).alias("no_dearer_than_one_seed"),
+        F.lit(len(means) == X.CLUSTERS and gap < 1e-3).alias("centres_are_means"),
     )
 
 

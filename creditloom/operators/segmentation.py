@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +27,62 @@ class Segmentation:
     cost: float
 
 
+def _distance(point: Callable[[str], Column], centre: Callable[[str], Column], features: Sequence[str]) -> Column:
+    total = F.lit(0.0)
+    for f in features:
+        total = total + F.pow(point(f) - centre(f), F.lit(2.0))
+    return total
+
+
+def _with_centres(vectors: DataFrame, features: Sequence[str], centres: Sequence[Sequence[Sequence[float]]]) -> DataFrame:
+    """Every row once for each restart, with ``_nearest`` (distance, cluster) among that restart's centres.
+
+    The centres come as one broadcast row a restart, so that every round runs the same compiled plan.
+    """
+    k = len(centres[0])
+    names = [f"_c{j}_{i}" for j in range(k) for i in range(len(features))]
+    rows = [(r, *[float(v) for c in some for v in c]) for r, some in enumerate(centres)]
+    schema = ", ".join(["_restart int", *[f"{n} double" for n in names]])
+    table = vectors.sparkSession.createDataFrame(rows, schema)
+    joined = vectors.crossJoin(F.broadcast(table))
+    options = [
+        F.struct(
+            _distance(lambda f: F.col(f"z_{f}"), lambda f, j=j: F.col(f"_c{j}_{features.index(f)}"), features).alias("d"),
+            F.lit(j).alias("cluster"),
+        )
+        for j in range(k)
+    ]
+    return joined.withColumn("_nearest", F.least(*options) if k > 1 else options[0]).drop(*names)
+
+
+def _draw(named: Column, seed: int, step: int) -> Column:
+    """A uniform number in (0, 1) for a row and restart; it depends on the row's name alone."""
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed) + F.col("_restart"), F.lit(step), named), 11)
+    return (bits + F.lit(0.5)) / F.lit(float(1 << 53))
+
+
+def _seeds(vectors: DataFrame, features: Sequence[str], k: int, seed: int, restarts: int) -> list[list[list[float]]]:
+    """Starting centres of every restart: rows drawn by the square of their distance to those drawn before.
+
+    The row with the smallest ``-ln(u) / weight`` is such a draw, and a minimum
+    doesn't depend on how the rows are dealt out. One pass draws for all restarts.
+    """
+    point = F.struct(*[F.col(f"z_{f}").alias(f) for f in features])
+    centres: list[list[list[float]]] = [[] for _ in range(restarts)]
+    for step in range(k):
+        if step == 0:
+            rows = vectors.crossJoin(F.broadcast(vectors.sparkSession.range(restarts).select(F.col("id").cast("int").alias("_restart"))))
+            weight = F.lit(1.0)
+        else:
+            rows = _with_centres(vectors, features, centres)
+            weight = F.col("_nearest.d")
+        lot = F.coalesce(F.try_divide(-F.ln(_draw(F.col("_name"), seed, step)), weight), F.lit(float("inf")))
+        drawn = rows.groupBy("_restart").agg(F.min_by(point, F.struct(lot, F.col("_name"))).alias("point")).collect()
+        for r in drawn:
+            centres[r["_restart"]].append([r["point"][f] for f in features])
+    return centres
+
+
 def fit_kmeans(
     df: DataFrame,
     features: Sequence[str],
@@ -37,31 +91,46 @@ def fit_kmeans(
     restarts: int = CLUSTER_RESTARTS,
     max_iter: int = 300,
     key: str = ID,
-    partitions: int = 16,
+    tol: float = 1e-4,
 ) -> Segmentation:
-    """K-Means on standardised features, the cheapest of ``restarts`` seeds.
-
-    Rows are placed by ``key`` in a fixed number of partitions and sorted there,
-    because seeding draws by partition: the result does not depend on how the
-    rows arrive. Choose as many ``partitions`` as the data needs tasks, and keep
-    the number. Only scaled vectors are kept between restarts; they spill to disk rather
-    than fail, and lost blocks are recomputed from the source.
+    """K-Means on standardised features, the cheapest of ``restarts`` starts.
+
+    All restarts share every pass over the data: a round is one scan with one
+    grouped aggregation by restart and cluster, and a restart whose centres move
+    no more than ``tol`` stands still. Starting rows are drawn by a hash of
+    ``key`` (of the features, where there is none), so the fit depends neither on
+    partitions nor on how rows arrive; as many tasks work as the data has
+    partitions. Rows with a missing feature take no part. Only the scaled
+    vectors are kept, on disk if need be; lost ones are recomputed.
     """
     moments = collect_moments(df, features)
-    placed = df.repartition(partitions, key).sortWithinPartitions(key, *features) if key in df.columns else df
-    scaled = scale(placed.select(*features), moments)
-    assembler = VectorAssembler(inputCols=[f"z_{c}" for c in features], outputCol="features")
-    vectors = assembler.transform(scaled).select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    best = None
+    named = F.xxhash64(*([key] if key in df.columns else []), *features).alias("_name")
+    scaled = scale(df.select(named, *features), moments).select("_name", *[f"z_{f}" for f in features])
+    vectors = scaled.dropna().persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        for s in range(seed, seed + restarts):
-            model = KMeans(k=k, seed=s, maxIter=max_iter, tol=1e-4).fit(vectors)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, [[float(v) for v in c] for c in model.clusterCenters()])
+        centres = _seeds(vectors, features, k, seed, restarts)
+        if not centres[0]:
+            raise ValueError("segmentation needs rows without missing features")
+        moving = set(range(restarts))
+        for _ in range(max_iter):
+            some = sorted(moving)
+            near = _with_centres(vectors, features, [centres[r] for r in some])
+            means = [F.avg(f"z_{f}").alias(f) for f in features]
+            moved = dict.fromkeys(some, 0.0)
+            for r in near.groupBy("_restart", F.col("_nearest.cluster").alias("cluster")).agg(*means).collect():
+                restart = some[r["_restart"]]
+                old, new = centres[restart][r["cluster"]], [r[f] for f in features]
+                moved[restart] = max(moved[restart], sum((a - b) ** 2 for a, b in zip(old, new, strict=True)))
+                centres[restart][r["cluster"]] = new
+            moving = {r for r in some if moved[r] > tol**2}
+            if not moving:
+                break
+        near = _with_centres(vectors, features, centres)
+        costs = dict(near.groupBy("_restart").agg(F.sum("_nearest.d")).collect())
     finally:
         vectors.unpersist()
-    return Segmentation(list(features), moments, best[1], best[0])
+    best = min(range(restarts), key=lambda r: (costs[r], r))
+    return Segmentation(list(features), moments, centres[best], costs[best])
 
 
 def nearest_centre(features: Sequence[str], centres: Sequence[Sequence[float]], prefix: str = "z_") -> Column:
