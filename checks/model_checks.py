@@ -12,7 +12,7 @@ from creditloom.functions import labels
 from creditloom.operators import evaluation, explain, frames, modelling, scoring
 from creditloom.operators import features as feats
 from creditloom.session import scratch_path
-from creditloom.sources import stores
+from creditloom.sources import stores, versions
 
 SCORED = cte("scored", f"SELECT *, {probability(FIRST)} AS p, {probability(SECOND)} AS p2 FROM model_rows")
 LOGITS = cte("logits", f"SELECT SK_ID_CURR, TARGET, {logit(FIRST)} AS s FROM model_rows")
@@ -406,6 +406,35 @@ WEIGHTS = ", ".join(
 TEST_ROWS = """(SELECT CAST(sum(n) AS BIGINT) FROM (SELECT ceil(round(0.2e0 * count(*), 9)) AS n FROM model_rows GROUP BY TARGET))"""
 
 
+@query(
+    "model_round_trip",
+    f"""SELECT {TEST_ROWS} AS rows, 0e0 AS largest_difference, 'logreg' AS fallback, true AS refused_when_altered""",
+    [MODEL_ROWS],
+)
+def _(t):
+    """A saved model scores every test row as before, stands in for an absent one, and is refused when altered."""
+    trained = modelling.train_models(t.applications, only=(X.LOGISTIC,))
+    folder = scratch_path(t.spark, "models")
+    stores.save_models(trained.models, folder)
+    loaded = stores.load_model(t.spark, folder, "absent")
+    test = trained.split.where("is_test")
+    scored = scoring.predict_proba(test, trained.models[X.LOGISTIC]).withColumnRenamed("p", "before").drop("prediction")
+    both = scoring.predict_proba(scored, loaded)
+    other = modelling.fit_logistic(trained.split.where("NOT is_test"), trained.prep, c=1e-4)
+    other.write().overwrite().save(f"{versions.current(t.spark, folder)}/{X.LOGISTIC}")
+    try:
+        stores.load_model(t.spark, folder)
+        refused = False
+    except stores.AlteredModel:
+        refused = True
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.max(F.round(F.abs(F.col("p") - F.col("before")), 12)).alias("largest_difference"),
+        F.lit(X.LOGISTIC).alias("fallback"),
+        F.lit(refused).alias("refused_when_altered"),
+    )
+
+
 @query(
     "stored_metrics",
     f"""SELECT 'metrics' AS source, model, metric AS name, round(value, 6) AS value FROM ({METRICS})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks.binding import COLUMNS, Tables
 from checks.registry import query, rounded
@@ -14,6 +15,7 @@ from creditloom.operators import adhoc, frames, portfolio, sampling
 from creditloom.plans import sql_catalogue
 from creditloom.session import scratch_path
 from creditloom.sources import csv, schemas
+from creditloom.sources.tables import load_manifest
 
 KPIS = f"""count(*) AS total_borrowers, {RATE} AS default_rate_pct, round(avg(AMT_INCOME_TOTAL), 2) AS avg_income,
   round(avg(AMT_CREDIT), 2) AS avg_credit, round(avg(AMT_ANNUITY), 2) AS avg_annuity,
@@ -366,6 +368,68 @@ TEXTS = {"applications": "NAME_INCOME_TYPE", "bureau": "CREDIT_TYPE", "previous_
 AMOUNTS = {"applications": "AMT_CREDIT", "bureau": "AMT_CREDIT_SUM", "previous_application": "AMT_CREDIT"}
 
 
+def _written(t, folder, rows=None):
+    """The loan tables as CSV files in a source folder."""
+    for name, df in (rows or t.named()).items():
+        csv.export_csv(df, f"{folder}/{csv.CSV_FILES[name]}")
+
+
+@query(
+    "load_manifest",
+    union([f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in TEXTS]),
+)
+def _(t):
+    """The counts that were taken while the tables were loaded."""
+    folder = scratch_path(t.spark, "manifest")
+    _written(t, f"{folder}/raw")
+    csv.ingest_csv(t.spark, f"{folder}/raw", f"{folder}/tables")
+    return load_manifest(t.spark, f"{folder}/tables")
+
+
+@query(
+    "source_resolution",
+    """SELECT 'raw alone' AS found, 'raw' AS taken, count(*) AS row_count FROM applications
+UNION ALL SELECT 'raw and sample', 'sample', count(*) FROM applications WHERE TARGET = 1
+UNION ALL SELECT 'raw asked for', 'raw', count(*) FROM applications""",
+)
+def _(t):
+    """Which folder is taken, and the rows of its applications."""
+    folder = scratch_path(t.spark, "sources")
+    _written(t, f"{folder}/raw", {"applications": t.applications})
+    taken = [("raw alone", csv.resolve_source(t.spark, folder))]
+    _written(t, f"{folder}/sample", {"applications": t.applications.where("TARGET = 1")})
+    taken += [
+        ("raw and sample", csv.resolve_source(t.spark, folder)),
+        ("raw asked for", csv.resolve_source(t.spark, folder, use_sample=False)),
+    ]
+    schema = schemas.SCHEMAS["applications"]
+    return sampling.concat(
+        *[
+            csv.read_csv(t.spark, f"{source}/{csv.CSV_FILES['applications']}", schema).agg(
+                F.lit(found).alias("found"),
+                F.lit(source.rsplit("/", 1)[1]).alias("taken"),
+                F.count(F.lit(1)).alias("row_count"),
+            )
+            for found, source in taken
+        ]
+    )
+
+
+@query(
+    "latin1_csv",
+    """SELECT NAME_INCOME_TYPE || ' \u00e0 l''\u00e9tranger' AS description, count(*) AS row_count, CAST(sum(SK_ID_CURR) AS BIGINT) AS id_sum
+FROM applications GROUP BY 1""",
+)
+def _(t):
+    """A file in ISO-8859-1, written and read back."""
+    path = scratch_path(t.spark, "latin1")
+    described = F.concat("NAME_INCOME_TYPE", F.lit(" \u00e0 l'\u00e9tranger")).alias("description")
+    csv.export_csv(t.applications.select(X.ID, described), path, schemas.DESCRIPTION_ENCODING)
+    schema = T.StructType([T.StructField(X.ID, T.LongType()), T.StructField("description", T.StringType())])
+    rows = csv.read_csv(t.spark, path, schema, schemas.DESCRIPTION_ENCODING)
+    return rows.groupBy("description").agg(F.count(F.lit(1)).alias("row_count"), F.sum(X.ID).alias("id_sum"))
+
+
 @query(
     "csv_ingest",
     union(

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from creditloom.sources import versions
 from creditloom.sources.schemas import CSV_FILES, SCHEMAS
-from creditloom.sources.tables import load_tables
+from creditloom.sources.tables import DATA, load_tables
 
 # Folders looked for, in this order.
 PREFERRED = ("sample", "raw")
@@ -28,11 +30,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return named.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(named)
 
 
-def completely_written(spark: SparkSession, path: str) -> bool:
-    """Whether a job that wrote a table to ``path`` came to its end."""
-    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
-
-
 def resolve_source(
     spark: SparkSession, data_dir: str, use_sample: bool | None = None, prefer: Sequence[str] = PREFERRED
 ) -> str:
@@ -79,14 +76,22 @@ def ingest_csv(
 ) -> dict[str, DataFrame]:
     """Load the CSV files ``tables`` of ``src_dir`` into Parquet tables under ``out_dir``.
 
-    A table that was written completely is left as it is unless ``overwrite``;
-    what a failed job left behind is replaced.
+    A table that is published there is left as it is unless ``overwrite``. A new
+    version is written aside and published when it is complete, together with its
+    row count, which is taken while it is written. So readers, also those of an
+    overwritten table, always find a whole one.
     """
     out = out_dir.rstrip("/")
     for name, file in tables.items():
-        if overwrite or not completely_written(spark, f"{out}/{name}"):
+        if overwrite or versions.current(spark, f"{out}/{name}") is None:
             df = read_csv(spark, f"{src_dir.rstrip('/')}/{file}", SCHEMAS[name], multi_line=multi_line)
-            df.write.mode("overwrite").parquet(f"{out}/{name}")
+
+            def write(path: str, df: DataFrame = df) -> dict:
+                seen = Observation()
+                df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{path}/{DATA}")
+                return {"rows": seen.get["rows"]}
+
+            versions.publish(spark, f"{out}/{name}", write)
     return load_tables(spark, out, tables)
 
 

@@ -7,12 +7,27 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from creditloom.fixed import ID
+from creditloom.sources import versions
 from creditloom.sources.schemas import SCHEMAS
 
+#: The rows of a published table, inside its version.
+DATA = "data"
+
 
 def load_tables(spark: SparkSession, folder: str, names: Iterable[str] = tuple(SCHEMAS)) -> dict[str, DataFrame]:
-    """The tables, all three unless named, from ``folder/<table>``."""
-    return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in names}
+    """The published tables, all three unless named, under ``folder/<table>``; plain Parquet tables are read as well."""
+    root, out = folder.rstrip("/"), {}
+    for name in names:
+        version = versions.current(spark, f"{root}/{name}")
+        out[name] = spark.read.parquet(f"{root}/{name}" if version is None else f"{version}/{DATA}")
+    return out
+
+
+def load_manifest(spark: SparkSession, folder: str, names: Iterable[str] = tuple(SCHEMAS)) -> DataFrame:
+    """``(table_name, row_count)`` of the published tables, as counted when they were written; nothing is scanned."""
+    found = {name: versions.current(spark, f"{folder.rstrip('/')}/{name}") for name in names}
+    rows = [(name, versions.manifest(spark, path)["rows"]) for name, path in found.items() if path is not None]
+    return spark.createDataFrame(rows, "table_name string, row_count long")
 
 
 def register(tables: Mapping[str, DataFrame]) -> None:

@@ -4,7 +4,7 @@ import pytest
 
 from creditloom.operators import adhoc, portfolio
 from creditloom.plans import analyses, sql_catalogue
-from creditloom.sources import csv, schemas, tables as tables_module
+from creditloom.sources import csv, schemas, tables as tables_module, versions
 
 APPLICATIONS = """TARGET,SK_ID_CURR,AMT_CREDIT,CODE_GENDER,CNT_CHILDREN,NOTE
 1,100,1000,M,0,plain
@@ -109,8 +109,48 @@ def test_half_written_tables_are_loaded_again(spark, tmp_path):
     (tmp_path / "out" / "applications" / "_temporary").mkdir(parents=True)
     loaded = csv.ingest_csv(spark, str(tmp_path / "raw"), str(tmp_path / "out"))
     assert loaded["applications"].count() == 3
-    assert csv.completely_written(spark, f"{tmp_path}/out/applications")
-    assert not csv.completely_written(spark, f"{tmp_path}/out/none")
+    assert versions.current(spark, f"{tmp_path}/out/applications") is not None
+    assert versions.current(spark, f"{tmp_path}/out/none") is None
+
+
+def test_a_writer_that_fails_publishes_nothing(spark, tmp_path):
+    """An overwrite that breaks off half-way leaves the table, its count and its readers as they were."""
+    write(tmp_path / "raw")
+    out = str(tmp_path / "out")
+    before = csv.ingest_csv(spark, str(tmp_path / "raw"), out)["applications"]
+    version = versions.current(spark, f"{out}/applications")
+    rows = "".join(f"{i},0\n" for i in range(5000))
+    write(tmp_path / "bad", f"SK_ID_CURR,TARGET\n{rows}x,0\n")
+    with pytest.raises(Exception, match="x|MALFORMED|FAILED"):
+        csv.ingest_csv(spark, str(tmp_path / "bad"), out, overwrite=True)
+    assert versions.current(spark, f"{out}/applications") == version
+    assert before.count() == 3 and tables_module.load_tables(spark, out)["applications"].count() == 3
+    counts = {r[0]: r[1] for r in tables_module.load_manifest(spark, out).collect()}
+    assert counts == {"applications": 3, "bureau": 2, "previous_application": 1}
+    # Readers of an older version go on while a newer one is published.
+    write(tmp_path / "good", "SK_ID_CURR,TARGET\n1,0\n")
+    assert csv.ingest_csv(spark, str(tmp_path / "good"), out, overwrite=True)["applications"].count() == 1
+    assert before.count() == 3
+    assert versions.forget_old(spark, f"{out}/applications") == 1
+    assert tables_module.load_tables(spark, out)["applications"].count() == 1
+
+
+def test_writers_at_the_same_time(spark, tmp_path):
+    """A version published while another is being written is not lost sight of, and all readers agree on the last."""
+    folder = str(tmp_path / "thing")
+
+    def slow(path):
+        versions.publish(spark, folder, lambda inner: {"n": 1})
+        return {"n": 2}
+
+    last = versions.publish(spark, folder, slow)
+    assert versions.current(spark, folder) == last and versions.manifest(spark, last) == {"n": 2}
+    (tmp_path / "thing" / "_published" / "stray").write_text("")
+    (tmp_path / "thing" / "v-half").mkdir()
+    assert versions.current(spark, folder) == last
+    with pytest.raises(ZeroDivisionError):
+        versions.publish(spark, folder, lambda path: {"n": 1 // 0})
+    assert versions.current(spark, folder) == last and versions.forget_old(spark, folder) == 1
 
 
 def test_some_tables_only(spark, tmp_path):
