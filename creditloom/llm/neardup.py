@@ -9,9 +9,10 @@ with an equal band are candidates.
 1. Documents with equal word sequences form a class; its smallest doc_id stands
    for it, so that copies cost nothing further.
 2. In every band bucket each document is paired with two members: the one whose
-   bands are shared most, as the middle of a family is, and one chosen by hash,
-   another in every band. That is two pairs a document and band at most, no
-   matter how large the bucket is.
+   bands are shared most, as the middle of a family is, and one drawn by hash,
+   with one of ``DRAWS`` hashes in every band. Bands that share a hash draw the
+   same member of a family, so a document has few pairs, no matter how large its
+   buckets are.
 3. Pairs whose estimated similarity (equal registers less the collisions that
    compression causes, by non-empty registers) may reach the threshold are
    confirmed on the full shingle sets. Linked classes become components.
@@ -52,6 +53,8 @@ MISSED = 5e-7
 REGISTERS = BANDS * BAND_WIDTH
 MANTISSA = 10
 SHINGLE = 5
+#: Hashes that members of buckets are drawn by.
+DRAWS = 8
 #: Percent of the union that the intersection must reach, as op8's contract has it; the pipeline passes its own.
 PERCENT = 85
 #: Estimates this far under the threshold are still confirmed on the sets (over five standard deviations).
@@ -60,8 +63,9 @@ SLACK = 0.17
 COLLISION = 0.169919487159739 / 2**MANTISSA
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Registers of the finer sketch, which only members of mixed buckets get, and how far under the threshold it may be.
-FINE_REGISTERS, FINE_SLACK = 512, 0.08
+#: Registers of the finer sketch, which only members of mixed buckets get, and how many standard deviations under the
+#: threshold it may be.
+FINE_REGISTERS, DEVIATIONS = 512, 5.1
 #: About as many documents with one shingle among their first meet in a task; more are cut by a hash.
 MEETING = 1 << 10
 #: Slots of the filter that keeps most other texts out of a shuffle; never more rows than that are broadcast.
@@ -79,12 +83,6 @@ def bands_for(percent: int) -> int:
     return max(BANDS, math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** BAND_WIDTH))))
 
 
-def fine_slack(percent: int) -> float:
-    """``FINE_SLACK`` in the standard deviations that it has at ``PERCENT``."""
-    share, known = percent / 100, PERCENT / 100
-    return FINE_SLACK * max(1.0, math.sqrt(share * (1 - share) / (known * (1 - known))))
-
-
 @lru_cache(maxsize=8)
 def _edges(count: int) -> np.ndarray:
     return np.array([(i << 64) // count for i in range(count)], dtype=np.uint64)
@@ -289,7 +287,7 @@ def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy("band")
         .agg(
             F.max_by("doc_id", F.struct("fame", F.xxhash64("doc_id"))).alias("known"),
-            F.min_by("doc_id", F.xxhash64("doc_id", "band")).alias("drawn"),
+            F.min_by("doc_id", F.xxhash64("doc_id", F.pmod("band", F.lit(DRAWS)))).alias("drawn"),
         )
     )
     met = shared.join(centers, "band").select("doc_id", F.explode(F.array("known", "drawn")).alias("center"))
@@ -359,16 +357,25 @@ def _first_shingles(details: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Estimated similarity of one row of registers to each row of ``right``, of the registers that either fills."""
-    filled = ((left > 0) | (right > 0)).sum(axis=1)
-    share = ((left == right) & (left > 0)).sum(axis=1) / np.maximum(filled, 1)
-    return (share - COLLISION) / (1 - COLLISION)
+def alike(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated similarity of one row of registers to each row of ``right``, and how many registers either fills."""
+    filled = np.maximum(((left > 0) | (right > 0)).sum(axis=1), 1)
+    share = ((left == right) & (left > 0)).sum(axis=1) / filled
+    return (share - COLLISION) / (1 - COLLISION), filled
 
 
-def _meet(percent: int):
-    floor = percent / 100 - fine_slack(percent)
+def fine_floor(shingles: np.ndarray, filled: np.ndarray, percent: int) -> np.ndarray:
+    """The least estimate that a pair at the threshold, with so many shingles in both sets together, may have.
 
+    A filled register shows one shingle of the union, drawn without putting back:
+    the more of the union is seen, the less an estimate strays.
+    """
+    share = percent / 100
+    unseen = np.maximum(1 - filled * (1 + share) / shingles, 0)
+    return share - DEVIATIONS * np.sqrt(share * (1 - share) * unseen / filled) - 1 / filled
+
+
+def _meet(percent: int):
     def met(rows: pa.Table) -> pa.Table:
         """Pairs of one group: a shorter and a longer document of different components that may reach the threshold."""
         n, place, doc_id, component = (rows.column(c).to_numpy() for c in ("n", "place", "doc_id", "component"))
@@ -384,7 +391,8 @@ def _meet(percent: int):
             able &= (component[a] != component[b]) & (n[a] * 100 >= n[b] * percent)
             able &= common * (100 + percent) >= (n[a] + n[b]) * percent
             b = b[able]
-            b = b[alike(fine[a], fine[b]) >= floor]
+            likeness, filled = alike(fine[a], fine[b])
+            b = b[likeness >= fine_floor(n[a] + n[b], filled, percent)]
             left.append(np.minimum(doc_id[a], doc_id[b]))
             right.append(np.maximum(doc_id[a], doc_id[b]))
         none = np.empty(0, np.int64)

@@ -148,20 +148,28 @@ def test_unlike_members_of_a_bucket_make_no_pairs(spark):
     assert neardup._rest_pairs(shared, alone, docs, 85).count() < 150
 
 
-def test_finer_estimate_of_short_documents():
-    """With fewer shingles than registers the finer sketch nearly is the set."""
-    draw = random.Random(8)
-    hashes = neardup._Hashes()
-    a = [f"x{draw.randrange(10**6)}".encode() for _ in range(150)]
-    for n in range(12):
+@pytest.mark.parametrize("words", [75, 150, 600, 4000])
+@pytest.mark.parametrize("percent", [80, 85])
+def test_finer_sketch_rejects_no_link(words, percent):
+    """Pairs just above the threshold pass the finer sketch, short documents by a narrow margin."""
+    draw = random.Random(words + percent)
+    hashes, links, floors = neardup._Hashes(), 0, []
+    for _ in range(400):
+        a = [f"x{draw.randrange(10**9)}".encode() for _ in range(words)]
         b = list(a)
-        for at in draw.sample(range(150), n):
-            b[at] = b"other"
+        for i in range(max(1, round(words * (100 - percent) / (100 + percent) / 5) + draw.randrange(-1, 1))):
+            b[(2 * i + 1) * 11 % words if words < 100 else draw.randrange(words)] = f"y{draw.randrange(10**9)}".encode()
         found = [neardup.shingle_hashes(w, hashes) for w in (a, b)]
-        fine = [neardup.registers_of(x, neardup.FINE_REGISTERS).astype(np.uint16) for x in found]
         common = len(np.intersect1d(*found))
-        exact = common / (sum(map(len, found)) - common)
-        assert abs(neardup.alike(fine[0], fine[1][None, :])[0] - exact) < neardup.FINE_SLACK
+        if 100 * common < percent * (len(found[0]) + len(found[1]) - common):
+            continue
+        links += 1
+        fine = [neardup.registers_of(x, neardup.FINE_REGISTERS).astype(np.uint16) for x in found]
+        likeness, filled = neardup.alike(fine[0], fine[1][None, :])
+        floor = neardup.fine_floor(np.array([len(found[0]) + len(found[1])]), filled, percent)
+        assert likeness[0] >= floor[0]
+        floors.append(floor[0])
+    assert links > 50 and min(floors) > percent / 100 - (0.15 if words == 75 else 0.1)
 
 
 def test_first_shingles_meet_in_every_similar_pair(spark):
