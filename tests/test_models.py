@@ -8,7 +8,7 @@ from checks.constants import FIRST
 from creditloom import fixed as X
 from creditloom.operators import evaluation, explain, frames, modelling, scoring
 from creditloom.operators.features import prepare_model_features
-from creditloom.sources import stores
+from creditloom.sources import stores, versions
 
 
 @pytest.fixture(scope="module")
@@ -66,6 +66,26 @@ def test_store_and_load(spark, trained, tmp_path):
     # An unknown model falls back to the default scorer.
     fallback = stores.load_model(spark, folder, "absent")
     assert np.allclose(fallback.stages[-1].coefficients, list(trained.linear.weights.values()))
+    # A save that breaks off changes nothing; a model that was altered is refused.
+    with pytest.raises(ValueError):
+        stores.save_models({X.BOOSTED: trained.models[X.BOOSTED]}, folder)
+    assert stores.load_model(spark, folder) is not None
+    version = versions.current(spark, folder)
+    trained.models[X.BOOSTED].write().overwrite().save(f"{version}/{X.LOGISTIC}")
+    with pytest.raises(stores.AlteredModel):
+        stores.load_model(spark, folder)
+
+
+def test_metrics_of_a_broken_store_are_those_before(spark, trained, tmp_path):
+    """The three tables are one unit: a writer that fails at the second leaves all three as they were."""
+    folder = str(tmp_path / "metrics")
+    metrics = spark.createDataFrame([("a", "auc", 0.7)], "model string, metric string, value double")
+    stores.write_metrics(folder, metrics, metrics, metrics)
+    broken = metrics.withColumn("value", F.raise_error(F.lit("stopped half-way")).cast("double"))
+    newer = metrics.withColumn("value", F.lit(0.9))
+    with pytest.raises(Exception, match="half-way"):
+        stores.write_metrics(folder, newer, broken, newer)
+    assert [r["value"] for n in stores.METRIC_TABLES for r in stores.read_metrics(spark, folder)[n].collect()] == [0.7] * 3
 
 
 def test_metrics_store(spark, trained, tmp_path):
