@@ -88,6 +88,15 @@ def test_joined_halves_equal_the_whole(text, piece, window):
     assert tokens[0] == bpe.encode_piece(tokenizer, spelled, True)
 
 
+def test_runs_just_under_the_limit_and_shuffled_rows(spark, vocabulary, library):
+    """Long runs on both sides of the limit, from a shuffled table: pieces of different rows are never mixed."""
+    draw = random.Random(6)
+    rows = [(i % 5, "".join(draw.choices("abcdé0+", k=n)) + " end") for i, n in enumerate([99, 100, 101, 299, 300, 301, 900, 2500] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7, "text")
+    got = sorted((r["doc_id"], bytes(r["ids"])) for r in bpe.encode(df, vocabulary, 300, 64).collect())
+    assert got == sorted((i, bpe.packed(encoded(library, t))) for i, t in rows)
+
+
 def test_empty_tables(nothing, vocabulary):
     assert token_counts.token_counts(nothing, vocabulary).count() == 0
     assert bpe.encode(nothing, vocabulary).count() == 0
