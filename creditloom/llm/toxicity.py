@@ -4,29 +4,32 @@ A word is the sum of two hashed embeddings, of the word and of its first four
 letters, so that inflected and compounded forms share what they learn. Filters
 of several widths slide over the words, each keeps its largest response in the
 text (max pooling), and a linear layer weighs the responses. The network is
-trained in numpy on a bounded sample of labelled documents; a held-back part of
-the sample turns its output into a probability and finds a threshold for every
-language.
+trained in numpy on all labelled documents, dealt out to shards of bounded size:
+every round each shard goes on from the common network, and what they learned is
+averaged. A held-back fold of the labels turns its output into a probability and
+finds a threshold for every language.
 
-Max pooling lets a text of any length be scored whole in blocks: the pooled
-responses of a text are the largest of its blocks'.
+Max pooling lets a text of any length be learned and scored whole in blocks: the
+pooled responses of a text are the largest of its blocks'.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm.batches import small_batches
-from creditloom.session import materialise
+from creditloom.operators.ranking import running_totals
+from creditloom.session import discard, materialise
 
 WORD = re.compile(r"[^\W\d_]+")
 WORD_BUCKETS, STEM_BUCKETS, STEM = 1 << 15, 1 << 13, 4
@@ -40,15 +43,9 @@ HELD_OUT, CALIBRATION, FOLDS = 0, 1, 5
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the training sample and of the network.
+    """The size of a shard, in bytes of text, and the bounds of the network."""
 
-    ``per_class`` documents at most of either class, the first by hash, of at
-    most ``longest`` words each and ``words`` in total, are learned from.
-    """
-
-    per_class: int = 4000
-    longest: int = 50_000
-    words: int = 8_000_000
+    shard: int = 24_000_000
     dimensions: int = 16
     filters: int = 16
     epochs: int = 8
@@ -116,9 +113,21 @@ class Model:
         return 1 / (1 + float(np.exp(-np.clip(self.slope * self.output(codes) + self.offset, -40, 40))))
 
 
-def train(texts: Sequence[np.ndarray], labels: Sequence[int], settings: Settings) -> Model:
-    """Fit the network with weighted logistic loss, Adagrad and word dropout."""
-    random = np.random.default_rng(settings.seed)
+@dataclass
+class _Learner:
+    """A network in training: the model with the sums of squared gradients that Adagrad keeps."""
+
+    model: Model
+    sums: list[np.ndarray]
+    row_sums: np.ndarray
+    bias_sum: float
+
+    def parts(self) -> list[np.ndarray]:
+        """What every step changes; of the embeddings only a few rows change."""
+        return [*self.model.kernels, self.model.biases, self.model.weights]
+
+
+def _learner(settings: Settings, random: np.random.Generator) -> _Learner:
     rows, d, f = 1 + WORD_BUCKETS + STEM_BUCKETS, settings.dimensions, settings.filters
     model = Model(
         # Small, so that words never seen in training hardly respond.
@@ -129,21 +138,65 @@ def train(texts: Sequence[np.ndarray], labels: Sequence[int], settings: Settings
         0.0,
     )
     model.embeddings[0] = 0
-    y = np.asarray(labels, np.float32)
-    if len(y) == 0 or y.min() == y.max():
-        model.weights[:] = 0
-        model.bias = 4.0 if len(y) and y.min() == 1 else -4.0
-        return model
-    parts = [*model.kernels, model.biases, model.weights]
-    sums = [np.full_like(p, 1e-2) for p in parts]
-    row_sums = np.full(rows, 1e-3, np.float32)
-    bias_sum, reach = 1e-2, max(WIDTHS) - 1
-    pull = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
-    epochs = max(settings.epochs, -(-settings.fewest_steps * settings.batch // len(y)))
-    for epoch in range(epochs):
-        rate = settings.rate * (1 - epoch / epochs)
+    learner = _Learner(model, [], np.full(rows, 1e-3, np.float32), 1e-2)
+    learner.sums = [np.full_like(p, 1e-2) for p in learner.parts()]
+    return learner
+
+
+def _constant(model: Model, positives: int) -> Model:
+    """The model where the labels have one class, or there are none."""
+    model.weights[:] = 0
+    model.bias = 4.0 if positives else -4.0
+    return model
+
+
+def _epochs(rows: int, settings: Settings) -> int:
+    return max(settings.epochs, -(-settings.fewest_steps * settings.batch // rows))
+
+
+def _peaks(model: Model, packed: np.ndarray, spans: Sequence[tuple[int, int]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Where in its span every filter responds most and how much, by kernel; about ``BLOCK`` places at a time."""
+    reach, f = max(WIDTHS) - 1, model.kernels[0].shape[2]
+    peaks = [np.zeros((len(spans), f), np.int64) for _ in model.kernels]
+    tops = [np.full((len(spans), f), -np.inf, np.float32) for _ in model.kernels]
+    pieces = [(i, a, min(a + BLOCK, e)) for i, (s, e) in enumerate(spans) for a in range(s, e, BLOCK)]
+    at = 0
+    while at < len(pieces):
+        base, until = pieces[at][1], at + 1
+        while until < len(pieces) and pieces[until][2] - base <= BLOCK:
+            until += 1
+        words = packed[base : pieces[until - 1][2] + reach]
+        vectors = model.embeddings[words >> 32] + model.embeddings[words & 0xFFFFFFFF]
+        places = len(words) - reach
+        for kernel, peak, top in zip(model.kernels, peaks, tops, strict=True):
+            z = sum(vectors[j : j + places] @ kernel[j] for j in range(len(kernel)))
+            for i, s, e in pieces[at:until]:
+                own = z[s - base : e - base]
+                best = own.argmax(axis=0)
+                found = own[best, np.arange(f)]
+                better = found > top[i]
+                peak[i][better], top[i][better] = (s + best)[better], found[better]
+        at = until
+    return peaks, tops
+
+
+def _learn(
+    learner: _Learner,
+    texts: Sequence[np.ndarray],
+    y: np.ndarray,
+    pulls: tuple[float, float],
+    epochs: range,
+    of: int,
+    settings: Settings,
+    random: np.random.Generator,
+) -> None:
+    """Some of the epochs over the texts; ``pulls`` are the weights of the two classes."""
+    model, d, f, reach = learner.model, settings.dimensions, settings.filters, max(WIDTHS) - 1
+    parts, pads = learner.parts(), np.zeros(reach, np.int64)
+    pull = np.where(y == 1, pulls[1], pulls[0])
+    for epoch in epochs:
+        rate = settings.rate * (1 - epoch / of)
         for chosen in np.array_split(random.permutation(len(y)), max(1, len(y) // settings.batch)):
-            pads = np.zeros(reach, np.int64)
             pieces, spans, at = [], [], 0
             for i in chosen:
                 codes = texts[i]
@@ -155,15 +208,7 @@ def train(texts: Sequence[np.ndarray], labels: Sequence[int], settings: Settings
                 pieces += [codes, pads]
                 at += len(codes) + reach
             packed = np.concatenate(pieces)
-            whole, stem = packed >> 32, packed & 0xFFFFFFFF
-            vectors = model.embeddings[whole] + model.embeddings[stem]
-            places = len(packed) - reach
-            peaks, tops = [], []
-            for kernel in model.kernels:
-                z = sum(vectors[j : j + places] @ kernel[j] for j in range(len(kernel)))
-                peak = np.stack([s + z[s:e].argmax(axis=0) for s, e in spans])
-                peaks.append(peak)
-                tops.append(np.take_along_axis(z, peak, axis=0))
+            peaks, tops = _peaks(model, packed, spans)
             pooled = np.concatenate(tops, axis=1) + model.biases
             active = np.maximum(pooled, 0)
             p = 1 / (1 + np.exp(-np.clip(active @ model.weights + model.bias, -30, 30)))
@@ -174,13 +219,14 @@ def train(texts: Sequence[np.ndarray], labels: Sequence[int], settings: Settings
                 own = back[:, n * f : (n + 1) * f]
                 grad = np.empty_like(kernel)
                 for j in range(len(kernel)):
-                    grad[j] = np.einsum("bfd,bf->df", vectors[peak + j], own)
+                    whole, stem = packed[peak + j] >> 32, packed[peak + j] & 0xFFFFFFFF
+                    grad[j] = np.einsum("bfd,bf->df", model.embeddings[whole] + model.embeddings[stem], own)
                     flow = (own[:, :, None] * kernel[j].T[None]).reshape(-1, d)
-                    touched += [whole[peak + j].ravel(), stem[peak + j].ravel()]
+                    touched += [whole.ravel(), stem.ravel()]
                     flows += [flow, flow]
                 grads.append(grad + settings.decay * kernel)
             grads += [back.sum(axis=0), slope @ active + settings.decay * model.weights]
-            for part, grad, total in zip(parts, grads, sums, strict=True):
+            for part, grad, total in zip(parts, grads, learner.sums, strict=True):
                 total += grad * grad
                 part -= rate * grad / np.sqrt(total)
             # Of the embeddings only the rows at the peaks change.
@@ -188,12 +234,163 @@ def train(texts: Sequence[np.ndarray], labels: Sequence[int], settings: Settings
             order = np.argsort(index, kind="stable")
             found, starts = np.unique(index[order], return_index=True)
             grad = np.add.reduceat(np.concatenate(flows)[order], starts)
-            row_sums[found] += (grad * grad).mean(axis=1)
-            model.embeddings[found] -= rate * grad / np.sqrt(row_sums[found])[:, None]
+            learner.row_sums[found] += (grad * grad).mean(axis=1)
+            model.embeddings[found] -= rate * grad / np.sqrt(learner.row_sums[found])[:, None]
             model.embeddings[0] = 0
-            bias_sum += float(slope.sum()) ** 2
-            model.bias -= rate * float(slope.sum()) / bias_sum**0.5
-    return model
+            learner.bias_sum += float(slope.sum()) ** 2
+            model.bias -= rate * float(slope.sum()) / learner.bias_sum**0.5
+
+
+def _pulls(rows: int, positives: int) -> tuple[float, float]:
+    """The weights of the classes, which make both weigh the same."""
+    return rows / (2 * (rows - positives)), rows / (2 * positives)
+
+
+def train(texts: Sequence[np.ndarray], labels: Sequence[int], settings: Settings) -> Model:
+    """Fit the network with weighted logistic loss, Adagrad and word dropout, all texts in one shard."""
+    random = np.random.default_rng(settings.seed)
+    learner = _learner(settings, random)
+    y = np.asarray(labels, np.float32)
+    if len(y) == 0 or y.min() == y.max():
+        return _constant(learner.model, int(len(y) and y.min() == 1))
+    epochs = _epochs(len(y), settings)
+    _learn(learner, texts, y, _pulls(len(y), y.sum()), range(epochs), epochs, settings, random)
+    return learner.model
+
+
+#: Embedding rows of a block in which shards report what they learned; block -1 is the rest of the network.
+_ROWS = 1024
+
+
+def _flat(learner: _Learner) -> np.ndarray:
+    """All that is not an embedding, in one row of numbers."""
+    ends = [np.array([learner.model.bias, learner.bias_sum])]
+    return np.concatenate([*(p.ravel() for p in learner.parts()), *(t.ravel() for t in learner.sums), *ends]).astype(float)
+
+
+def _shard(learner: _Learner, pulls: tuple[float, float], epochs: range, of: int, settings: Settings):
+    """Some epochs over the rows of a partition, which is a shard; returns the changes by blocks."""
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[tuple, bytes] = {}
+        for batch in batches:
+            for *key, codes in zip(*(batch.column(c).to_pylist() for c in ("mix", "doc_id", "toxic", "codes")), strict=True):
+                # Of repeated rows one is learned, always the same.
+                rows[tuple(key)] = min(rows.get(tuple(key), codes), codes)
+        if not rows:
+            return
+        order = sorted(rows)
+        texts = [np.frombuffer(rows[key], np.int64) for key in order]
+        y = np.array([toxic for _, _, toxic in order], np.float32)
+        shard = TaskContext.get().partitionId()
+        embeddings, sums, flat = learner.model.embeddings.copy(), learner.row_sums.copy(), _flat(learner)
+        _learn(learner, texts, y, pulls, epochs, of, settings, np.random.default_rng([settings.seed, shard, epochs.start]))
+        changed = np.flatnonzero(learner.row_sums != sums)
+        moves = np.column_stack([learner.model.embeddings - embeddings, learner.row_sums - sums])[changed].astype(np.float32)
+        found = [(-1, b"", (_flat(learner) - flat).tobytes())]
+        for block in np.unique(changed // _ROWS):
+            own = changed // _ROWS == block
+            found.append((int(block), changed[own].tobytes(), moves[own].tobytes()))
+        blocks, places, values = zip(*found, strict=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(blocks, pa.int32()), pa.array([shard] * len(found), pa.int32()), pa.array(places, pa.binary()), pa.array(values, pa.binary())],
+            names=["block", "shard", "places", "moves"],
+        )
+
+    return learned
+
+
+def _mean_moves(table: pa.Table) -> pa.Table:
+    """The mean change of a block: of every number over the shards, of an embedding over those that met its word."""
+    block, width = table.column("block")[0].as_py(), None
+    total = count = None
+    for r in table.sort_by("shard").select(["places", "moves"]).to_pylist():
+        if block < 0:
+            places, moves = slice(None), np.frombuffer(r["moves"], float)[None]
+        else:
+            places = np.frombuffer(r["places"], np.int64) - block * _ROWS
+            moves = np.frombuffer(r["moves"], np.float32).reshape(len(places), -1)
+        if total is None:
+            width = moves.shape[1]
+            total, count = np.zeros((1 if block < 0 else _ROWS, width)), np.zeros((1 if block < 0 else _ROWS, 1))
+        total[places] += moves
+        count[places] += 1
+    return pa.table({"block": pa.array([block], pa.int32()), "moves": [(total / np.maximum(count, 1)).tobytes()]})
+
+
+def _move(learner: _Learner, moves: Mapping[int, bytes], settings: Settings) -> None:
+    """Add the mean changes of all shards to the common network."""
+    for block, raw in sorted(moves.items()):
+        if block >= 0:
+            own = slice(block * _ROWS, min((block + 1) * _ROWS, len(learner.row_sums)))
+            change = np.frombuffer(raw, float).reshape(_ROWS, -1)[: own.stop - own.start]
+            learner.model.embeddings[own] += change[:, :-1].astype(np.float32)
+            learner.row_sums[own] += change[:, -1].astype(np.float32)
+            continue
+        change, at = np.frombuffer(raw, float), 0
+        for part in (*learner.parts(), *learner.sums):
+            part += change[at : at + part.size].reshape(part.shape).astype(np.float32)
+            at += part.size
+        learner.model.bias += float(change[at])
+        learner.bias_sum += float(change[at + 1])
+
+
+def _train_shards(codes: DataFrame, rows: int, positives: int, several: bool, settings: Settings) -> Model:
+    """``train`` over all rows of ``codes`` (mix, doc_id, toxic, codes), whose partitions are the shards.
+
+    Every round, all shards go through some epochs from the same network, and
+    their changes are averaged; the network alone reaches the driver. A single
+    shard has one round. The rows are dealt out by document, so that a shard
+    depends on its rows alone.
+    """
+    learner = _learner(settings, np.random.default_rng(settings.seed))
+    if positives in (0, rows):
+        return _constant(learner.model, positives)
+    epochs = _epochs(rows, settings)
+    rounds = min(settings.epochs, epochs) if several else 1
+    cuts = [r * epochs // rounds for r in range(rounds + 1)]
+    dealt = codes.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for first, last in zip(cuts, cuts[1:], strict=False):
+            step = _shard(learner, _pulls(rows, positives), range(first, last), epochs, settings)
+            changes = dealt.mapInArrow(step, "block int, shard int, places binary, moves binary")
+            means = changes.groupBy("block").applyInArrow(_mean_moves, "block int, moves binary").collect()
+            _move(learner, {r["block"]: r["moves"] for r in means}, settings)
+    finally:
+        dealt.unpersist()
+    return learner.model
+
+
+def _scale(model: Model, sums: Callable[[float, float], Sequence[float]]) -> None:
+    """Fit the slope and offset by Newton's method.
+
+    ``sums(a, b)`` are those of the gradient and of the curvature over all rows:
+    error times output, error, curve times squared output, curve times output, curve.
+    """
+    a, b = 1.0, 0.0
+    for _ in range(100):
+        go, g, coo, co, c = sums(a, b)
+        step = np.linalg.solve(np.array([[coo + 1e-3, co], [co, c + 1e-6]]), np.array([go + 1e-3 * (a - 1), g]))
+        a, b = max(a - np.clip(step[0], -1, 1), 0.05), b - np.clip(step[1], -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    # Sums depend in their last digits on the order in which tasks end.
+    model.slope, model.offset = round(float(a), 9), round(float(b), 9)
+
+
+def _class_weights(n: int, positives: int, prior: float) -> tuple[float, float]:
+    """What rows of the two classes weigh, so that the share of positives is ``prior``."""
+    if positives in (0, n):
+        return 1.0, 1.0
+    return (1 - prior) / (1 - positives / n), prior / (positives / n)
+
+
+def _goals(n: int, positives: int) -> tuple[float, float]:
+    return 1 / (n - positives + 2), (positives + 1) / (positives + 2)
+
+
+def _bounded(threshold: float, settings: Settings) -> float:
+    return min(max(threshold, settings.lowest), settings.highest)
 
 
 def calibrate(
@@ -201,29 +398,23 @@ def calibrate(
 ) -> Model:
     """Fit the logistic scale of the outputs, then a threshold for every language.
 
-    The sample's classes are weighted back to the share ``prior`` of all labels.
+    The rows' classes are weighted back to the share ``prior`` of all labels.
     A language with few positives keeps 0.5; ties go to the middle of the gap
     that is nearest to it, and no threshold leaves the bounds of the settings.
+    ``calibrate_rows`` does the same over a table.
     """
     y = labels.astype(float)
-    if 0 < y.sum() < len(y):
-        weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-        goal = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-        a, b = 1.0, 0.0
-        for _ in range(100):
+    n, positives = len(y), int(y.sum())
+    weight = np.where(y == 1, *reversed(_class_weights(n, positives, prior)))
+    if 0 < positives < n:
+        goal = np.where(y == 1, *reversed(_goals(n, positives)))
+
+        def sums(a: float, b: float) -> list[float]:
             p = 1 / (1 + np.exp(-np.clip(a * outputs + b, -30, 30)))
-            curve = weight * p * (1 - p) + 1e-9
-            g = np.array([(weight * (p - goal) * outputs).sum() + 1e-3 * (a - 1), (weight * (p - goal)).sum()])
-            h = np.array(
-                [[(curve * outputs**2).sum() + 1e-3, (curve * outputs).sum()], [(curve * outputs).sum(), curve.sum() + 1e-6]]
-            )
-            step = np.linalg.solve(h, g)
-            a, b = max(a - np.clip(step[0], -1, 1), 0.05), b - np.clip(step[1], -2, 2)
-            if np.abs(step).max() < 1e-8:
-                break
-        model.slope, model.offset = float(a), float(b)
-    else:
-        weight = np.ones(len(y))
+            curve, error = weight * p * (1 - p) + 1e-9, weight * (p - goal)
+            return [x.sum() for x in (error * outputs, error, curve * outputs**2, curve * outputs, curve)]
+
+        _scale(model, sums)
     scores = 1 / (1 + np.exp(-np.clip(model.slope * outputs + model.offset, -40, 40)))
     names = np.array([x or "" for x in langs], object)
     for lang in sorted(set(langs) - {None}):
@@ -235,12 +426,86 @@ def calibrate(
         found, wrong = np.cumsum(hit * w), np.cumsum((1 - hit) * w)
         f1 = 2 * found / (found + wrong + (hit * w).sum())
         cuts = (s + np.append(s[1:], 0)) / 2
-        best = np.flatnonzero((f1 >= f1.max() - 1e-9) & (s > np.append(s[1:], -1)))
+        # Equal scores are counted together.
+        last = s > np.append(s[1:], -1)
+        best = np.flatnonzero((f1 >= f1[last].max() - 1e-9) & last)
         nearest = float(cuts[best[np.argmin(np.abs(cuts[best] - 0.5))]])
-        model.thresholds[lang] = min(max(nearest, settings.lowest), settings.highest)
+        model.thresholds[lang] = _bounded(nearest, settings)
     return model
 
 
+def calibrate_rows(model: Model, rows: DataFrame, prior: float, settings: Settings) -> Model:
+    """``calibrate`` over all ``rows`` (output, toxic, lang): sums, running totals and a few candidates by language reach the driver."""
+    is_hit = F.col("toxic") == 1
+    cells = materialise(
+        rows.groupBy("lang", "output").agg(F.count_if(is_hit).alias("pos"), F.count_if(~is_hit).alias("neg")), "toxicity-outputs"
+    )
+    try:
+        whole = cells.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
+        positives = whole["pos"] or 0
+        n = positives + (whole["neg"] or 0)
+        weights, goals = _class_weights(n, positives, prior), _goals(n, positives)
+        if 0 < positives < n:
+
+            def sums(a: float, b: float) -> list[float]:
+                out = F.col("output")
+                p = 1 / (1 + F.exp(-F.greatest(F.least(out * a + b, F.lit(30.0)), F.lit(-30.0))))
+                error = F.col("neg") * (weights[0] * (p - goals[0])) + F.col("pos") * (weights[1] * (p - goals[1]))
+                each = F.col("neg") * (weights[0] * p * (1 - p) + 1e-9) + F.col("pos") * (weights[1] * p * (1 - p) + 1e-9)
+                return list(cells.agg(*map(F.sum, (error * out, error, each * out * out, each * out, each))).first())
+
+            _scale(model, sums)
+        model.thresholds.update(_thresholds(model, cells, weights, settings))
+    finally:
+        discard(cells)
+    return model
+
+
+def _thresholds(model: Model, cells: DataFrame, weights: tuple[float, float], settings: Settings) -> dict[str, float]:
+    """The threshold of every language with enough positives.
+
+    A cut lies between a score and the next lower one, so it rises with the
+    score: the cut nearest to 0.5 is that of the best score below 0.5, or of
+    one of the two best ones from there on.
+    """
+    named = cells.filter((F.col("lang") != "") & F.col("lang").isNotNull())
+    many = named.groupBy("lang").agg(F.sum("pos").alias("hits")).filter(F.col("hits") >= settings.fewest_positives)
+    hits = {r["lang"]: r["hits"] for r in many.collect()}
+    if not hits:
+        return {}
+    score = 1 / (1 + F.exp(-F.greatest(F.least(F.col("output") * model.slope + model.offset, F.lit(40.0)), F.lit(-40.0))))
+    scores = named.filter(F.col("lang").isin(*hits)).groupBy("lang", score.alias("score"))
+    # From the highest score down.
+    scores = materialise(
+        scores.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).withColumn("down", -F.col("score")), "toxicity-scores"
+    )
+    summed = running_totals(scores, "down", ["pos", "neg"], ["lang"])
+    all_hits = F.create_map(*[F.lit(x) for pair in hits.items() for x in pair])[F.col("lang")]
+    found, wrong = F.col("pos_upto") * weights[1], F.col("neg_upto") * weights[0]
+    summed = materialise(
+        summed.select("lang", "score", (2 * found / (found + wrong + all_hits * weights[1])).alias("f1")), "toxicity-cuts"
+    )
+    try:
+        tops = summed.groupBy("lang").agg(F.max("f1").alias("most"))
+        best = summed.join(F.broadcast(tops), "lang").filter(F.col("f1") >= F.col("most") - 1e-9)
+        low, high = F.max(F.when(F.col("score") < 0.5, F.col("score"))), F.min(F.when(F.col("score") >= 0.5, F.col("score")))
+        ends = best.groupBy("lang").agg(low.alias("low"), high.alias("high"))
+        second = F.min(F.when(F.col("score") > F.col("high"), F.col("score")))
+        chosen = best.join(F.broadcast(ends), "lang").groupBy("lang", "low", "high").agg(second.alias("second")).collect()
+        candidates = [(r["lang"], r[c]) for r in chosen for c in ("second", "high", "low") if r[c] is not None]
+        asked = cells.sparkSession.createDataFrame(candidates, "lang string, s double")
+        lower = F.max(F.when(F.col("score") < F.col("s"), F.col("score")))
+        cuts = summed.join(F.broadcast(asked), "lang").groupBy("lang", "s").agg(lower.alias("lower")).collect()
+    finally:
+        discard(scores)
+        discard(summed)
+    out = {}
+    for lang in sorted(hits):
+        own = sorted(((r["s"] + (r["lower"] or 0.0)) / 2 for r in cuts if r["lang"] == lang), reverse=True)
+        out[lang] = _bounded(min(own, key=lambda cut: abs(cut - 0.5)), settings)
+    return out
+
+
 def _fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(FOLDS))
 
@@ -248,57 +513,62 @@ def _fold(doc_id: Column) -> Column:
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     buckets = _Buckets()
     for batch in batches:
-        codes = [codes_of(x.as_py(), buckets) for x in batch.column("text")]
+        codes = [codes_of(x.as_py(), buckets).tobytes() for x in batch.column("text")]
         yield pa.RecordBatch.from_arrays(
-            [
-                *(batch.column(c) for c in ("doc_id", "lang", "toxic", "fold", "mix")),
-                pa.array([len(c) for c in codes], pa.int64()),
-                pa.array([c.tobytes() for c in codes], pa.binary()),
-            ],
-            names=["doc_id", "lang", "toxic", "fold", "mix", "n_words", "codes"],
+            [*(batch.column(c) for c in ("mix", "doc_id", "toxic")), pa.array(codes, pa.binary())],
+            names=["mix", "doc_id", "toxic", "codes"],
         )
 
 
+def _outputs(model: Model):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = _Buckets()
+        for batch in batches:
+            outputs = [model.output(codes_of(x.as_py(), buckets)) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "lang", "toxic")), pa.array(outputs, pa.float64())],
+                names=["doc_id", "lang", "toxic", "output"],
+            )
+
+    return found
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
-    """Learn from the labels (doc_id, toxic) of ``docs`` (doc_id, text, lang).
+    """Learn from all labels (doc_id, toxic) of ``docs`` (doc_id, text, lang).
 
-    Labels whose document is held out are left out, null labels too. Only the
-    sample of ``settings`` reaches the driver: at most twice ``per_class`` rows
-    and ``words`` words.
+    Labels whose document is held out are left out, null labels too. Every other
+    labelled text is read whole: one fold calibrates, the rest is learned, in as
+    many shards as its bytes need. Of rows that repeat a document and label one
+    counts. The network, sums and candidates for thresholds reach the driver.
     """
     settings = settings or Settings()
     small_batches(docs.sparkSession)
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"), _fold(F.col("doc_id")).alias("fold"))
     usable = usable.filter(F.col("toxic").isin(0, 1) & (F.col("fold") != HELD_OUT)).withColumn("mix", F.xxhash64("doc_id"))
     counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
-    drawn = [
-        usable.filter(F.col("toxic") == c).orderBy("mix", "doc_id").limit(settings.per_class) for c in (0, 1)
-    ]
-    chosen = drawn[0].union(drawn[1])  # at most twice per_class rows
+    usable = usable.distinct()
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sample = materialise(
-        texts.join(F.broadcast(chosen), "doc_id")
-        .dropDuplicates(["doc_id", "toxic"])  # repeated rows must not make the sample larger
-        .select("doc_id", "text", "lang", "toxic", "fold", "mix")
-        .mapInArrow(_encode, "doc_id long, lang string, toxic int, fold long, mix long, n_words long, codes binary"),
-        "toxicity-sample",
-    ).filter(F.col("n_words") <= settings.longest)
-    sizes = sorted((r["mix"], r["doc_id"], r["n_words"]) for r in sample.select("mix", "doc_id", "n_words").collect())
-    room = np.searchsorted(np.cumsum([n for _, _, n in sizes]), settings.words, side="right") if sizes else 0
-    last = sizes[room - 1][0] if room else None
-    rows = sample.filter(F.col("mix") <= F.lit(last)).collect() if room else []
-    rows.sort(key=lambda r: (r["mix"], r["doc_id"], r["toxic"], r["codes"]))
-    codes = [np.frombuffer(r["codes"], np.int64) for r in rows]
-    own = [i for i, r in enumerate(rows) if r["fold"] != CALIBRATION]
-    held = [i for i, r in enumerate(rows) if r["fold"] == CALIBRATION]
-    model = train([codes[i] for i in own], [rows[i]["toxic"] for i in own], settings)
-    if held:
-        outputs = np.array([model.output(codes[i]) for i in held])
-        marks = np.array([rows[i]["toxic"] for i in held])
-        prior = counts.get(1, 0) / total
-        calibrate(model, outputs, marks, [rows[i]["lang"] for i in held], prior, settings)
-    return model
+    # Only texts that may be learned are dealt out, and each once.
+    learned = ~_fold(F.col("doc_id")).isin(HELD_OUT, CALIBRATION)
+    own, marks = texts.filter(learned), usable.filter(learned).select("doc_id", "toxic", "mix")
+    sizes = own.select("doc_id", F.octet_length("text").alias("size")).join(marks, "doc_id")
+    size = (
+        sizes.groupBy("doc_id", "toxic")
+        .agg(F.max("size").alias("size"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("toxic") == 1).alias("positives"), F.sum("size").alias("bytes"))
+        .first()
+    )
+    shards = max(1, -(-(size["bytes"] or 0) // settings.shard))
+    own = own.join(marks, "doc_id").select("mix", "doc_id", "toxic", "text")
+    codes = own.mapInArrow(_encode, "mix long, doc_id long, toxic int, codes binary")
+    model = _train_shards(codes.repartition(shards, "doc_id"), size["rows"], size["positives"], shards > 1, settings)
+    held = texts.filter(_fold(F.col("doc_id")) == CALIBRATION).join(usable.select("doc_id", "toxic"), "doc_id")
+    outputs = held.select("doc_id", "lang", "toxic", "text").mapInArrow(
+        _outputs(model), "doc_id long, lang string, toxic int, output double"
+    )
+    # Of repeated rows one counts, always the same.
+    outputs = outputs.groupBy("doc_id", "toxic").agg(F.min(F.struct("output", "lang")).alias("row")).select("toxic", "row.*")
+    return calibrate_rows(model, outputs, counts.get(1, 0) / max(1, sum(counts.values())), settings)
 
 
 def _scored(model: Model, inside: str | None = None):

@@ -158,3 +158,51 @@ def test_gradients_equal_finite_differences():
     # The step of the bias alone: Adagrad adds to a sum of 0.01.
     exact = (of(before, step) - of(before, -step)) / (2 * step)
     assert -moved.bias == pytest.approx(exact / np.sqrt(1e-2 + exact**2), rel=0.02, abs=1e-4)
+
+
+def test_every_label_is_learned(spark):
+    """Two words mark toxic texts; one of them comes only in the documents that are last by hash."""
+    ids = spark.range(14_000).filter(toxicity._fold(F.col("id")) != 0).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    hashes = sorted(r[0] for r in ids.filter("toxic = 1").select(F.xxhash64("doc_id")).collect())
+    late = F.xxhash64("doc_id") > hashes[4000]
+    word = F.when(F.col("toxic") == 0, "kind").when(late, "vile").otherwise("nasty")
+    docs = ids.select("doc_id", F.concat(F.lit("some "), word, F.lit(" text")).alias("text"), F.lit("en").alias("lang"))
+    asked = spark.createDataFrame([(-1, "some vile text", "en"), (-2, "some nasty text", "en"), (-3, "some kind text", "en")], docs.schema)
+    for shard in (24_000_000, 60_000):
+        model = toxicity.fit(docs, ids, toxicity.Settings(shard=shard, epochs=4))
+        scored = {r["doc_id"]: model.score(toxicity.codes_of(r["text"], toxicity._Buckets())) for r in asked.collect()}
+        assert scored[-1] > 0.8 and scored[-2] > 0.8 and scored[-3] < 0.2
+
+
+def test_shards_depend_on_the_rows_alone(larger):
+    docs, labels = larger
+    settings = toxicity.Settings(shard=2_000_000, epochs=3)
+    one, other = toxicity.fit(docs, labels, settings), toxicity.fit(docs.repartition(7).union(docs), labels.repartition(3), settings)
+    assert np.array_equal(one.embeddings, other.embeddings) and one.thresholds == other.thresholds
+    assert (one.slope, one.offset, one.bias) == (other.slope, other.offset, other.bias)
+
+
+def test_training_in_blocks_equals_the_whole(monkeypatch):
+    codes, settings = some_codes(4, (40, 3, 0, 25, 90, 7)), toxicity.Settings(epochs=3, fewest_steps=1)
+    whole = toxicity.train(codes, [0, 1] * 3, settings)
+    for block in (1, 8, 33):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        cut = toxicity.train(codes, [0, 1] * 3, settings)
+        assert np.allclose(cut.embeddings, whole.embeddings, atol=1e-4) and np.allclose(cut.weights, whole.weights, atol=1e-4)
+
+
+def test_calibration_over_rows_equals_that_in_numpy(spark):
+    draw, settings = np.random.default_rng(8), toxicity.Settings(fewest_positives=30)
+    rows = []
+    for lang, n, shift in (("a", 500, 0.0), ("b", 400, 1.5), ("c", 40, 0.0), ("", 200, 0.0), (None, 100, 0.0)):
+        for _ in range(n):
+            toxic = int(draw.random() < 0.3)
+            rows.append((lang, round(float(draw.normal(2 * toxic - 1 + shift, 1.0)), 2), toxic))
+    langs, outputs, labels = zip(*rows, strict=True)
+    empty = toxicity.train([], [], settings)
+    plain = toxicity.calibrate(empty, np.array(outputs), np.array(labels), langs, 0.2, settings)
+    a, b, cuts = plain.slope, plain.offset, dict(plain.thresholds)
+    table = spark.createDataFrame(rows, "lang string, output double, toxic int").repartition(5)
+    found = toxicity.calibrate_rows(toxicity.train([], [], settings), table, 0.2, settings)
+    assert set(cuts) == {"a", "b"} and found.thresholds == pytest.approx(cuts, abs=1e-7)
+    assert (found.slope, found.offset) == pytest.approx((a, b), abs=1e-7)
