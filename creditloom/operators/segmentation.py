@@ -65,21 +65,33 @@ def _seeds(vectors: DataFrame, features: Sequence[str], k: int, seed: int, resta
     """Starting centres of every restart: rows drawn by the square of their distance to those drawn before.
 
     The row with the smallest ``-ln(u) / weight`` is such a draw, and a minimum
-    doesn't depend on how the rows are dealt out. One pass draws for all restarts.
+    doesn't depend on how the rows are dealt out. Passes draw for all restarts:
+    they find the smallest lot, then the smallest name with that lot, then its
+    point. Each keeps plain numbers only, which are aggregated by hash; a
+    minimum of structs would sort every row of every restart.
     """
-    point = F.struct(*[F.col(f"z_{f}").alias(f) for f in features])
+    spark = vectors.sparkSession
     centres: list[list[list[float]]] = [[] for _ in range(restarts)]
     for step in range(k):
         if step == 0:
-            rows = vectors.crossJoin(F.broadcast(vectors.sparkSession.range(restarts).select(F.col("id").cast("int").alias("_restart"))))
+            rows = vectors.crossJoin(F.broadcast(spark.range(restarts).select(F.col("id").cast("int").alias("_restart"))))
             weight = F.lit(1.0)
         else:
             rows = _with_centres(vectors, features, centres)
             weight = F.col("_nearest.d")
-        lot = F.coalesce(F.try_divide(-F.ln(_draw(F.col("_name"), seed, step)), weight), F.lit(float("inf")))
-        drawn = rows.groupBy("_restart").agg(F.min_by(point, F.struct(lot, F.col("_name"))).alias("point")).collect()
-        for r in drawn:
-            centres[r["_restart"]].append([r["point"][f] for f in features])
+        lots = rows.withColumn(
+            "_lot", F.coalesce(F.try_divide(-F.ln(_draw(F.col("_name"), seed, step)), weight), F.lit(float("inf")))
+        )
+        least = lots.groupBy("_restart").agg(F.min("_lot").alias("_least")).collect()
+        wanted = spark.createDataFrame(least, "_restart int, _least double") if least else None
+        if wanted is None:
+            break
+        first = lots.join(F.broadcast(wanted), "_restart").where(F.col("_lot") == F.col("_least"))
+        names = first.groupBy("_restart").agg(F.min("_name").alias("_name")).collect()
+        chosen = spark.createDataFrame(names, "_restart int, _name long")
+        points = vectors.join(F.broadcast(chosen), "_name").groupBy("_restart").agg(*[F.min(f"z_{f}").alias(f) for f in features])
+        for r in points.collect():
+            centres[r["_restart"]].append([r[f] for f in features])
     return centres
 
 
