@@ -268,8 +268,13 @@ def _flat(learner: _Learner) -> np.ndarray:
     return np.concatenate([*(p.ravel() for p in learner.parts()), *(t.ravel() for t in learner.sums), *ends]).astype(float)
 
 
-def _shard(learner: _Learner, pulls: tuple[float, float], epochs: range, of: int, settings: Settings):
-    """Some epochs over the rows of a partition, which is a shard; returns the changes by blocks."""
+def _shard(
+    learner: _Learner, pulls: tuple[float, float], epochs: range, of: int, settings: Settings, alone: np.random.Generator | None
+):
+    """Some epochs over the rows of a partition, which is a shard; returns the changes by blocks.
+
+    A shard that is ``alone`` draws from the given numbers, and its changes are exact.
+    """
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[tuple, bytes] = {}
@@ -284,9 +289,11 @@ def _shard(learner: _Learner, pulls: tuple[float, float], epochs: range, of: int
         y = np.array([toxic for _, _, toxic in order], np.float32)
         shard = TaskContext.get().partitionId()
         embeddings, sums, flat = learner.model.embeddings.copy(), learner.row_sums.copy(), _flat(learner)
-        _learn(learner, texts, y, pulls, epochs, of, settings, np.random.default_rng([settings.seed, shard, epochs.start]))
+        random = alone or np.random.default_rng([settings.seed, shard, epochs.start])
+        _learn(learner, texts, y, pulls, epochs, of, settings, random)
         changed = np.flatnonzero(learner.row_sums != sums)
-        moves = np.column_stack([learner.model.embeddings - embeddings, learner.row_sums - sums])[changed].astype(np.float32)
+        after, before = ((e[changed].astype(float), s[changed]) for e, s in ((learner.model.embeddings, learner.row_sums), (embeddings, sums)))
+        moves = (np.column_stack(after) - np.column_stack(before)).astype(float if alone else np.float32)
         found = [(-1, b"", (_flat(learner) - flat).tobytes())]
         for block in np.unique(changed // _ROWS):
             own = changed // _ROWS == block
@@ -300,36 +307,40 @@ def _shard(learner: _Learner, pulls: tuple[float, float], epochs: range, of: int
     return learned
 
 
-def _mean_moves(table: pa.Table) -> pa.Table:
+def _mean_moves(exact: bool):
     """The mean change of a block: of every number over the shards, of an embedding over those that met its word."""
-    block, width = table.column("block")[0].as_py(), None
-    total = count = None
-    for r in table.sort_by("shard").select(["places", "moves"]).to_pylist():
-        if block < 0:
-            places, moves = slice(None), np.frombuffer(r["moves"], float)[None]
-        else:
-            places = np.frombuffer(r["places"], np.int64) - block * _ROWS
-            moves = np.frombuffer(r["moves"], np.float32).reshape(len(places), -1)
-        if total is None:
-            width = moves.shape[1]
-            total, count = np.zeros((1 if block < 0 else _ROWS, width)), np.zeros((1 if block < 0 else _ROWS, 1))
-        total[places] += moves
-        count[places] += 1
-    return pa.table({"block": pa.array([block], pa.int32()), "moves": [(total / np.maximum(count, 1)).tobytes()]})
-
-
-def _move(learner: _Learner, moves: Mapping[int, bytes], settings: Settings) -> None:
+
+    def mean(table: pa.Table) -> pa.Table:
+        block, width = table.column("block")[0].as_py(), None
+        total = count = None
+        for r in table.sort_by("shard").select(["places", "moves"]).to_pylist():
+            if block < 0:
+                places, moves = slice(None), np.frombuffer(r["moves"], float)[None]
+            else:
+                places = np.frombuffer(r["places"], np.int64) - block * _ROWS
+                moves = np.frombuffer(r["moves"], float if exact else np.float32).reshape(len(places), -1)
+            if total is None:
+                width = moves.shape[1]
+                total, count = np.zeros((1 if block < 0 else _ROWS, width)), np.zeros((1 if block < 0 else _ROWS, 1))
+            total[places] += moves
+            count[places] += 1
+        return pa.table({"block": pa.array([block], pa.int32()), "moves": [(total / np.maximum(count, 1)).tobytes()]})
+
+    return mean
+
+
+def _move(learner: _Learner, moves: Mapping[int, bytes]) -> None:
     """Add the mean changes of all shards to the common network."""
     for block, raw in sorted(moves.items()):
         if block >= 0:
             own = slice(block * _ROWS, min((block + 1) * _ROWS, len(learner.row_sums)))
             change = np.frombuffer(raw, float).reshape(_ROWS, -1)[: own.stop - own.start]
-            learner.model.embeddings[own] += change[:, :-1].astype(np.float32)
-            learner.row_sums[own] += change[:, -1].astype(np.float32)
+            learner.model.embeddings[own] = learner.model.embeddings[own] + change[:, :-1]
+            learner.row_sums[own] = learner.row_sums[own] + change[:, -1]
             continue
         change, at = np.frombuffer(raw, float), 0
         for part in (*learner.parts(), *learner.sums):
-            part += change[at : at + part.size].reshape(part.shape).astype(np.float32)
+            part[...] = part + change[at : at + part.size].reshape(part.shape)
             at += part.size
         learner.model.bias += float(change[at])
         learner.bias_sum += float(change[at + 1])
@@ -343,7 +354,8 @@ def _train_shards(codes: DataFrame, rows: int, positives: int, several: bool, se
     shard has one round. The rows are dealt out by document, so that a shard
     depends on its rows alone.
     """
-    learner = _learner(settings, np.random.default_rng(settings.seed))
+    random = np.random.default_rng(settings.seed)
+    learner = _learner(settings, random)
     if positives in (0, rows):
         return _constant(learner.model, positives)
     epochs = _epochs(rows, settings)
@@ -352,10 +364,10 @@ def _train_shards(codes: DataFrame, rows: int, positives: int, several: bool, se
     dealt = codes.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for first, last in zip(cuts, cuts[1:], strict=False):
-            step = _shard(learner, _pulls(rows, positives), range(first, last), epochs, settings)
+            step = _shard(learner, _pulls(rows, positives), range(first, last), epochs, settings, None if several else random)
             changes = dealt.mapInArrow(step, "block int, shard int, places binary, moves binary")
-            means = changes.groupBy("block").applyInArrow(_mean_moves, "block int, moves binary").collect()
-            _move(learner, {r["block"]: r["moves"] for r in means}, settings)
+            means = changes.groupBy("block").applyInArrow(_mean_moves(not several), "block int, moves binary").collect()
+            _move(learner, {r["block"]: r["moves"] for r in means})
     finally:
         dealt.unpersist()
     return learner.model
