@@ -19,6 +19,9 @@ from creditloom.operators.frames import training_frame
 from creditloom.operators.sampling import stratified_split
 from creditloom.session import use_checkpoints
 
+# Rows that a partition of a fit has at least, where there are so many, and at most, once all cores have two.
+LEAST_ROWS, MOST_ROWS = 25_000, 1_000_000
+
 
 @dataclass(frozen=True)
 class Preprocessor:
@@ -73,8 +76,18 @@ def balanced_weights(df: DataFrame, label: str = X.TARGET, name: str = "weight")
     return df.crossJoin(F.broadcast(counts)).withColumn(name, weight).select(*df.columns, name)
 
 
-def _vectors(train: DataFrame, prep: Preprocessor, weight, label: str) -> DataFrame:
-    staged = prep.assembler().transform(prep.stage().transform(train))
+def _parts(rows: int, cores: int) -> int:
+    """Partitions for a fit: enough for all cores if there are rows for them, and of a bounded size."""
+    return max(1, min(-(-rows // LEAST_ROWS), max(2 * cores, -(-rows // MOST_ROWS))))
+
+
+def _vectors(train: DataFrame, prep: Preprocessor, weight, label: str, rows: int) -> DataFrame:
+    """Label, weight and features, dealt out evenly: a fit passes over them hundreds of times.
+
+    As read, they have as many partitions as the files have row groups.
+    """
+    dealt = train.repartition(_parts(rows, train.sparkSession.sparkContext.defaultParallelism), *train.columns)
+    staged = prep.assembler().transform(prep.stage().transform(dealt))
     return staged.select(
         F.col(label).cast("double").alias("label"), weight.alias("weight"), "features"
     )
@@ -96,7 +109,7 @@ def fit_logistic(
     n0, n1 = class_counts(train, label)
     n = n0 + n1
     weight = F.when(F.col(label) == 1, F.lit(n / (2.0 * n1))).otherwise(F.lit(n / (2.0 * n0)))
-    vectors = _vectors(train, prep, weight, label).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = _vectors(train, prep, weight, label, n).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = LogisticRegression(
             regParam=1.0 / (c * n),
@@ -143,7 +156,7 @@ def fit_boosted_trees(
     use_checkpoints(train.sparkSession)
     n0, n1 = class_counts(train, label)
     weight = F.when(F.col(label) == 1, F.lit(n0 / n1)).otherwise(F.lit(1.0))
-    vectors = _vectors(train, prep, weight, label).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = _vectors(train, prep, weight, label, n0 + n1).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = GBTClassifier(
             maxIter=rounds, maxDepth=depth, stepSize=step, weightCol="weight", seed=seed, checkpointInterval=10

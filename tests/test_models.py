@@ -215,3 +215,15 @@ def test_beeswarm_of_a_constant_feature(spark):
     df = spark.createDataFrame([(1, 0.0, 5.0), (2, 4.0, 5.0)], "SK_ID_CURR long, a double, b double")
     got = {(r["SK_ID_CURR"], r["feature"]): (r["color"], r["rank"]) for r in explain.beeswarm(df, model).collect()}
     assert got == {(1, "a"): (0.0, 2), (2, "a"): (1.0, 2), (1, "b"): (0.0, 1), (2, "b"): (0.0, 1)}
+
+
+def test_fits_deal_their_rows_out(trained, monkeypatch):
+    """Rows from one row group still work on all cores, and a partition's size is bounded."""
+    assert [modelling._parts(n, 8) for n in (0, 100, 60_000, 900_000, 50_000_000)] == [1, 1, 3, 16, 50]
+    monkeypatch.setattr(modelling, "LEAST_ROWS", 1000)
+    train = trained.split.where("NOT is_test").coalesce(1)
+    rows = train.count()
+    vectors = modelling._vectors(train, trained.prep, F.lit(1.0), X.TARGET, rows)
+    sizes = [r["n"] for r in vectors.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == modelling._parts(rows, train.sparkSession.sparkContext.defaultParallelism) > 1
+    assert sum(sizes) == rows and max(sizes) < 2 * rows / len(sizes)

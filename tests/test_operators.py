@@ -170,3 +170,20 @@ def test_prepared_frames(tables):
     assert names == list(X.MODEL_FEATURES)
     assert raw.where("AMT_ANNUITY IS NULL").count() > 0
     assert raw.where("DAYS_EMPLOYED > 0").count() == 0
+
+
+def test_starting_centres_are_drawn_without_sorting(spark, monkeypatch):
+    """A grouped minimum of structs sorts every row of every restart."""
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 11)) for i in range(300)], "id long, a double, b double")
+    plans, collect = [], type(df).collect
+
+    def noted(self):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return collect(self)
+
+    monkeypatch.setattr(type(df), "collect", noted)
+    vectors = df.select(F.col("id").alias("_name"), F.col("a").alias("z_a"), F.col("b").alias("z_b"))
+    centres = segmentation._seeds(vectors, ["a", "b"], 3, 1, 4)
+    assert len(plans) == 9 and not any("SortAggregate" in p for p in plans)
+    points = {(float(i % 7), float(i % 11)) for i in range(300)}
+    assert len(centres) == 4 and all(len({tuple(c) for c in some} & points) == 3 for some in centres)
