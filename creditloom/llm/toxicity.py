@@ -78,6 +78,16 @@ def codes_of(text: str | None, buckets: dict[str, int]) -> np.ndarray:
     return np.fromiter(map(buckets.__getitem__, words), np.int64, len(words))
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """The codes of a text in four bytes each, to be shuffled and stored."""
+    return (((codes >> 32) - 1) * STEM_BUCKETS + ((codes & 0xFFFFFFFF) - 1 - WORD_BUCKETS)).astype("<u4").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    whole, stem = np.divmod(np.frombuffer(raw, "<u4").astype(np.int64), STEM_BUCKETS)
+    return (1 + whole) << 32 | (1 + WORD_BUCKETS + stem)
+
+
 @dataclass
 class Model:
     """The network, its calibration and the thresholds of the languages."""
@@ -279,7 +289,8 @@ def _shard(
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[tuple, bytes] = {}
         for batch in batches:
-            for *key, codes in zip(*(batch.column(c).to_pylist() for c in ("mix", "doc_id", "toxic", "codes")), strict=True):
+            for *key, raw in zip(*(batch.column(c).to_pylist() for c in ("mix", "doc_id", "toxic", "codes")), strict=True):
+                codes = unpacked(raw).tobytes()
                 # Of repeated rows one is learned, always the same.
                 rows[tuple(key)] = min(rows.get(tuple(key), codes), codes)
         if not rows:
@@ -525,11 +536,8 @@ def _fold(doc_id: Column) -> Column:
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     buckets = _Buckets()
     for batch in batches:
-        codes = [codes_of(x.as_py(), buckets).tobytes() for x in batch.column("text")]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("mix", "doc_id", "toxic")), pa.array(codes, pa.binary())],
-            names=["mix", "doc_id", "toxic", "codes"],
-        )
+        codes = [packed(codes_of(x.as_py(), buckets)) for x in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codes, pa.binary())], names=["doc_id", "codes"])
 
 
 def _outputs(model: Model):
@@ -538,8 +546,8 @@ def _outputs(model: Model):
         for batch in batches:
             outputs = [model.output(codes_of(x.as_py(), buckets)) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "lang", "toxic")), pa.array(outputs, pa.float64())],
-                names=["doc_id", "lang", "toxic", "output"],
+                [*(batch.column(c) for c in ("doc_id", "lang")), pa.array(outputs, pa.float64())],
+                names=["doc_id", "lang", "output"],
             )
 
     return found
@@ -560,7 +568,6 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     usable = usable.distinct()
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    # Only texts that may be learned are dealt out, and each once.
     learned = ~_fold(F.col("doc_id")).isin(HELD_OUT, CALIBRATION)
     own, marks = texts.filter(learned), usable.filter(learned).select("doc_id", "toxic", "mix")
     sizes = own.select("doc_id", F.octet_length("text").alias("size")).join(marks, "doc_id")
@@ -571,13 +578,14 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
         .first()
     )
     shards = max(1, -(-(size["bytes"] or 0) // settings.shard))
-    own = own.join(marks, "doc_id").select("mix", "doc_id", "toxic", "text")
-    codes = own.mapInArrow(_encode, "mix long, doc_id long, toxic int, codes binary")
-    model = _train_shards(codes.repartition(shards, "doc_id"), size["rows"], size["positives"], shards > 1, settings)
-    held = texts.filter(_fold(F.col("doc_id")) == CALIBRATION).join(usable.select("doc_id", "toxic"), "doc_id")
-    outputs = held.select("doc_id", "lang", "toxic", "text").mapInArrow(
-        _outputs(model), "doc_id long, lang string, toxic int, output double"
-    )
+    # What meets the labels are codes, shorter than texts; merged at any size, so that what is shuffled follows the input.
+    codes = own.select("doc_id", "text").mapInArrow(_encode, "doc_id long, codes binary").join(marks.hint("merge"), "doc_id")
+    codes = codes.select("mix", "doc_id", "toxic", "codes").repartition(shards, "doc_id")
+    model = _train_shards(codes, size["rows"], size["positives"], shards > 1, settings)
+    # Here it is outputs that meet the labels.
+    held = texts.filter(_fold(F.col("doc_id")) == CALIBRATION).select("doc_id", "lang", "text")
+    outputs = held.mapInArrow(_outputs(model), "doc_id long, lang string, output double")
+    outputs = outputs.join(usable.select("doc_id", "toxic"), "doc_id")
     # Of repeated rows one counts, always the same.
     outputs = outputs.groupBy("doc_id", "toxic").agg(F.min(F.struct("output", "lang")).alias("row")).select("toxic", "row.*")
     return calibrate_rows(model, outputs, counts.get(1, 0) / max(1, sum(counts.values())), settings)

@@ -206,3 +206,41 @@ def test_calibration_over_rows_equals_that_in_numpy(spark):
     found = toxicity.calibrate_rows(toxicity.train([], [], settings), table, 0.2, settings)
     assert set(cuts) == {"a", "b"} and found.thresholds == pytest.approx(cuts, abs=1e-7)
     assert (found.slope, found.offset) == pytest.approx((a, b), abs=1e-7)
+
+
+def test_packed_codes_come_back():
+    codes = toxicity.codes_of(" ".join(f"word{'abcdefghijklmnop'[i % 16]}{'xyz'[i % 3]}" for i in range(500)), toxicity._Buckets())
+    most = np.array([toxicity.WORD_BUCKETS << 32 | (toxicity.WORD_BUCKETS + toxicity.STEM_BUCKETS), 1 << 32 | (1 + toxicity.WORD_BUCKETS)])
+    for c in (codes, most, codes[:0]):
+        raw = toxicity.packed(c)
+        assert len(raw) == 4 * len(c) and np.array_equal(toxicity.unpacked(raw), c)
+
+
+def test_texts_are_never_joined(documents, labels, monkeypatch):
+    """Codes and outputs meet the labels; a join of texts would shuffle them whole once the labels are many."""
+    frames = []
+
+    def noted(name, place):
+        plain = getattr(toxicity, name)
+
+        def call(*args):
+            frames.append(args[place])
+            return plain(*args)
+
+        monkeypatch.setattr(toxicity, name, call)
+
+    noted("_train_shards", 0)
+    noted("calibrate_rows", 1)
+    toxicity.fit(documents, labels, toxicity.Settings(epochs=1, fewest_steps=1))
+    joins = []
+
+    def look(node):
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            joins.append([child.output().apply(i).name() for child in below for i in range(child.output().size())])
+        for child in below:
+            look(child)
+
+    for frame in frames:
+        look(frame._jdf.queryExecution().optimizedPlan())
+    assert len(frames) == 2 and joins and not any("text" in names for names in joins)
