@@ -244,3 +244,19 @@ def test_texts_are_never_joined(documents, labels, monkeypatch):
     for frame in frames:
         look(frame._jdf.queryExecution().optimizedPlan())
     assert len(frames) == 2 and joins and not any("text" in names for names in joins)
+
+
+def test_shards_hold_four_bytes_a_word(spark, monkeypatch):
+    """An executor keeps the shards for all rounds; unlabelled texts and labels without text are not in them."""
+    docs = spark.createDataFrame([(i, f"one two three number{'ab'[i % 2]}", "en") for i in range(40)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20, 60)], "doc_id long, toxic int")
+    plain, rows = toxicity._train_shards, []
+
+    def noted(codes, *rest):
+        rows.extend(codes.select("doc_id", F.length("codes").alias("bytes")).collect())
+        return plain(codes, *rest)
+
+    monkeypatch.setattr(toxicity, "_train_shards", noted)
+    toxicity.fit(docs, labels, toxicity.Settings(epochs=1, fewest_steps=1))
+    learned = [i for i in range(20, 40) if zlib.crc32(str(i).encode()) % 5 not in (toxicity.HELD_OUT, toxicity.CALIBRATION)]
+    assert sorted(r["doc_id"] for r in rows) == learned and {r["bytes"] for r in rows} == {16}
