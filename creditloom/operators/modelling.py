@@ -121,6 +121,8 @@ def fit_logistic(
         ).fit(vectors)
     finally:
         vectors.unpersist()
+    # The training summary holds the session, which can't go to tasks with the model once a query of it was observed.
+    model._call_java("setSummary", train.sparkSession._jvm.scala.Option.apply(None))
     return PipelineModel([prep.stage(), prep.assembler(), model])
 
 

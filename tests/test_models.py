@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from checks.constants import FIRST
@@ -48,6 +49,16 @@ def test_linear_model_scores_like_the_fitted_pipeline(trained):
     assert both.agg(F.max(F.abs(F.col("a") - F.col("p")))).first()[0] < 1e-9
 
 
+def test_models_score_in_a_session_that_observed(spark, trained):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("rows")).collect()
+    assert seen.get["rows"] == 3
+    test = trained.split.where("is_test")
+    for model in trained.models.values():
+        assert scoring.predict_proba(test, model).agg(F.count("p")).first()[0] == test.count()
+    assert not trained.models[X.LOGISTIC].stages[-1].hasSummary
+
+
 def test_models_beat_chance(trained):
     for r in evaluation.roc_auc(trained.predictions(), by=["model"]).collect():
         assert r["auc"] > 0.52, r
